@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from staffmart.functions.numbers import between_sql, draw_sql, normal_sql
 from staffmart.operators.validate import EMAIL, NAME
 from staffmart.plans.synth_values import (
     DEPARTMENTS, FIRST_NAMES, GENDERS, LAST_NAMES, LEAVER_STATUS, PROJECT_STATUS, PROJECTS,
@@ -22,14 +23,14 @@ def project_of(index: str) -> str:
 
 CTES = {
     "departments": """
-        SELECT n_nationkey + 1 AS department_id, n_name AS department_name, r_name AS location,
+        SELECT CAST(n_nationkey + 1 AS BIGINT) AS department_id, n_name AS department_name, r_name AS location,
                CAST(1000000 * (n_nationkey + 1) AS DECIMAL(15,2)) AS budget
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "employees": f"""
         SELECT {EMP} AS employee_id, split_part(c_name, '#', 1) AS first_name,
                split_part(c_name, '#', 2) AS last_name, lower({EMP}) || '@example.com' AS email,
                CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
-               21 + c_custkey % 45 AS age, c_nationkey + 1 AS department_id, c_mktsegment AS role,
+               21 + c_custkey % 45 AS age, CAST(c_nationkey + 1 AS BIGINT) AS department_id, c_mktsegment AS role,
                {SALARY} AS salary, {HIRE} AS hire_date,
                CASE WHEN c_acctbal > 9400 THEN 'Resigned' ELSE 'Active' END AS status
         FROM customer""",
@@ -51,12 +52,12 @@ CTES = {
     "reviews": f"""
         SELECT printf('R%07d', o_orderkey + 1) AS review_id, printf('E%06d', o_custkey + 1) AS employee_id,
                {project_of('o_orderkey * o_orderkey')} AS project_id, CAST(o_orderdate AS DATE) AS review_date,
-               CAST(substr(o_orderpriority, 1, 1) AS INT) AS rating,
+               CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS rating,
                CAST(floor(o_totalprice / 50) AS BIGINT) AS cents,
                (1995 + o_orderkey % 7) || ' performance review' AS comments
         FROM orders""",
     "history": f"""
-        SELECT {EMP} AS employee_id, (c_nationkey + 1) % 25 + 1 AS department_id, c_mktsegment AS role,
+        SELECT {EMP} AS employee_id, CAST((c_nationkey + 1) % 25 + 1 AS BIGINT) AS department_id, c_mktsegment AS role,
                CAST({SALARY} * 85 / 100 AS DECIMAL(15,2)) AS salary,
                {HIRE} + CAST(30 + c_custkey % 471 AS INT) AS start_date, DATE '1997-12-31' AS end_date
         FROM customer WHERE c_acctbal < 0""",
@@ -68,7 +69,7 @@ CTES = {
         SELECT project_id, project_name, description, start_date, CAST(NULL AS DATE) AS end_date,
                'Planned' AS status FROM projects WHERE start_date >= DATE '1994-03-01'""",
     "base_reviews": """
-        SELECT review_id, employee_id, project_id, review_date, 3 AS rating, cents, comments
+        SELECT review_id, employee_id, project_id, review_date, CAST(3 AS BIGINT) AS rating, cents, comments
         FROM reviews WHERE review_date < DATE '2000-01-01'""",
     "base_history": """
         SELECT * FROM history WHERE employee_id IN (SELECT employee_id FROM base_employees)""",
@@ -88,7 +89,7 @@ CTES = {
                CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
                CASE c_custkey % 15 WHEN 6 THEN 'abc' WHEN 7 THEN '17' WHEN 8 THEN '71'
                     ELSE CAST(21 + c_custkey % 45 AS VARCHAR) END AS age,
-               c_nationkey + 1 AS department_id,
+               CAST(c_nationkey + 1 AS BIGINT) AS department_id,
                CASE c_custkey % 15 WHEN 9 THEN '' WHEN 10 THEN '12345' WHEN 11 THEN '---'
                     ELSE c_mktsegment END AS role,
                CASE c_custkey % 15 WHEN 12 THEN '0' WHEN 14 THEN 'abc' ELSE '500000' END AS salary,
@@ -159,7 +160,7 @@ def fact_ctes(prefix: str, reviews: str, employee: str, project: str, date: str)
              AND r.review_date BETWEEN e.start_date AND e.end_date""",
         f"{prefix}matched": f"""
             SELECT r.review_id, v.employee_sk, p.project_sk, v.department_sk, d.date_sk, r.rating, r.cents,
-                   1 AS review_count, d.year_num
+                   CAST(1 AS BIGINT) AS review_count, d.year_num
             FROM {reviews} r JOIN {prefix}versioned v ON v.review_id = r.review_id AND rn = 1
             JOIN {project} p ON p.project_id = r.project_id
             JOIN {date} d ON d.full_date = r.review_date""",
@@ -347,43 +348,30 @@ CTES["judged"] = f"SELECT *, {form_rules(True)} AS reject_reason FROM submitted"
 
 # --- generator ------------------------------------------------------------------------
 
-def bits(purpose: str, row: str = "i") -> str:
-    return f"md5('42|{purpose}|' || {row})"
+def words(key: str) -> str:
+    return ", ".join(f"CAST('0x' || substr(md5('42|' || {key}), {1 + 8 * i}, 8) AS BIGINT) AS w{i}" for i in range(2))
 
 
-def word(purpose: str, index: int, row: str = "i") -> str:
-    return f"CAST('0x' || substr({bits(purpose, row)}, {8 * index + 1}, 8) AS BIGINT)"
-
-
-def between(purpose: str, index: int, low: int, high: int, row: str = "i") -> str:
-    return f"({low} + {word(purpose, index, row)} % {high - low + 1})"
-
-
-def pick(purpose: str, index: int, values: list[str]) -> str:
+def pick(purpose: str, values: list[str]) -> str:
     options = ", ".join(f"'{v}'" for v in values)
-    return f"([{options}])[{word(purpose, index)} % {len(values)} + 1]"
+    return f"([{options}])[{draw_sql(purpose)} % {len(values)} + 1]"
 
 
-def weighted(purpose: str, index: int) -> str:
+def weighted(purpose: str) -> str:
     arms, limit = [], 0
     for place, (_, share) in enumerate(PROJECTS):
         limit += share
-        arms.append(f"WHEN {word(purpose, index)} % 100 < {limit} THEN {place + 1}")
+        arms.append(f"WHEN {draw_sql(purpose)} % 100 < {limit} THEN {place + 1}")
     return f"CASE {' '.join(arms)} END"
 
 
-def normal(purpose: str, spread: int) -> str:
-    total = " + ".join(word(f"{purpose}{part}", index) for part in range(3) for index in range(4))
-    return f"((({total}) * {spread}) // 4294967296 - {6 * spread})"
-
-
 def choose(key: str, values: dict, default) -> str:
     arms = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in values.items())
     return f"CASE {key} {arms} ELSE {default} END"
 
 
-def day_between(low: str, high: str, purpose: str, index: int) -> str:
-    return f"(({low}) + CAST({word(purpose, index)} % greatest(1, datediff('day', {low}, {high}) + 1) AS INT))"
+def day_between(low: str, high: str, purpose: str) -> str:
+    return f"(({low}) + CAST({draw_sql(purpose)} % greatest(1, datediff('day', {low}, {high}) + 1) AS INT))"
 
 
 DEPARTMENT_NAMES = [d[1] for d in DEPARTMENTS]
@@ -413,61 +401,62 @@ CTES.update({
                CASE WHEN c_custkey % 5 = 0 THEN 'Yes' ELSE 'No' END AS Attrition
         FROM customer""",
     "sized": "SELECT count(*) AS size, 3 * count(*) AS total FROM seed",
-    "drawn": f"""
-        SELECT i, printf('E%06d', i + 1) AS employee_id, i < greatest(1, total // 10) AS has_past, total,
-               {pick('employee-c', 0, FIRST_NAMES)} AS first_name, {pick('employee-c', 1, LAST_NAMES)} AS last_name,
-               coalesce(Gender, {pick('employee-c', 2, GENDERS)}) AS gender,
-               greatest(21, least(65, {safe_number('Age', between('employee-a', 2, 22, 55))})) AS age,
-               greatest(0, least(35, {safe_number('YearsAtCompany', between('employee-a', 3, 0, 15))})) AS years,
-               CASE WHEN Department IN ({', '.join(f"'{d}'" for d in DEPARTMENT_NAMES)}) THEN Department
-                    ELSE {pick('employee-a', 0, DEPARTMENT_NAMES)} END AS department_name,
-               CASE WHEN trim(JobRole) = '' OR JobRole = 'nan' THEN {pick('employee-a', 1, ROLE_NAMES)}
-                    ELSE JobRole END AS role,
-               CAST(1200 * ({safe_number('MonthlyIncome', between('employee-b', 2, 30000, 180000))}) AS BIGINT)
-                 AS cents,
-               CASE WHEN Attrition = 'Yes' THEN {pick('employee-b', 3, LEAVER_STATUS)} ELSE 'Active' END AS status
+    "numbered": f"""
+        SELECT i, total, s.*, {words('i')}
         FROM sized, unnest(range(3 * size)) AS t(i)
         JOIN (SELECT *, row_number() OVER (ORDER BY CAST(EmployeeNumber AS BIGINT)) AS place FROM seed) s
           ON place = i % size + 1""",
+    "drawn": f"""
+        SELECT i, w0, w1, printf('E%06d', i + 1) AS employee_id, i < greatest(1, total // 10) AS has_past, total,
+               {pick('first name', FIRST_NAMES)} AS first_name, {pick('last name', LAST_NAMES)} AS last_name,
+               coalesce(Gender, {pick('gender', GENDERS)}) AS gender,
+               greatest(21, least(65, {safe_number('Age', between_sql('age', 22, 55))})) AS age,
+               greatest(0, least(35, {safe_number('YearsAtCompany', between_sql('years', 0, 15))})) AS years,
+               CASE WHEN Department IN ({', '.join(f"'{d}'" for d in DEPARTMENT_NAMES)}) THEN Department
+                    ELSE {pick('department', DEPARTMENT_NAMES)} END AS department_name,
+               CASE WHEN trim(JobRole) = '' OR JobRole = 'nan' THEN {pick('role', ROLE_NAMES)}
+                    ELSE JobRole END AS role,
+               CAST(1200 * ({safe_number('MonthlyIncome', between_sql('income', 30000, 180000))}) AS BIGINT) AS cents,
+               CASE WHEN Attrition = 'Yes' THEN {pick('leaver', LEAVER_STATUS)} ELSE 'Active' END AS status
+        FROM numbered""",
     "hired": f"""
         SELECT *, lower(employee_id) || '@example.com' AS email,
-               {choose('department_name', {d[1]: d[0] for d in DEPARTMENTS}, 1)} AS department_id,
-               CASE WHEN cents < 24000000 THEN 1200 * {between('employee-b', 2, 30000, 180000)}
+               CAST({choose('department_name', {d[1]: d[0] for d in DEPARTMENTS}, 1)} AS BIGINT) AS department_id,
+               CASE WHEN cents < 24000000 THEN 1200 * {between_sql('pay', 30000, 180000)}
                     ELSE cents END AS salary_cents,
-               least(greatest(1995, least(2025, 2026 - years - {between('employee-b', 0, 0, 5)})),
+               least(greatest(1995, least(2025, 2026 - years - {between_sql('hire year', 0, 5)})),
                      CASE WHEN has_past THEN 2022 ELSE 2025 END) AS hire_year
         FROM drawn""",
     "dated": f"""
         SELECT *, {day_between('make_date(CAST(hire_year AS BIGINT), 1, 1)',
                                'make_date(CAST(greatest(hire_year, CASE WHEN has_past THEN 2023 ELSE 2025 END) AS BIGINT), 12, 31)',
-                               'employee-b', 1)} AS hire_date,
-               {weighted('project', 0)} AS project,
-               CASE WHEN {word('project', 1)} % 100 < 35 THEN {weighted('project', 2)} END AS second_project,
+                               'hire day')} AS hire_date,
+               {weighted('project')} AS project,
+               CASE WHEN {draw_sql('has second')} % 100 < 35 THEN {weighted('second project')} END AS second_project,
                {choose('role', {r: t * 1000 for r, t in ROLES}, 0)} AS role_effect
         FROM hired""",
     "people": f"""
         SELECT *, CASE WHEN has_past THEN least(
-                   hire_date + CAST(greatest(30, least(500, {between('past', 2, 30, 899)})) AS INT),
+                   hire_date + CAST(greatest(30, least(500, {between_sql('past start', 30, 899)})) AS INT),
                    DATE '2024-06-01') END AS past_start,
                greatest(450000, least(950000, {choose('department_id', TYPICAL, 720000)} + role_effect
-                                              + {normal('base', 50000)})) AS base
+                                              + {normal_sql('base', 50000, '//')})) AS base
         FROM dated""",
 })
 
 
 def year_reviews(year: int) -> str:
-    purpose = f"review-{year}"
     department = "department_id % 6 + 1" if year == 2024 else "department_id"
     earliest = "past_start" if year == 2024 else "hire_date"
     low = f"least(greatest({earliest}, DATE '{year}-01-15'), DATE '{year}-12-15')"
     offset = {2024: "1", 2025: "greatest(1, total // 10) + 1", 2026: "greatest(1, total // 10) + total + 1"}[year]
     return f"""
         SELECT printf('R%07d', i + {offset}) AS review_id, employee_id,
-               printf('P%04d', CASE WHEN second_project IS NOT NULL AND {word(purpose, 1)} % 100 < 25
+               printf('P%04d', CASE WHEN second_project IS NOT NULL AND {draw_sql(f'on second {year}')} % 100 < 25
                                     THEN second_project ELSE project END) AS project_id,
-               {day_between(low, f"DATE '{year}-12-15'", purpose, 0)} AS review_date,
+               {day_between(low, f"DATE '{year}-12-15'", f'review day {year}')} AS review_date,
                greatest(35000000, least(99000000, 55 * base + 35 * {choose(department, TYPICAL, 720000)}
-                   + 10 * role_effect + 100 * ({REVIEW_YEARS[year] * 10000} + {normal(f'noise-{year}', 70000)})))
+                   + 10 * role_effect + 100 * ({REVIEW_YEARS[year] * 10000} + {normal_sql(f'noise {year}', 70000, '//')})))
                  AS score,
                '{year} performance review' AS comments
         FROM people WHERE {'has_past' if year == 2024 else f'year(hire_date) <= {year}'}"""
@@ -725,11 +714,12 @@ BODIES = {
         SELECT printf('P%04d', i + 1) AS project_id, project_name,
                'Enterprise initiative: ' || project_name AS description,
                CAST(DATE '2024-01-01' + CAST(45 * i AS INT) AS VARCHAR) AS start_date,
-               CAST(DATE '2024-01-01' + CAST(45 * i + {between('projects', 0, 180, 540)} AS INT) AS VARCHAR)
-                 AS end_date, {pick('projects', 1, PROJECT_STATUS)} AS status,
+               CAST(DATE '2024-01-01' + CAST(45 * i + {between_sql('length', 180, 540)} AS INT) AS VARCHAR)
+                 AS end_date, {pick('status', PROJECT_STATUS)} AS status,
                (SELECT nullif(count(*), 0) FROM synth_assignments a
                 WHERE a.project_id = printf('P%04d', p.i + 1)) AS assigned
-        FROM (VALUES {', '.join(f"({i}, '{name}')" for i, (name, _) in enumerate(PROJECTS))}) AS p(i, project_name)""",
+        FROM (SELECT *, {words("'project' || i")} FROM (VALUES {', '.join(
+            f"({i}, '{name}')" for i, (name, _) in enumerate(PROJECTS))}) AS v(i, project_name)) p""",
     "synth_assignments": """
         SELECT assignment_id, employee_id, project_id, assignment_role,
                CAST(start_date AS VARCHAR) AS start_date, CAST(NULL AS VARCHAR) AS end_date FROM synth_assignments""",
@@ -740,15 +730,15 @@ BODIES = {
     "synth_history": f"""
         SELECT employee_id, department_id % 6 + 1 AS department_id,
                {choose('department_id % 6 + 1', {d[0]: d[1] for d in DEPARTMENTS}, 'NULL')} AS department_name,
-               {pick('past', 0, ROLE_NAMES)} AS role,
-               ((2 * salary_cents * {between('past', 1, 7800, 9200)} + 10000) // 20000) / 100.0 AS salary,
+               {pick('past role', ROLE_NAMES)} AS role,
+               ((2 * salary_cents * {between_sql('pay share', 7800, 9200)} + 10000) // 20000) / 100.0 AS salary,
                CAST(past_start AS VARCHAR) AS start_date, '2024-12-31' AS end_date, false AS is_current
         FROM people WHERE has_past""",
     "review_date_guardrail": f"""
         SELECT review_id, CAST(CASE WHEN year(review_date) <> y THEN make_date(y, 1, 15)
-                   + CAST({between('guardrail', 0, 0, 333, 'review_id')} AS INT) ELSE review_date END AS VARCHAR)
+                   + CAST({between_sql('guardrail', 0, 333)} AS INT) ELSE review_date END AS VARCHAR)
                  AS review_date, comments
-        FROM (SELECT *, CAST(substr(comments, 1, 4) AS BIGINT) AS y FROM reviews)""",
+        FROM (SELECT *, CAST(substr(comments, 1, 4) AS BIGINT) AS y, {words('review_id')} FROM reviews)""",
 }
 BODIES["intake_stream"] = BODIES["intake_employees"]
 

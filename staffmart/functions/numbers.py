@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,49 +36,59 @@ def clip(value: Column, low: Column | int, high: Column | int) -> Column:
     return F.greatest(low, F.least(high, value))
 
 
-def digest(seed: int, purpose: str, row: Column) -> Column:
-    """128 random bits that depend on the row number and the purpose only."""
-    return F.md5(F.concat(F.lit(f"{seed}|{purpose}|"), row.cast("string")))
+# --- random values that depend on the row only --------------------------------------------
+#
+# A row gets two random words from one md5 of its key. Each purpose mixes them with its own
+# constants modulo a prime, so draws for different purposes are independent of each other,
+# cost a few integer operations, and are the same on every engine and in every retry.
+
+PRIME = 2147483647
+
+
+def words(seed: int, key: Column) -> list[Column]:
+    """Columns ``w0`` and ``w1``, which the draws below read."""
+    bits = F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return [F.conv(F.substring(bits, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"w{i}") for i in range(2)]
 
 
-def word(bits: Column, index: int) -> Column:
-    """One of the four 32-bit words of a digest, as a non-negative long."""
-    return F.conv(F.substring(bits, 8 * index + 1, 8), 16, 10).cast("long")
+def draw_sql(purpose: str) -> str:
+    """Uniform whole number from 0 to PRIME - 1."""
+    mixed = hashlib.md5(purpose.encode()).hexdigest()
+    a, b, c = (int(mixed[i:i + 7], 16) for i in (0, 7, 14))
+    return f"((w0 * {a} + w1 * {b} + {c}) % {PRIME})"
 
 
-def between(bits: Column, index: int, low: int | Column, high: int | Column) -> Column:
+def between_sql(purpose: str, low: int, high: int) -> str:
     """Uniform whole number from low to high, both included."""
-    low = low if isinstance(low, Column) else F.lit(low)
-    high = high if isinstance(high, Column) else F.lit(high)
-    return low + F.pmod(word(bits, index), high - low + 1)
+    return f"({low} + {draw_sql(purpose)} % {high - low + 1})"
+
+
+def draw(purpose: str) -> Column:
+    return F.expr(draw_sql(purpose))
 
 
-def pick(bits: Column, index: int, values: list[str]) -> Column:
+def between(purpose: str, low: int, high: int) -> Column:
+    return F.expr(between_sql(purpose, low, high))
+
+
+def pick(purpose: str, values: list[str]) -> Column:
     """One of the values, all equally likely."""
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (F.pmod(word(bits, index), F.lit(len(values))) + 1).cast("int"))
-
-
-def pick_weighted(bits: Column, index: int, weights: list[int]) -> Column:
-    """Position 0, 1, … with the given whole-number weights."""
-    roll = F.pmod(word(bits, index), F.lit(sum(weights)))
-    chosen, limit = None, 0
-    for position, weight in enumerate(weights):
-        limit += weight
-        chosen = (F.when(roll < limit, position) if chosen is None
-                  else chosen.when(roll < limit, position))
-    return chosen
-
-
-def normal(seed: int, purpose: str, row: Column, spread: int) -> Column:
-    """Bell-shaped whole number around 0 with standard deviation ``spread``.
-
-    Sum of twelve uniform words less its mean, so integer arithmetic gives the same value
-    on every engine.
-    """
-    total = None
-    for part in range(3):
-        bits = digest(seed, f"{purpose}{part}", row)
-        for index in range(4):
-            total = word(bits, index) if total is None else total + word(bits, index)
-    return F.shiftright(total * spread, 32) - 6 * spread
+    options = ", ".join(f"'{v}'" for v in values)
+    return F.expr(f"element_at(array({options}), cast({draw_sql(purpose)} % {len(values)} as int) + 1)")
+
+
+def pick_weighted(purpose: str, weights: list[int]) -> Column:
+    """Position 1, 2, … with the given whole-number weights."""
+    slots = ", ".join(str(place + 1) for place, weight in enumerate(weights) for _ in range(weight))
+    return F.expr(f"element_at(array({slots}), cast({draw_sql(purpose)} % {sum(weights)} as int) + 1)")
+
+
+def normal_sql(purpose: str, spread: int, divide: str) -> str:
+    """Sum of twelve draws, less its mean, scaled to the standard deviation ``spread``."""
+    total = " + ".join(draw_sql(f"{purpose}-{part}") for part in range(12))
+    return f"((({total}) * {spread}) {divide} {PRIME} - {6 * spread})"
+
+
+def normal(purpose: str, spread: int) -> Column:
+    """Bell-shaped whole number around 0 with standard deviation ``spread``."""
+    return F.expr(normal_sql(purpose, spread, "div"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,22 +17,28 @@ def version_counts(dim_employee: DataFrame, more_than: int = 1) -> DataFrame:
             .where(F.col("versions") > more_than))
 
 
-def valid_versions(reviews: DataFrame, dim_employee: DataFrame) -> DataFrame:
-    """One row per (employee, review date) that has a valid version.
+def validity_segments(dim_employee: DataFrame) -> DataFrame:
+    """Spans (first_day to last_day) per employee that do not overlap, with the valid version.
 
-    The newest start wins, and on equal starts the highest key. Both sides are reduced
-    before the range join: reviews to their distinct days, versions to one per validity
-    span. An employee with a third of all reviews contributes one row per calendar day, and
-    the reviews themselves are not sorted again per review afterwards.
+    Where versions overlap the newest start wins, and on equal starts the highest key. A
+    date then matches at most one segment, so reviews are joined once and need no ranking
+    per review. All work here is on the dimension; an employee has at most two segment
+    borders per calendar day, however many versions there are.
     """
-    days = reviews.select("employee_id", "review_date").distinct()
-    spans = (dim_employee.groupBy("employee_id", "start_date", "end_date")
+    spans = (dim_employee.where("start_date <= end_date")
+             .groupBy("employee_id", "start_date", "end_date")
              .agg(F.max(F.struct("employee_sk", "department_sk")).alias("version")))
-    valid = days.join(
+    border = F.explode(F.array("start_date", F.date_add("end_date", 1))).alias("first_day")
+    borders = (spans.select("employee_id", border).distinct()
+               .withColumn("last_day", F.date_sub(F.lead("first_day").over(
+                   Window.partitionBy("employee_id").orderBy("first_day")), 1))
+               .where("last_day is not null"))
+    valid = borders.join(
         spans.withColumnRenamed("employee_id", "_id"),
         (F.col("employee_id") == F.col("_id"))
-        & F.col("review_date").between(F.col("start_date"), F.col("end_date")))
-    newest = (valid.groupBy("employee_id", "review_date")
+        & F.col("first_day").between(F.col("start_date"), F.col("end_date")))
+    newest = (valid.groupBy("employee_id", "first_day", "last_day")
               .agg(F.max(F.struct("start_date", "version")).alias("newest")))
-    return newest.select("employee_id", "review_date", "newest.version.employee_sk",
-                         "newest.version.department_sk")
+    return newest.select("employee_id", "first_day", "last_day",
+                         F.col("newest.version.employee_sk").alias("employee_sk"),
+                         F.col("newest.version.department_sk").alias("department_sk"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from staffmart.operators.merge import next_key
 from staffmart.operators.ordering import with_position
-from staffmart.operators.point_in_time import valid_versions
+from staffmart.operators.point_in_time import validity_segments
 from staffmart.sources.tables import materialise, write_parquet
 
 MEASURES = ["employee_sk", "project_sk", "department_sk", "date_sk", "rating", "review_score",
@@ -20,15 +20,19 @@ def resolve_reviews(reviews: DataFrame, dim_employee: DataFrame, dim_project: Da
                     dim_date: DataFrame) -> DataFrame:
     """Every review with the keys it resolves to; a key that is missing is NULL.
 
-    The department is that of the version valid on the review date. Dates are looked up
-    with the versions, on distinct days rather than on reviews.
+    The department is that of the version valid on the review date. Segments have few rows
+    per employee and at most one match per review, so an employee with a third of all
+    reviews only makes the review side uneven, which adaptive execution may split.
     """
     days = dim_date.select(F.col("full_date").alias("review_date"), "date_sk", "year_num")
-    keyed_days = valid_versions(reviews, dim_employee).join(days, "review_date", "left")
+    segments = validity_segments(dim_employee).withColumnRenamed("employee_id", "_id")
     projects = dim_project.select("project_id", "project_sk")
     return (reviews
             .select("review_id", "employee_id", "project_id", "review_date", "rating", "review_score")
-            .join(keyed_days, ["employee_id", "review_date"], "left")
+            .join(segments, (F.col("employee_id") == F.col("_id"))
+                  & F.col("review_date").between(F.col("first_day"), F.col("last_day")), "left")
+            .drop("_id", "first_day", "last_day")
+            .join(days, "review_date", "left")
             .join(projects, "project_id", "left")
             .withColumn("review_count", F.lit(1)))
 

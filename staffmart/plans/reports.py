@@ -207,8 +207,8 @@ def attrition_risk(w: Warehouse, as_of=None) -> DataFrame:
 def attrition_distribution(w: Warehouse, as_of=None) -> DataFrame:
     """Employees per level; a level nobody has is listed with 0."""
     counts = _risk_levels(w, as_of).groupBy("risk_level").agg(F.count(F.lit(1)).alias("_n"))
-    spark = w.fact.sparkSession
-    levels = spark.createDataFrame([(i, level) for i, level in enumerate(RISK_LEVELS)], "place int, risk_level string")
+    levels = w.fact.sparkSession.range(1).select(
+        F.posexplode(F.array(*[F.lit(level) for level in RISK_LEVELS])).alias("place", "risk_level"))
     return (levels.join(counts, "risk_level", "left").orderBy("place")
             .select("risk_level", F.coalesce("_n", F.lit(0)).alias("employee_count")))
 

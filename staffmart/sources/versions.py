@@ -37,7 +37,7 @@ def make_current(spark: SparkSession, root: str, folder: str) -> int:
     """Append one line to the version log; this is the moment the load becomes visible."""
     last = current(spark, root)
     version = (last[0] if last else 0) + 1
-    line = spark.createDataFrame([(version, folder)], _LOG_SCHEMA)
+    line = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"))
     line.coalesce(1).write.mode("append").json(f"{root}/{_LOG}")
     return version
 

@@ -80,7 +80,7 @@ def department_change_stream(changes: DataFrame, root: str, dim_department: Data
         if exists(spark, f"{folder}/rejects"):
             rejects = spark.read.parquet(f"{folder}/rejects").unionByName(rejects)
         publish({"dim_employee": result.dim_employee, "employees": result.employees, "rejects": rejects,
-                 "applied": spark.createDataFrame([(batch_id,)], "batch long")}, root)
+                 "applied": spark.range(1).select(F.lit(batch_id).alias("batch"))}, root)
 
     return (changes.writeStream.foreachBatch(apply)
             .option("checkpointLocation", checkpoint)
