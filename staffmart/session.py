@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Above 8,000 bytes of byte code the JVM does not compile a method; wide projections then
+    # run faster outside whole-stage code, where Spark splits them into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Plans are built from many small expressions; do not record a call site for each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
