@@ -8,7 +8,7 @@ number of shuffle partitions and does not grow with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from staffmart.sources.tables import materialise
@@ -29,25 +29,30 @@ def sorted_chunks(df: DataFrame, order: list[Column | str], label: str = "sorted
     return materialise(placed, label)
 
 
+def _over_chunks() -> WindowSpec:
+    """Order over all chunks: one row per shuffle partition, so one task is enough."""
+    return Window.partitionBy(F.lit(0)).orderBy("_chunk")
+
+
 def _rows_before(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: rows in it, and rows in all chunks before it."""
+    """One row per chunk, with the number of rows in all chunks before it."""
     sizes = chunks.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per shuffle partition, so the unpartitioned window stays small.
-    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        "_chunk", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    earlier = _over_chunks().rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_chunk", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+
+
+def closed_up(chunks: DataFrame, label: str = "kept") -> DataFrame:
+    """Chunks after a filter, with ``_row`` counted anew, written to the shared folder."""
+    row = F.row_number().over(Window.partitionBy("_chunk").orderBy("_row")) - 1
+    return materialise(chunks.withColumn("_row", row.cast("long")), label)
 
 
-def number_chunks(chunks: DataFrame, name: str, start: int = 1, dense_rows: bool = True) -> DataFrame:
-    """Dense numbers from ``start`` in chunk order; pass dense_rows=False after a filter."""
-    row = F.col("_row") + 1
-    if not dense_rows:
-        row = F.row_number().over(Window.partitionBy("_chunk").orderBy("_row"))
+def number_chunks(chunks: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Dense numbers from ``start`` in chunk order, for sorted or closed-up chunks."""
     offsets = _rows_before(chunks).select("_chunk", "_before")
-    return (chunks.withColumn("_n", row.cast("long"))
-            .join(F.broadcast(offsets), "_chunk")
-            .withColumn(name, F.col("_before") + F.col("_n") + (start - 1))
-            .drop("_n", "_before"))
+    return (chunks.join(F.broadcast(offsets), "_chunk")
+            .withColumn(name, F.col("_before") + F.col("_row") + start)
+            .drop("_before"))
 
 
 def with_position(df: DataFrame, name: str, order: list[Column | str], start: int = 1) -> DataFrame:
@@ -60,8 +65,7 @@ def _across_chunks(chunks: DataFrame, key: str, column: str, forward: bool) -> D
     """Per chunk, the key and value of the nearest row in another chunk."""
     edge = F.min if forward else F.max
     edges = chunks.groupBy("_chunk").agg(edge(F.struct("_row", key, column)).alias("_edge"))
-    by_chunk = Window.orderBy("_chunk")  # one row per shuffle partition
-    near = (F.lead if forward else F.lag)("_edge").over(by_chunk)
+    near = (F.lead if forward else F.lag)("_edge").over(_over_chunks())
     return (edges.select("_chunk", near.alias("_near"))
             .select("_chunk", F.col(f"_near.{key}").alias("_near_key"),
                     F.col(f"_near.{column}").alias("_near_value")))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.functions.dates import open_end
+from staffmart.operators.lookup import join_found
 from staffmart.operators.merge import next_key
-from staffmart.operators.ordering import number_chunks, sorted_chunks, with_next, with_previous
+from staffmart.operators.ordering import closed_up, number_chunks, sorted_chunks, with_next, with_previous
 
 SAME_DAY, DAY_BEFORE = "same_day", "day_before"
 
@@ -28,9 +29,8 @@ def _judge(changes: DataFrame, dim_employee: DataFrame, employees: DataFrame,
     """Changes with what they need from the tables, and ``reject_reason``."""
     newest = (dim_employee.where("is_current").groupBy("employee_id")
               .agg(F.max(F.struct("employee_sk", "department_sk", "start_date")).alias("now")))
-    # Employees are looked up once per employee, not once per change; the only join that
-    # sees the changes of a busy employee has one row per key on the other side, so
-    # adaptive execution may split it.
+    # Employees are looked up once per employee, not once per change; only one join sees
+    # all changes of a busy employee.
     subjects = (changes.select("employee_id").distinct()
                 .join(employees.select("employee_id", F.lit(True).alias("_known")), "employee_id", "left")
                 .join(newest, "employee_id", "left")
@@ -47,7 +47,7 @@ def _judge(changes: DataFrame, dim_employee: DataFrame, employees: DataFrame,
               .when(F.col("_sk").isNull(), "no current version")
               .when(F.col("effective_date").isNull(), "no effective date")
               .when(too_early, "effective before current start"))
-    return (changes.join(subjects, "employee_id", "left").join(targets, "new_department_id", "left")
+    return (join_found(changes, subjects, "employee_id").join(targets, "new_department_id", "left")
             .withColumn("reject_reason", reason))
 
 
@@ -82,8 +82,9 @@ def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employ
     moves = (with_previous(ordered, "employee_id", "_target_sk", "_before_sk")
              .withColumn("_before_sk", F.coalesce("_before_sk", "_department_sk"))
              .where("_before_sk <> _target_sk"))
-    chained = with_next(moves, "employee_id", "effective_date", "_next_date")
-    opened = number_chunks(chained, "employee_sk", next_key(dim_employee, "employee_sk"), dense_rows=False)
+    # Written once: the new versions, the closed ones and the employees all read it.
+    moves = closed_up(with_next(moves, "employee_id", "effective_date", "_next_date"), "moves")
+    opened = number_chunks(moves, "employee_sk", next_key(dim_employee, "employee_sk"))
 
     person = employees.select("employee_id", "first_name", "last_name", "email", "gender", "age",
                               "role", "salary", "hire_date")
@@ -101,7 +102,7 @@ def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employ
               .withColumn("is_current", F.col("is_current") & F.col("_closed_by").isNull())
               .select(*dim_employee.columns))
 
-    last_move = chained.where("_next_date is null").select(
+    last_move = moves.where("_next_date is null").select(
         "employee_id", F.col("new_department_id").alias("_moved_to"))
     moved = (employees.join(last_move, "employee_id", "left")
              .withColumn("department_id", F.coalesce("_moved_to", "department_id"))

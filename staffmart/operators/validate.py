@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from staffmart.functions.dates import as_of_date
 from staffmart.functions.numbers import INTEGER, parse_float
 from staffmart.functions.text import is_blank, matches, strip
+from staffmart.operators.lookup import join_found, known_keys
 
 # Accepted forms and ranges.
 NAME = r"[A-Za-z][A-Za-z\s'-]*"
@@ -69,9 +70,8 @@ def validate_employees(intake: DataFrame, as_of=None, rules: str = FORM) -> Data
 
 
 def _known(df: DataFrame, parent: DataFrame, key: str, flag: str) -> DataFrame:
-    """Mark rows whose key exists; one row per key on the parent side, so nothing multiplies."""
-    keys = parent.select(key).distinct().withColumn(flag, F.lit(True))
-    return df.join(keys, key, "left")
+    """Mark rows whose key exists."""
+    return join_found(df, known_keys(df, parent, key).withColumn(flag, F.lit(True)), key)
 
 
 def _reference_rules() -> list[tuple[str, Column]]:

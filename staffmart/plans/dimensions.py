@@ -54,11 +54,16 @@ def _with_department(rows: DataFrame, dim_department: DataFrame) -> DataFrame:
     return rows.join(keys, "department_id", "left")
 
 
-def _require(rows: DataFrame, broken, message: str) -> None:
-    """Raise if any row is broken; at most twenty offending values are shown."""
-    sample = [str(r[0]) for r in rows.where(broken).select("_value").distinct().limit(20).collect()]
-    if sample:
-        raise MissingReference(f"{message}: {', '.join(sorted(sample))}")
+def _require_references(rows: DataFrame) -> None:
+    """Raise if a lookup found nothing; at most twenty of the offending values are shown."""
+    message = F.when(F.col("department_sk").isNull(),
+                     F.concat(F.lit("department not in the warehouse: "), F.col("department_id")))
+    if "_known" in rows.columns:
+        message = F.coalesce(F.when(F.col("_known").isNull(), F.concat(
+            F.lit("history of unknown employee: "), F.col("employee_id"))), message)
+    found = rows.select(message.alias("m")).where("m is not null").distinct().limit(20).collect()
+    if found:
+        raise MissingReference("; ".join(sorted(r.m for r in found)))
 
 
 def employee_versions(employees: DataFrame, history: DataFrame, dim_department: DataFrame,
@@ -94,11 +99,8 @@ def build_dim_employee(employees: DataFrame, history: DataFrame, dim_department:
     """Type 2 dimension: past versions are numbered first, then current ones, by employee."""
     versions = employee_versions(employees, history, dim_department, current_start)
     numbered = with_position(versions, "employee_sk", ["is_current", "employee_id", "start_date"])
-    # The numbered rows are a written table, so these checks do not repeat the joins.
-    _require(numbered.withColumn("_value", F.col("employee_id")), F.col("_known").isNull(),
-             "history of unknown employees")
-    _require(numbered.withColumn("_value", F.col("department_id")), F.col("department_sk").isNull(),
-             "departments not in the warehouse")
+    # The numbered rows are a written table, so this check does not repeat the joins.
+    _require_references(numbered)
     return numbered.select(*VERSION_COLUMNS)
 
 
@@ -114,8 +116,7 @@ def first_versions(dim_employee: DataFrame, employees: DataFrame, dim_department
             .withColumn("end_date", open_end())
             .withColumn("is_current", F.lit(True)))
     numbered = with_position(rows, "employee_sk", ["employee_id"], next_key(dim_employee, "employee_sk"))
-    _require(numbered.withColumn("_value", F.col("department_id")), F.col("department_sk").isNull(),
-             "departments not in the warehouse")
+    _require_references(numbered)
     return numbered.select(*VERSION_COLUMNS)
 
 

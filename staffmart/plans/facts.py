@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staffmart.operators.lookup import join_found
 from staffmart.operators.merge import next_key
 from staffmart.operators.ordering import with_position
 from staffmart.operators.point_in_time import validity_segments
@@ -22,15 +23,15 @@ def resolve_reviews(reviews: DataFrame, dim_employee: DataFrame, dim_project: Da
 
     The department is that of the version valid on the review date. Segments have few rows
     per employee and at most one match per review, so an employee with a third of all
-    reviews only makes the review side uneven, which adaptive execution may split.
+    reviews makes only the review side uneven, which adaptive execution splits.
     """
     days = dim_date.select(F.col("full_date").alias("review_date"), "date_sk", "year_num")
     segments = validity_segments(dim_employee).withColumnRenamed("employee_id", "_id")
     projects = dim_project.select("project_id", "project_sk")
-    return (reviews
-            .select("review_id", "employee_id", "project_id", "review_date", "rating", "review_score")
-            .join(segments, (F.col("employee_id") == F.col("_id"))
-                  & F.col("review_date").between(F.col("first_day"), F.col("last_day")), "left")
+    rows = reviews.select("review_id", "employee_id", "project_id", "review_date", "rating", "review_score")
+    valid = ((F.col("employee_id") == F.col("_id"))
+             & F.col("review_date").between(F.col("first_day"), F.col("last_day")))
+    return (join_found(rows, segments, valid)
             .drop("_id", "first_day", "last_day")
             .join(days, "review_date", "left")
             .join(projects, "project_id", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from staffmart.functions.numbers import parse_float
 from staffmart.functions.text import hashed_id, strip
+from staffmart.operators.lookup import join_found
 from staffmart.operators.validate import (
     FORM, validate_assignments, validate_employees, validate_projects, validate_reviews)
 from staffmart.schemas import ASSIGNMENTS, EMPLOYEES, MONEY, PROJECTS, REVIEWS
@@ -42,13 +43,12 @@ def _refuse_taken(judged: DataFrame, stored: DataFrame | None, column: str, valu
     judged = judged.withColumn("_value", F.when(F.col("reject_reason").isNull(), value))
     first = (judged.where("_value is not null").groupBy("_value")
              .agg(F.min("submission_id").alias("_first")))
-    marked = judged.join(first, "_value", "left")
     taken = F.col("_first") != F.col("submission_id")
     if stored is not None:
         known = stored.select(F.col(column).alias("_value"), F.lit(True).alias("_stored")).distinct()
-        marked = marked.join(known, "_value", "left")
+        first = first.join(known, "_value", "left")
         taken = taken | F.col("_stored").isNotNull()
-    return (marked
+    return (join_found(judged, first, "_value")
             .withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & taken, reason)
                         .otherwise(F.col("reject_reason")))
             .drop("_value", "_first", "_stored"))

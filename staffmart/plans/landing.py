@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from staffmart.plans.intake import with_audit_times
 from staffmart.schemas import FILES, OPERATIONAL
-from staffmart.sources.tables import read_csv, read_parquet, require_inputs, write_csv
+from staffmart.sources.tables import read_csv, read_parquet, require_inputs, together, write_csv
 from staffmart.sources.versions import current, publish
 
 
 def write_files(tables: dict[str, DataFrame], folder: str) -> None:
     """The six CSV files (each a folder of part files)."""
-    for name, schema in FILES.items():
-        write_csv(tables[name].select(*schema.names), f"{folder}/{name}.csv")
+    spark = next(iter(tables.values())).sparkSession
+    together(spark, {name: lambda name=name, schema=schema: write_csv(
+        tables[name].select(*schema.names), f"{folder}/{name}.csv") for name, schema in FILES.items()})
 
 
 def read_files(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

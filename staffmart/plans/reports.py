@@ -79,11 +79,12 @@ def project_list(projects: DataFrame) -> DataFrame:
 
 def kpis(w: Warehouse) -> DataFrame:
     """One row: employees with a current version, reviews, mean and total score."""
-    employees = w.dim_employee.where("is_current").agg(F.countDistinct("employee_id").alias("employees"))
-    scores = w.fact.agg(F.count(F.lit(1)).alias("reviews"),
-                        F.round(F.avg("review_score"), 2).alias("avg_score"),
-                        F.round(F.sum("review_score"), 2).alias("total_score"))
-    return employees.crossJoin(scores)  # one row each
+    return w.fact.sparkSession.sql("""
+        SELECT (SELECT count(DISTINCT employee_id) FROM {versions} WHERE is_current) AS employees,
+               count(*) AS reviews,
+               round(avg(review_score), 2) AS avg_score,
+               round(sum(review_score), 2) AS total_score
+        FROM {fact}""", versions=w.dim_employee, fact=w.fact)
 
 
 def yearly_trend(w: Warehouse) -> DataFrame:

@@ -12,11 +12,10 @@ from staffmart.operators.merge import upsert
 from staffmart.plans.dimensions import (
     build_dim_date, build_dim_department, build_dim_employee, build_dim_project, first_versions,
     missing_dates)
-from staffmart.plans.facts import (
-    FACT_COLUMNS, FACT_PARTITIONS, build_fact, merge_fact, resolve_reviews)
+from staffmart.plans.facts import FACT_PARTITIONS, build_fact, merge_fact, resolve_reviews
 from staffmart.schemas import STAR
-from staffmart.sources.tables import materialise, read_parquet, write_parquet
-from staffmart.sources.versions import current, make_current, new_folder
+from staffmart.sources.tables import materialise, read_parquet, together, write_parquet
+from staffmart.sources.versions import current, make_current, new_folder, publish
 
 
 @dataclass
@@ -50,11 +49,16 @@ def rebuild(spark: SparkSession, tables: dict[str, DataFrame], root: str, curren
         write_parquet(df, f"{folder}/{name}", partitions)
         return read_parquet(spark, f"{folder}/{name}", STAR[name])
 
-    departments = store("dim_department", build_dim_department(tables["departments"]))
-    projects = store("dim_project", build_dim_project(tables["projects"]))
-    dates = store("dim_date", build_dim_date(tables["reviews"]))
-    employees = store("dim_employee", build_dim_employee(
-        tables["employees"], tables["employee_history"], departments, current_start))
+    def people() -> tuple[DataFrame, DataFrame]:
+        departments = store("dim_department", build_dim_department(tables["departments"]))
+        return departments, store("dim_employee", build_dim_employee(
+            tables["employees"], tables["employee_history"], departments, current_start))
+
+    done = together(spark, {
+        "people": people,
+        "projects": lambda: store("dim_project", build_dim_project(tables["projects"])),
+        "dates": lambda: store("dim_date", build_dim_date(tables["reviews"]))})
+    (departments, employees), projects, dates = done["people"], done["projects"], done["dates"]
     fact = store("fact", build_fact(tables["reviews"], employees, projects, dates), FACT_PARTITIONS)
     make_current(spark, root, folder)
     return Warehouse(departments, projects, dates, employees, fact)
@@ -121,13 +125,22 @@ def refresh(tables: dict[str, DataFrame], warehouse: Warehouse) -> Refresh:
     Departments and projects are upserted, only missing dates and employees are added, and
     every review is upserted against the version valid on its date.
     """
-    _require_unique(tables["departments"], "department_id")
-    _require_unique(tables["projects"], "project_id")
-    departments = upsert(warehouse.dim_department, tables["departments"], "department_id", "department_sk")
-    projects = upsert(warehouse.dim_project, tables["projects"], "project_id", "project_sk")
-    added_dates = materialise(missing_dates(warehouse.dim_date, tables["reviews"]), "dates")
+    def people() -> tuple[DataFrame, DataFrame]:
+        _require_unique(tables["departments"], "department_id")
+        departments = upsert(warehouse.dim_department, tables["departments"], "department_id", "department_sk")
+        return departments, first_versions(warehouse.dim_employee, tables["employees"], departments)
+
+    spark = warehouse.fact.sparkSession
+
+    def projects_now() -> DataFrame:
+        _require_unique(tables["projects"], "project_id")
+        return upsert(warehouse.dim_project, tables["projects"], "project_id", "project_sk")
+
+    done = together(spark, {
+        "people": people, "projects": projects_now,
+        "dates": lambda: materialise(missing_dates(warehouse.dim_date, tables["reviews"]), "dates")})
+    (departments, added_versions), projects, added_dates = done["people"], done["projects"], done["dates"]
     dates = warehouse.dim_date.unionByName(added_dates)
-    added_versions = first_versions(warehouse.dim_employee, tables["employees"], departments)
     versions = warehouse.dim_employee.unionByName(added_versions)
     resolved = resolve_reviews(tables["reviews"], versions, projects, dates)
     fact = materialise(merge_fact(warehouse.fact, resolved), "fact")
@@ -137,13 +150,5 @@ def refresh(tables: dict[str, DataFrame], warehouse: Warehouse) -> Refresh:
 
 def publish_refresh(result: Refresh, root: str) -> str:
     """Write all refreshed tables into a new folder and make it current."""
-    spark = result.warehouse.fact.sparkSession
-    folder = new_folder(root)
-    for name in STAR:
-        df = getattr(result.warehouse, name)
-        if name == "fact":
-            write_parquet(df.select(*FACT_COLUMNS), f"{folder}/{name}", FACT_PARTITIONS)
-        else:
-            write_parquet(df, f"{folder}/{name}")
-    make_current(spark, root, folder)
-    return folder
+    tables = {name: getattr(result.warehouse, name).select(*STAR[name].names) for name in STAR}
+    return publish(tables, root, {"fact": FACT_PARTITIONS})

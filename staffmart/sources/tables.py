@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import types as T
 
 from staffmart.session import shared_dir
 
+T_ = TypeVar("T_")
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header and a declared schema; a row that does not fit stops the job."""
@@ -86,9 +91,22 @@ def nulls_for_missing(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def together(spark: SparkSession, jobs: dict[str, Callable[[], T_]]) -> dict[str, T_]:
+    """Run independent jobs side by side, so small ones do not wait for each other.
+
+    The first error is raised after all have ended.
+    """
+    with ThreadPoolExecutor(max_workers=max(1, len(jobs))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(job)) for name, job in jobs.items()}
+    return {name: job.result() for name, job in running.items()}
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; never reused, so nothing read is ever overwritten."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; never reused, so nothing read is ever overwritten.
+
+    All paths of an application are in one folder, which can go when the application ended.
+    """
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.sources.tables import exists, write_parquet
+from staffmart.sources.tables import exists, together, write_parquet
 
 _LOG = "versions"
 _LOG_SCHEMA = "version long, folder string"
@@ -47,7 +47,7 @@ def publish(tables: dict[str, DataFrame], root: str,
     """Write all tables into a new folder, then make it current. Returns the folder."""
     spark = next(iter(tables.values())).sparkSession
     folder = new_folder(root)
-    for name, df in tables.items():
-        write_parquet(df, f"{folder}/{name}", (partition_by or {}).get(name, ()))
+    together(spark, {name: lambda name=name, df=df: write_parquet(
+        df, f"{folder}/{name}", (partition_by or {}).get(name, ())) for name, df in tables.items()})
     make_current(spark, root, folder)
     return folder

@@ -91,6 +91,32 @@ def test_hot_employee(spark, make):
     assert sorted(r.review_sk for r in rows) == list(range(1, 2001))
 
 
+def test_hot_employee_is_split(spark, make):
+    """Adaptive execution splits the reviews of one employee over several tasks."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    versions = make.versions(*[dict(employee_id=f"E{i}") for i in range(40)])
+    reviews = spark.range(20000).selectExpr(
+        "format_string('R%d', id) AS review_id", "if(id % 3 > 0, 'E0', concat('E', id % 40)) AS employee_id",
+        "'P1' AS project_id", "date_add(date'2024-02-01', cast(id % 90 AS int)) AS review_date", "3 AS rating",
+        "cast(id % 100 AS decimal(6,2)) AS review_score")
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        resolved = resolve_reviews(reviews, versions, build_dim_project(projects(spark)), build_dim_date(reviews))
+        rows = resolved.where("employee_sk is not null").select("review_id").collect()
+        plan = resolved.where("employee_sk is not null")
+        plan.collect()
+        assert "SortMergeJoin(skew=true)" in plan._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 20000
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_merge_keeps_keys_and_repoints(spark, make):
     old = make.versions(dict(employee_id="E1"))
     new = make.versions(dict(employee_id="E1", end_date="2024-06-01", is_current=False),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staffmart.operators.ordering import (
-    number_chunks, sorted_chunks, with_next, with_position, with_previous, with_tile)
+    closed_up, number_chunks, sorted_chunks, with_next, with_position, with_previous, with_tile)
 
 
 def skewed(spark, n=4000):
@@ -62,7 +62,7 @@ def test_neighbours_after_a_filter_that_empties_chunks(spark, many_chunks):
     kept = sorted(r for r in rows if r[0] != "hot" or r[1] in (0, 199))
     chunks = sorted_chunks(df, ["key", "at", "id"]).where("key <> 'hot' or at in (0, 199)")
     got = {r.id: (r.n, r.after) for r in number_chunks(
-        with_next(chunks, "key", "id", "after"), "n", dense_rows=False).collect()}
+        closed_up(with_next(chunks, "key", "id", "after")), "n").collect()}
     for i, (key, _, id_) in enumerate(kept):
         after = kept[i + 1][2] if i + 1 < len(kept) and kept[i + 1][0] == key else None
         assert got[id_] == (i + 1, after)
