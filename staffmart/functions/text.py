@@ -35,3 +35,8 @@ def hashed_id(prefix: str, digits: int, *parts: Column) -> Column:
     """Upper-case hexadecimal id that a retried task computes again unchanged."""
     digest = F.md5(F.concat_ws("|", *parts))
     return F.concat(F.lit(prefix), F.upper(F.substring(digest, 1, digits)))
+
+
+def insensitive(text: Column) -> Column:
+    """Text that compares, groups and joins without case, accents and trailing spaces."""
+    return F.collate(text, "UNICODE_CI_AI_RTRIM")

@@ -4,6 +4,7 @@ import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
+from staffmart.functions.text import insensitive
 from staffmart.operators import audit
 from staffmart.operators.validate import FORM, WRITE, validate_employees
 from staffmart.plans.intake import intake_assignments, intake_employees, intake_projects, intake_reviews
@@ -138,6 +139,12 @@ def test_missing_values(spark):
     assert [tuple(r) for r in nulls_for_missing(df).collect()] == [(None, None), (1.0, None), (None, None), (2.0, "x")]
 
 
+def test_insensitive_grouping(spark):
+    df = spark.createDataFrame([("Rene",), ("RENÉ ",), ("Ren",)], "name string")
+    assert df.select(insensitive(F.col("name")).alias("n")).distinct().count() == 2
+    assert df.distinct().count() == 3
+
+
 def test_reviews_move_into_their_year(make):
     reviews = make.reviews(
         dict(review_date="2023-05-01", comments="2024 performance review"),
