@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from staffmart.sources.tables import materialise
 
 
-def join_found(rows: DataFrame, found: DataFrame, on: str | list[str] | Column, how: str = "left") -> DataFrame:
-    """Join ``rows`` to ``found``, which is written to the shared folder first.
+def join_found(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` to ``found``, which is written to the shared folder first.
 
     Adaptive execution splits a hot key only where both sides come straight from a shuffle.
     The result of an aggregation or a join on the same key does not: Spark keeps its
     partitioning and the hot key would stay in one task. A written table does, and its true
     size decides whether it is broadcast.
     """
-    return rows.join(materialise(found, "found"), on, how)
+    return rows.join(materialise(found, "found"), key, "left")
 
 
 def known_keys(rows: DataFrame, parent: DataFrame, key: str) -> DataFrame:

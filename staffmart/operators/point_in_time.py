@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from staffmart.sources.tables import materialise
+
 
 def versions_on(dim_employee: DataFrame, date) -> DataFrame:
     """All versions valid on one date, both ends included."""
@@ -18,16 +20,44 @@ def version_counts(dim_employee: DataFrame, more_than: int = 1) -> DataFrame:
 
 
 def validity_segments(dim_employee: DataFrame) -> DataFrame:
-    """Spans (first_day to last_day) per employee that do not overlap, with the valid version.
+    """Days (first_day to last_day) per employee that do not overlap, with the valid version.
 
     Where versions overlap the newest start wins, and on equal starts the highest key. A
     date then matches at most one segment, so reviews are joined once and need no ranking
-    per review. All work here is on the dimension; an employee has at most two segment
-    borders per calendar day, however many versions there are.
+    per review. All work here is on the dimension, and its result is a written table.
+
+    A version that starts no earlier than all before it have ended is just cut where the
+    next one starts. Only employees with real overlaps need their versions compared with
+    each other. An employee has at most two spans per calendar day that matter, however
+    many versions there are, since versions with the same days are reduced to one first.
     """
     spans = (dim_employee.where("start_date <= end_date")
              .groupBy("employee_id", "start_date", "end_date")
-             .agg(F.max(F.struct("employee_sk", "department_sk")).alias("version")))
+             .agg(F.max("employee_sk").alias("employee_sk"),
+                  F.max_by("department_sk", "employee_sk").alias("department_sk")))
+    in_order = Window.partitionBy("employee_id").orderBy("start_date", "employee_sk")
+    ended = F.max("end_date").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = materialise(spans.select(
+        "*", F.lead("start_date").over(in_order).alias("_next"),
+        F.coalesce(ended > F.col("start_date"), F.lit(False)).alias("_overlaps")), "spans")
+    overlapping = spans.where("_overlaps").select("employee_id").distinct()
+    if overlapping.isEmpty():
+        return _cut_at_next(spans)
+    overlapping = materialise(overlapping, "overlapping")
+    return materialise(
+        _cut_at_next(spans.join(overlapping, "employee_id", "left_anti"))
+        .unionByName(_compared(spans.join(overlapping, "employee_id", "left_semi"))), "segments")
+
+
+def _cut_at_next(spans: DataFrame) -> DataFrame:
+    last_day = F.least(F.col("end_date"), F.date_sub("_next", 1))  # no next: least skips NULL
+    return (spans.select("employee_id", F.col("start_date").alias("first_day"), last_day.alias("last_day"),
+                         "employee_sk", "department_sk")
+            .where("first_day <= last_day"))
+
+
+def _compared(spans: DataFrame) -> DataFrame:
+    """Segments between all borders of an employee's spans, each with its newest valid span."""
     border = F.explode(F.array("start_date", F.date_add("end_date", 1))).alias("first_day")
     borders = (spans.select("employee_id", border).distinct()
                .withColumn("last_day", F.date_sub(F.lead("first_day").over(
@@ -38,7 +68,5 @@ def validity_segments(dim_employee: DataFrame) -> DataFrame:
         (F.col("employee_id") == F.col("_id"))
         & F.col("first_day").between(F.col("start_date"), F.col("end_date")))
     newest = (valid.groupBy("employee_id", "first_day", "last_day")
-              .agg(F.max(F.struct("start_date", "version")).alias("newest")))
-    return newest.select("employee_id", "first_day", "last_day",
-                         F.col("newest.version.employee_sk").alias("employee_sk"),
-                         F.col("newest.version.department_sk").alias("department_sk"))
+              .agg(F.max(F.struct("start_date", "employee_sk", "department_sk")).alias("newest")))
+    return newest.select("employee_id", "first_day", "last_day", "newest.employee_sk", "newest.department_sk")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.operators.lookup import join_found
 from staffmart.operators.merge import next_key
 from staffmart.operators.ordering import with_position
 from staffmart.operators.point_in_time import validity_segments
@@ -31,7 +30,7 @@ def resolve_reviews(reviews: DataFrame, dim_employee: DataFrame, dim_project: Da
     rows = reviews.select("review_id", "employee_id", "project_id", "review_date", "rating", "review_score")
     valid = ((F.col("employee_id") == F.col("_id"))
              & F.col("review_date").between(F.col("first_day"), F.col("last_day")))
-    return (join_found(rows, segments, valid)
+    return (rows.join(segments, valid, "left")
             .drop("_id", "first_day", "last_day")
             .join(days, "review_date", "left")
             .join(projects, "project_id", "left")
