@@ -117,8 +117,8 @@ def employee_lookup(spark, sf):
 
 
 def employee_exists(spark, sf):
-    return reports.employee_exists(mapping.base_tables(spark, sf)["assignments"],
-                                   mapping.base_tables(spark, sf)["employees"])
+    t = stores.operational(spark, sf)
+    return reports.employee_exists(t["assignments"], t["employees"].where("hire_date < date'1996-01-01'"))
 
 
 def department_list(spark, sf):

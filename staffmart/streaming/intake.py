@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from staffmart.operators.scd2 import SAME_DAY, apply_department_changes
 from staffmart.plans.intake import Intake
-from staffmart.sources.tables import exists
+from staffmart.sources.tables import exists, materialise
 from staffmart.sources.versions import current, publish
 
 Judge = Callable[[DataFrame, DataFrame | None], Intake]
@@ -49,6 +49,8 @@ def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: s
         done = _written_before(spark, f"{root}/seen", batch_id)
         if done is not None:
             new = new.join(done, "submission_id", "left_anti")
+        # Written once, so that all three outputs judge the same copy of a repeated row.
+        new = materialise(new, "batch")
         result = judge(new, _written_before(spark, f"{root}/accepted", batch_id))
         for name, rows in (("accepted", result.accepted), ("quarantine", result.quarantine),
                            ("seen", new.select("submission_id"))):
