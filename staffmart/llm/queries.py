@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from staffmart.llm import decontaminate
-from staffmart.llm.common import table
+from staffmart.llm import decontaminate, language, near, pii
+from staffmart.llm.common import held_out, table
+
+
+def op3_language(spark, sf):
+    return language.identify(table(spark, sf, "documents"), held_out("doc_id", 3, 1))
+
+
+def op4_pii(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
 
 
 def op8_decontaminate(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op10_near(spark, sf):
+    return near.classes(table(spark, sf, "documents"))
+
+
 def llm_queries():
-    return {"op8_decontaminate": op8_decontaminate}
+    return {"op3_language": op3_language, "op4_pii": op4_pii, "op8_decontaminate": op8_decontaminate,
+            "op10_near": op10_near}
 
 
 def llm_sql():
