@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staffmart.llm.common import pieces, raw_texts, values
 
@@ -28,6 +29,7 @@ HIDDEN = 8
 FIT_DOCS, FIT_WINDOWS, MOST_LANGUAGES = 200, 8, 64
 EPOCHS, STEP, GROUP = 8, 0.02, 256
 UNKNOWN = "und"
+LEAST_SCORE = 0.25  # what one of four languages gets without any evidence
 
 
 class Network:
@@ -200,30 +202,42 @@ def train(documents: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_win
     return languages, network
 
 
-def _predict(send):
+def _predict(send, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, given = send.value
         network = Network(given=given)
         for batch in pieces(batches):
             pooled = network.documents(raw_texts(batch))
             best = pooled.argmax(1)
-            letters = values(batch, "letters").to_pylist()
+            letters = values(batch, "__letters").to_pylist()
             yield pa.RecordBatch.from_arrays([
-                values(batch, "doc_id"), values(batch, "held_out"),
-                pa.array([languages[k] if ok else UNKNOWN for k, ok in zip(best, letters)]),
-                pa.array([min(1.0, float(p[k])) if ok else 0.0 for p, k, ok in zip(pooled, best, letters)]),
-            ], names=["doc_id", "held_out", "lang_pred", "score"])
+                *(values(batch, c) for c in keep),
+                pa.array([languages[k] if ok else UNKNOWN for k, ok in zip(best, letters)], pa.string()),
+                pa.array([min(1.0, float(p[k])) if ok else 0.0 for p, k, ok in zip(pooled, best, letters)], pa.float64()),
+            ], names=[*keep, "__lang", "__score"])
     return run
 
 
-def identify(documents: DataFrame, hold: Column, **fit) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; learns from the rows without ``hold``."""
-    documents = documents.select("doc_id", "text", "lang")
+def labelled(documents: DataFrame, hold: Column, keep: list[str], **fit) -> DataFrame:
+    """The ``keep`` columns with two more, __lang and __score; learns from the rows without ``hold``."""
     model = train(documents, ~hold, **fit)
-    given = documents.select("doc_id", hold.alias("held_out"), "text", _has_letter(F.col("text")).alias("letters"))
+    given = documents.withColumn("__letters", _has_letter(F.col("text")))
     if model is None:
-        return given.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return given.select(*keep, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
     languages, network = model
     send = documents.sparkSession.sparkContext.broadcast((languages, network.p))
-    kind = dict(documents.dtypes)["doc_id"]
-    return given.mapInArrow(_predict(send), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([documents.schema[c] for c in keep]).add("__lang", "string").add("__score", "double")
+    return given.select(*dict.fromkeys([*keep, "text", "__letters"])).mapInArrow(_predict(send, keep), schema)
+
+
+def identify(documents: DataFrame, hold: Column, **fit) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row; learns from the rows without ``hold``."""
+    given = documents.select("doc_id", "text", "lang").withColumn("held_out", hold)
+    return labelled(given, F.col("held_out"), ["doc_id", "held_out"], **fit).select(
+        "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def accepted(documents: DataFrame, hold: Column, least: float = LEAST_SCORE, **fit) -> DataFrame:
+    """The documents whose language is known with a score of at least ``least``, with all their columns."""
+    found = labelled(documents, hold, documents.columns, **fit)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(documents.columns)

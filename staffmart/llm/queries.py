@@ -1,10 +1,26 @@
-"""Thin queries over the whole given tables, one per operator."""
+"""Thin queries over the whole given tables, one per operator.
+
+SQL expresses none of them: they are learned, searched, hashed or read back, and are tested
+against brute force, exact round trips and held-out rows.
+"""
 
 from __future__ import annotations
 
-from staffmart.llm import decontaminate, language, near, pii
+from pyspark.sql import functions as F
+
+from staffmart.llm import chat, decontaminate, language, near, neighbours, pieces, pii, ppm, quality, toxicity
 from staffmart.llm.common import held_out, table
 
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def op1_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), held_out("doc_id", 4, 2))
+
+
+def op2_pieces(spark, sf):
+    return pieces.encode(table(spark, sf, "documents"), check=True)
+
 
 def op3_language(spark, sf):
     return language.identify(table(spark, sf, "documents"), held_out("doc_id", 3, 1))
@@ -14,17 +30,36 @@ def op4_pii(spark, sf):
     return pii.report(table(spark, sf, "documents"))
 
 
+def op5_chat(spark, sf):
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)],
+                                    "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.segments(turns))
+
+
+def op6_ppm(spark, sf):
+    return ppm.score(table(spark, sf, "documents"), held_out("doc_id", 7, 2))
+
+
+def op7_toxicity(spark, sf):
+    return toxicity.grade(table(spark, sf, "documents"), table(spark, sf, "labels"), held_out("doc_id", 4, 2))
+
+
 def op8_decontaminate(spark, sf):
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op9_neighbours(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_near(spark, sf):
     return near.classes(table(spark, sf, "documents"))
 
 
 def llm_queries():
-    return {"op3_language": op3_language, "op4_pii": op4_pii, "op8_decontaminate": op8_decontaminate,
-            "op10_near": op10_near}
+    return {q.__name__: q for q in (op1_quality, op2_pieces, op3_language, op4_pii, op5_chat, op6_ppm, op7_toxicity,
+                                    op8_decontaminate, op9_neighbours, op10_near)}
 
 
 def llm_sql():
