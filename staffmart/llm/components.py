@@ -13,8 +13,12 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller neighbour that has one itself."""
+    ends = edges.select(F.col("b").alias("u"), F.col("a").alias("low")).unionAll(
+        edges.select(F.col("a").alias("u"), F.lit(None).alias("low"))).groupBy("u").agg(
+        F.min("low").alias("first"), F.max("low").alias("last"), F.count(F.lit(1)).alias("seen"), F.count("low").alias("lower"))
+    return not ends.where((F.col("first") != F.col("last")) | ((F.col("lower") > 0) & (F.col("seen") > F.col("lower")))).isEmpty()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -22,14 +26,13 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Every round ties each node to the smallest node it sees, first among its larger
     neighbours, then among its smaller ones; each round is written, so a lost executor costs
-    one round at most. It ends when a round changes nothing, after about log2 of the longest
-    path rounds.
+    one round at most. It ends when all nodes hang on their root, after about log2 of the
+    longest path rounds.
     """
     ordered = pairs.where(F.col("a") != F.col("b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialise(ordered, "edges")
-    state = _state(edges)
-    while True:
+    while _unsettled(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = (both.join(_smallest(both), "u").where("v > u")
@@ -39,9 +42,6 @@ def components(pairs: DataFrame) -> DataFrame:
         small = small.select("u", F.col("m").alias("v")).unionAll(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
         edges = materialise(small.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
     roots = edges.select("a").distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(
         roots.select(F.col("a").alias("node"), F.col("a").alias("root")))

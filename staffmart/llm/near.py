@@ -37,11 +37,12 @@ from staffmart.sources.tables import materialise
 WORDS = 5
 LEVEL = 0.8
 RECALL = 0.9995  # of a pair exactly at the level that is split once more
-LEAF = 4000
+LEAF = 8192
 DEPTH = 6
 DENSE = 0.4  # mean similarity above which splitting does not help
 SKETCH, SKETCH_NEED = 64, 37  # a pair at level 0.8 has fewer equal bytes once in 200,000 times
 BLOCK = 256
+SENT_IDS = 200_000  # up to so many ids are sent to the documents; more are joined by a shuffle
 _FULL = float(2**64)
 
 
@@ -124,44 +125,81 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, shingles) of the wanted sets (fp, rep), made anew from the text of one document each."""
-    ids = wanted.select(F.col("rep").alias("__rep")).distinct()
+    """(fp, shingles) of the documents whose ids are in ``wanted`` (rep), a written table; each fp once.
+
+    Sets that are not wanted come along where several texts share an id.
+    """
+    ids = wanted.select(F.col("rep").alias("__rep"))
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
     texts = documents.join(ids, documents["doc_id"].eqNullSafe(ids["__rep"]), "left_semi")
-    own = texts.select("text").mapInArrow(_whole_sets, "fp binary, shingles binary")
-    return own.join(wanted.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    own = texts.select("text").mapInArrow(_whole_sets, "fp binary, shingles binary").where("fp is not null")
+    return own.groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables that hold whole groups of rows sorted by key."""
-    rest = None
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables that hold whole groups of rows sorted by key, and pieces of groups with more than ``most`` rows.
+
+    The second value tells the latter, of which no more than that and a batch is kept here.
+    """
+    rest, passing = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
         rows = rows if rest is None else pa.concat_tables([rest, rows])
+        rest = None
         keys = rows.column(key).to_numpy()
+        if passing is not None:
+            end = int(np.searchsorted(keys, passing, "right"))
+            if end:
+                yield rows.slice(0, end), True
+            if end == len(keys):
+                continue
+            rows, keys, passing = rows.slice(end), keys[end:], None
         last = int(np.searchsorted(keys, keys[-1], "left"))
-        rest = rows.slice(last)
         if last:
-            yield rows.slice(0, last)
+            yield rows.slice(0, last), False
+        if most is not None and len(keys) - last > most:
+            yield rows.slice(last), True
+            passing = keys[-1]
+        else:
+            rest = rows.slice(last)
     if rest is not None:
-        yield rest
+        yield rest, False
 
 
 def _fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _alike(level: float):
-    """Stars of the sets in a bucket whose sketches agree."""
+def _alike(level: float, leaf: int):
+    """Stars of the sets in a bucket whose sketches agree, around the first of them, as (a, b).
+
+    Rows come by path and fp. Those of buckets with more than ``leaf`` sets are handed on, without b.
+    """
+    def handed_on(rows: pa.Table) -> pa.RecordBatch:
+        columns = [rows.column(c).combine_chunks() for c in ("fp", "path", "size", "sketch")]
+        return pa.RecordBatch.from_arrays([columns[0], pa.nulls(rows.num_rows, pa.binary()), *columns[1:]],
+                                          names=["a", "b", "path", "size", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, "path"):
+        for rows, large in _whole_groups(batches, "path", leaf):
+            if large:
+                yield handed_on(rows)
+                continue
             path = rows.column("path").to_numpy()
+            _, which, count = np.unique(path, return_inverse=True, return_counts=True)
+            if count.max() > leaf:
+                yield handed_on(rows.filter(pa.array(count[which] > leaf)))
+            several = (count[which] > 1) & (count[which] <= leaf)
+            if not several.any():
+                continue
+            rows, path = rows.filter(pa.array(several)), path[several]
             sketch = _fixed(rows.column("sketch"), SKETCH)
             size = rows.column("size").to_numpy().astype(np.float64)
             fps = rows.column("fp").to_pylist()
             root = np.arange(len(path))
-            left, right = [], []
             at = np.arange(len(path))
             step = 0
             while len(at):
@@ -174,18 +212,17 @@ def _alike(level: float):
                 a, b = a[new], b[new]
                 near = (sketch[a] == sketch[b]).sum(1) >= SKETCH_NEED
                 a, b = a[near], b[near]
-                left.append(a)
-                right.append(b)
                 while len(a) and (root[a] != root[b]).any():
                     low = np.minimum(root[a], root[b])
                     np.minimum.at(root, root[a], low)
                     np.minimum.at(root, root[b], low)
                     while (root != root[root]).any():
                         root = root[root]
-            a = np.concatenate(left) if left else np.empty(0, int)
-            b = np.concatenate(right) if right else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a], pa.binary()),
-                                              pa.array([fps[i] for i in b], pa.binary())], names=["a", "b"])
+            tied = np.flatnonzero(root != np.arange(len(path)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([fps[i] for i in root[tied]], pa.binary()), pa.array([fps[i] for i in tied], pa.binary()),
+                pa.nulls(len(tied), pa.int64()), pa.nulls(len(tied), pa.int32()), pa.nulls(len(tied), pa.binary())],
+                names=["a", "b", "path", "size", "sketch"])
     return run
 
 
@@ -199,9 +236,10 @@ def _children(level: float):
                     "fp", "size", "sketch", "paths", "shingles"))):
                 shingles = np.frombuffer(raw, np.uint64)
                 limit = thresholds(np.array([size]), level)[0]
-                for path in np.array(paths, np.int64).view(np.uint64):
+                paths = np.array(paths, np.int64).view(np.uint64)
+                for path, next_ in zip(paths, paths * salt):
                     picked = shingles[mix((shingles ^ path) * factor) < limit]
-                    out["path"].append(mix(picked + path * salt).view(np.int64))
+                    out["path"].append(mix(picked + next_).view(np.int64))
                     for name, value in (("fp", fp), ("size", size), ("sketch", sketch)):
                         out[name].extend([value] * len(picked))
             path = np.concatenate(out["path"]) if out["path"] else np.empty(0, np.int64)
@@ -215,9 +253,10 @@ _SET = "fp binary, size int, sketch binary"
 _ROWS = "path long, " + _SET
 
 
-def _brute_force(rows: DataFrame, level: float) -> DataFrame:
-    grouped = rows.select("path", "fp", "size", "sketch").repartition(F.col("path")).sortWithinPartitions("path")
-    return grouped.mapInArrow(_alike(level), "a binary, b binary")
+def _brute_force(rows: DataFrame, level: float, leaf: int) -> DataFrame:
+    """Stars (a, b), and the members of larger buckets as (a, null, path, size, sketch); one shuffle, written."""
+    grouped = rows.select("path", "fp", "size", "sketch").repartition(F.col("path")).sortWithinPartitions("path", "fp")
+    return materialise(grouped.mapInArrow(_alike(level, leaf), "a binary, b binary, path long, size int, sketch binary"), "bucket-pairs")
 
 
 def _mean_similarity(members: DataFrame) -> DataFrame:
@@ -246,22 +285,22 @@ def candidate_pairs(documents: DataFrame, sets: DataFrame, level: float, runs: i
     found = None
     hot = None
     for at in range(1, depth + 1):
-        counts = materialise(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        small = rows.join(counts.where(F.col("n") <= leaf).select("path"), "path")
-        pairs = materialise(_brute_force(small, level), "bucket-pairs")
+        met = _brute_force(rows, level, leaf)
+        pairs = met.where("b is not null").select("a", "b")
         found = pairs if found is None else found.unionAll(pairs)
-        if counts.where(F.col("n") > leaf).isEmpty():
+        large = met.where("b is null").select("path", F.col("a").alias("fp"), "size", "sketch")
+        if large.isEmpty():
             break
-        big = materialise(rows.join(counts.where(F.col("n") > leaf), "path"), "large-buckets")
+        big = materialise(large.join(large.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path"), "large-buckets")
         dense = _mean_similarity(big).where((F.col("alike") >= DENSE) | F.lit(at == depth)).select("path")
         dense = materialise(dense, "dense-buckets")
         whole = _block_pairs(big.join(dense, "path", "left_semi"), "path", "n", leaf // 2)
-        found = found.unionAll(materialise(_brute_force(whole, level), "bucket-pairs"))
+        found = found.unionAll(_brute_force(whole, level, 2**31).select("a", "b"))
         split = big.join(dense, "path", "left_anti")
         if split.isEmpty():
             break
         if hot is None:
-            wanted = sets.join(split.select("fp").distinct(), "fp", "left_semi").select("fp", "rep")
+            wanted = materialise(sets.join(split.select("fp"), "fp", "left_semi").select("rep"), "wanted")
             hot = materialise(sets_of(documents, wanted), "hot-sets")
         own = split.groupBy("fp").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"),
                                       F.collect_list("path").alias("paths"))
@@ -272,7 +311,7 @@ def candidate_pairs(documents: DataFrame, sets: DataFrame, level: float, runs: i
 def _exact(level: float):
     """Verified links inside pairs of blocks: a count and a star for each set that has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, "key"):
+        for rows, _ in _whole_groups(batches, "key"):
             keys = rows.column("key").to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             out = {"fp": [], "links": [], "root": []}
@@ -286,7 +325,7 @@ def _exact(level: float):
                 if i[0] != j[0]:
                     linked &= own[:, None] != own[None, :]
                 links = linked.sum(1)
-                label = np.arange(len(fps))
+                label = np.arange(len(fps))  # rows come by fp, so a label is the smallest member
                 while True:
                     lower = np.minimum(label, np.where(linked, label[None, :], len(fps)).min(1))
                     if (lower == label).all():
@@ -340,15 +379,15 @@ def classes(documents: DataFrame, level: float = LEVEL, recall: float = RECALL,
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"),
         F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle-sets")
     groups = components(candidate_pairs(documents, sets, level, runs, leaf, depth))
-    groups = materialise(groups.select(F.col("node").alias("fp"), F.col("root").alias("key")), "candidate-groups")
+    groups = materialise(groups.select(F.col("node").alias("fp"), F.col("root").alias("key")).join(
+        sets.select("fp", "rep"), "fp"), "candidate-groups")
     sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    whole = sets_of(documents, sets.join(groups.select("fp"), "fp", "left_semi").select("fp", "rep"))
-    pairs = _block_pairs(sized, "key", "n", block).join(whole, "fp")
-    linked = (pairs.select("key", "fp", "own", "i", "j", "shingles").repartition(F.col("key")).sortWithinPartitions("key")
+    pairs = _block_pairs(sized, "key", "n", block).join(sets_of(documents, groups), "fp")
+    linked = (pairs.select("key", "fp", "own", "i", "j", "shingles").repartition(F.col("key")).sortWithinPartitions("key", "fp")
               .mapInArrow(_exact(level), "fp binary, links long, root binary"))
     linked = materialise(linked, "links")
     tied = components(linked.select(F.col("fp").alias("a"), F.col("root").alias("b")))
-    tied = tied.join(sets.select(F.col("fp").alias("node"), "rep"), "node")
+    tied = tied.join(groups.select(F.col("fp").alias("node"), "rep"), "node")
     firsts = tied.groupBy("root").agg(F.min("rep").alias("class_id"))
     tied = tied.join(firsts, "root").select(F.col("node").alias("fp"), "class_id")
     links = linked.groupBy("fp").agg(F.sum("links").alias("n_links"))
