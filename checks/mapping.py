@@ -170,6 +170,20 @@ def raw_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 9 == 0).alias("is_current"))
 
 
+UNKNOWN_DEPARTMENT = 999
+
+
+def twice(submissions: DataFrame, every: int) -> DataFrame:
+    """The submissions, and every so many of them sent again."""
+    return submissions.unionByName(submissions.where(F.col("submission_id") % every == 0))
+
+
+def stored_keys(submissions: DataFrame, prefix: str, column: str, every: int) -> DataFrame:
+    """Keys that were taken in earlier: those of every so many submissions."""
+    key = F.concat(F.lit(f"{prefix}-"), F.col("submission_id").cast("string"))
+    return submissions.where(F.col("submission_id") % every == 0).select(key.alias(column))
+
+
 def employee_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as an onboarding form; k mod 15 names the rule the row breaks (0: none)."""
     k = F.col("c_custkey")
@@ -188,7 +202,7 @@ def employee_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         field(F.concat(F.lit("e"), k.cast("string"), F.lit("@example.com")), n5="no-at").alias("email"),
         F.when(k % 2 == 0, "Female").otherwise("Male").alias("gender"),
         field((F.lit(21) + k % 45).cast("string"), n6="abc", n7="17", n8="71").alias("age"),
-        (F.col("c_nationkey") + 1).cast("int").alias("department_id"),
+        F.when(k % 7 == 3, UNKNOWN_DEPARTMENT).otherwise(F.col("c_nationkey") + 1).cast("int").alias("department_id"),
         field(F.col("c_mktsegment"), n9="", n10="12345", n11="---").alias("role"),
         field(F.lit("500000"), n12="0", n14="abc").alias("salary"),
         F.when(slip == 13, _date("2100-01-01")).otherwise(_date("2001-01-01")).alias("hire_date"))
@@ -229,6 +243,17 @@ def review_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("comments"))
 
 
+def reviews_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews as text, columns turned round, with missing and bad ratings, scores and dates."""
+    n = F.substring("review_id", 2, 20).cast("long")
+    return reviews(spark, sf_dir).select(
+        "comments", F.lit("left out").alias("source"),
+        F.when(n % 7 == 0, "NaN").when(n % 7 == 1, "80 points").otherwise(F.col("review_score").cast("string")).alias("review_score"),
+        F.when(n % 5 == 0, "nan").when(n % 5 == 1, "").otherwise(F.col("rating").cast("string")).alias("rating"),
+        F.when(n % 11 == 0, "NaT").when(n % 11 == 1, "2001-02-30").otherwise(F.col("review_date").cast("string")).alias("review_date"),
+        "project_id", "review_id", "employee_id")
+
+
 def dirty_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with missing values in all the spellings a file may hold."""
     o = F.col("o_orderkey")

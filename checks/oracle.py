@@ -89,7 +89,7 @@ CTES = {
                CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
                CASE c_custkey % 15 WHEN 6 THEN 'abc' WHEN 7 THEN '17' WHEN 8 THEN '71'
                     ELSE CAST(21 + c_custkey % 45 AS VARCHAR) END AS age,
-               CAST(c_nationkey + 1 AS BIGINT) AS department_id,
+               CAST(CASE WHEN c_custkey % 7 = 3 THEN 999 ELSE c_nationkey + 1 END AS BIGINT) AS department_id,
                CASE c_custkey % 15 WHEN 9 THEN '' WHEN 10 THEN '12345' WHEN 11 THEN '---'
                     ELSE c_mktsegment END AS role,
                CASE c_custkey % 15 WHEN 12 THEN '0' WHEN 14 THEN 'abc' ELSE '500000' END AS salary,
@@ -526,7 +526,17 @@ ORDER_DATE = "CAST(o_orderdate AS DATE)"
 BODIES = {
     "src_csv_roundtrip": """
         SELECT review_id, employee_id, project_id, CAST(review_date AS VARCHAR) AS review_date, rating,
-               cents / 100.0 AS review_score, comments FROM reviews""",
+               cents / 100.0 AS review_score, '  "' || comments || '", ' || chr(10) || ' and\\ more ' AS comments FROM reviews""",
+    "csv_reordered": """
+        WITH numbered AS (SELECT *, CAST(substr(review_id, 2) AS BIGINT) AS n FROM reviews),
+        reasons AS (SELECT *, CASE WHEN n % 11 = 1 THEN 'review_date is no date'
+                                   WHEN n % 7 = 1 THEN 'review_score is no decimal(6,2)' END AS reason FROM numbered)
+        SELECT review_id, CASE WHEN reason IS NULL THEN employee_id END AS employee_id,
+               CASE WHEN reason IS NULL THEN project_id END AS project_id,
+               CASE WHEN reason IS NULL AND n % 11 <> 0 THEN CAST(review_date AS VARCHAR) END AS review_date,
+               CASE WHEN reason IS NULL AND n % 5 > 1 THEN rating END AS rating,
+               CASE WHEN reason IS NULL AND n % 7 <> 0 THEN cents / 100.0 END AS review_score,
+               CASE WHEN reason IS NULL THEN comments END AS comments, reason FROM reasons""",
     "staging_load": counts_sql({"departments": "departments", "employees": "employees", "projects": "projects",
                                 "assignments": "assignments", "reviews": "reviews",
                                 "employee_history": "history"}),
@@ -576,6 +586,11 @@ BODIES = {
     "department_performance": f"""
         SELECT department_name, count(*) AS review_count, {mean2()} AS avg_score
         FROM dim_fact f JOIN dim_department d ON d.department_sk = f.department_sk GROUP BY department_name""",
+    "version_at_start": """
+        SELECT a.employee_sk, CAST(a.start_date AS VARCHAR) AS start_date,
+               max_by(b.employee_sk, (b.start_date - DATE '1990-01-01') * 1000000000 + b.employee_sk) AS valid_sk
+        FROM raw_versions a JOIN raw_versions b ON a.employee_id = b.employee_id
+             AND a.start_date BETWEEN b.start_date AND b.end_date GROUP BY a.employee_sk, a.start_date""",
     "attrition_risk": "SELECT * FROM risk",
     "attrition_distribution": """
         SELECT risk_level, count(employee_id) AS employee_count
@@ -613,8 +628,9 @@ BODIES = {
     "scd2_apply": f"SELECT {VERSION} FROM same_result",
     "scd2_apply_day_before": f"SELECT {VERSION} FROM before_result",
     "scd2_employees": f"""
-        SELECT {EMPLOYEE} FROM (
-            SELECT e.* REPLACE (coalesce(c.new_department_id, e.department_id) AS department_id)
+        SELECT {EMPLOYEE}, changed FROM (
+            SELECT e.* REPLACE (coalesce(c.new_department_id, e.department_id) AS department_id),
+                   c.employee_id IS NOT NULL AS changed
             FROM employees e LEFT JOIN same_chain c ON c.employee_id = e.employee_id AND c.until IS NULL)""",
     "scd2_rejects": """
         SELECT change_id, employee_id, new_department_id, CAST(effective_date AS VARCHAR) AS effective_date,
@@ -652,7 +668,7 @@ BODIES = {
         UNION ALL SELECT employee_id, 'start after end', backward FROM counted WHERE backward > 0
         UNION ALL SELECT employee_id, 'overlap', overlap FROM counted WHERE overlap > 0""",
     "intake_employees": f"""
-        SELECT CASE WHEN reject_reason IS NULL THEN {hashed('E', 16, 'submission_id')}
+        SELECT CASE WHEN reject_reason IS NULL THEN 'E-' || submission_id
                     ELSE CAST(submission_id AS VARCHAR) END AS employee_id,
                CASE WHEN reject_reason IS NULL THEN {strip('first_name')} END AS first_name,
                CASE WHEN reject_reason IS NULL THEN {strip('last_name')} END AS last_name,
@@ -664,9 +680,12 @@ BODIES = {
                CASE WHEN reject_reason IS NULL THEN CAST(salary AS DOUBLE) END AS salary,
                CASE WHEN reject_reason IS NULL THEN CAST(hire_date AS VARCHAR) END AS hire_date,
                CASE WHEN reject_reason IS NULL THEN 'Active' END AS status, reject_reason
-        FROM judged""",
+        FROM (SELECT * REPLACE (CASE WHEN reject_reason IS NOT NULL THEN reject_reason
+                                     WHEN department_id NOT IN (SELECT department_id FROM departments) THEN 'unknown department'
+                                     WHEN submission_id % 4 = 0 THEN 'already taken in' END AS reject_reason)
+              FROM judged)""",
     "intake_projects": f"""
-        SELECT CASE WHEN r IS NULL THEN {hashed('P', 16, 'submission_id')}
+        SELECT CASE WHEN r IS NULL THEN 'P-' || submission_id
                     ELSE CAST(submission_id AS VARCHAR) END AS project_id,
                CASE WHEN r IS NULL THEN trim(project_name) END AS project_name,
                CASE WHEN r IS NULL THEN trim(description) END AS description,
@@ -674,9 +693,10 @@ BODIES = {
                CASE WHEN r IS NULL THEN CAST(end_date AS VARCHAR) END AS end_date,
                CASE WHEN r IS NULL THEN status END AS status, r AS reject_reason
         FROM (SELECT *, CASE WHEN {blank('project_name')} THEN 'project name required'
-                             WHEN start_date IS NULL THEN 'start date required' END AS r FROM submitted_projects)""",
+                             WHEN start_date IS NULL THEN 'start date required'
+                             WHEN submission_id % 4 = 0 THEN 'already taken in' END AS r FROM submitted_projects)""",
     "intake_assignments": f"""
-        SELECT CASE WHEN r IS NULL THEN {hashed('A', 16, 'submission_id')}
+        SELECT CASE WHEN r IS NULL THEN 'A-' || submission_id
                     ELSE CAST(submission_id AS VARCHAR) END AS assignment_id,
                CASE WHEN r IS NULL THEN upper(trim(employee_id)) END AS employee_id,
                CASE WHEN r IS NULL THEN project_id END AS project_id,
@@ -688,9 +708,10 @@ BODIES = {
                              WHEN upper(trim(employee_id)) NOT IN (SELECT employee_id FROM employees)
                                THEN 'unknown employee'
                              WHEN project_id NOT IN (SELECT project_id FROM projects) THEN 'unknown project'
+                             WHEN submission_id % 4 = 0 THEN 'already taken in'
                         END AS r FROM submitted_assignments)""",
     "intake_reviews": f"""
-        SELECT CASE WHEN r IS NULL THEN {hashed('R', 16, 'submission_id')}
+        SELECT CASE WHEN r IS NULL THEN 'R-' || submission_id
                     ELSE CAST(submission_id AS VARCHAR) END AS review_id,
                CASE WHEN r IS NULL THEN upper(trim(employee_id)) END AS employee_id,
                CASE WHEN r IS NULL THEN project_id END AS project_id,
@@ -704,6 +725,7 @@ BODIES = {
                              WHEN project_id NOT IN (SELECT project_id FROM projects) THEN 'unknown project'
                              WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating out of range'
                              WHEN cents NOT BETWEEN 0 AND 10000 THEN 'score out of range'
+                             WHEN submission_id % 4 = 0 THEN 'already taken in'
                         END AS r FROM submitted_reviews)""",
     "synth_seed": "SELECT * FROM seed",
     "synth_employees": """
@@ -740,7 +762,7 @@ BODIES = {
                  AS review_date, comments
         FROM (SELECT *, CAST(substr(comments, 1, 4) AS BIGINT) AS y, {words('review_id')} FROM reviews)""",
 }
-BODIES["intake_stream"] = BODIES["intake_employees"]
+BODIES["intake_stream"] = BODIES["intake_employees"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in' ", "")
 
 
 def all_sql() -> dict[str, str]:

@@ -39,11 +39,22 @@ def comparable(df: DataFrame) -> DataFrame:
 # --- files and loads ------------------------------------------------------------------
 
 def src_csv_roundtrip(spark, sf):
+    """Comments with outer spaces, quotes, commas and line breaks come back as they were."""
     path = io.work_path(spark, "reviews-csv")
-    io.write_csv(mapping.reviews(spark, sf), path)
+    io.write_csv(mapping.reviews(spark, sf).withColumn("comments", F.concat(
+        F.lit('  "'), "comments", F.lit('", \n and\\ more ')), ), path)
     return io.read_csv(spark, path, schemas.REVIEWS)
 
 
+def csv_reordered(spark, sf):
+    """Columns in another order, one too many, missing values in all spellings; rows that do not fit are set apart."""
+    path = io.work_path(spark, "reordered-csv")
+    mapping.reviews_as_text(spark, sf).write.options(header=True, quote='"', escape='"').csv(path)
+    good = io.read_csv(spark, path, schemas.REVIEWS, bad="skip").withColumn("reason", F.lit(None).cast("string"))
+    bad = io.bad_csv_rows(spark, path, schemas.REVIEWS).select("review_id", "reason")
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def staging_load(spark, sf):
     return wh.row_counts(stores.staging(spark, sf))
 
@@ -100,6 +111,15 @@ def scd2_point_in_time(spark, sf):
     return point_in_time.versions_on(stores.warehouse(spark, sf).dim_employee, "1997-06-30")
 
 
+def version_at_start(spark, sf):
+    """The version valid on the day another one starts, over versions that overlap in every way."""
+    versions = mapping.raw_versions(spark, sf).withColumn("department_sk", F.lit(1))
+    segments = point_in_time.validity_segments(versions).select(
+        F.col("employee_id").alias("_id"), "first_day", "last_day", F.col("employee_sk").alias("valid_sk"))
+    inside = (F.col("employee_id") == F.col("_id")) & F.col("start_date").between(F.col("first_day"), F.col("last_day"))
+    return versions.join(segments, inside).select("employee_sk", "start_date", "valid_sk")
+
+
 def multi_version_employees(spark, sf):
     return point_in_time.version_counts(stores.warehouse(spark, sf).dim_employee)
 
@@ -252,7 +272,8 @@ def scd2_apply_day_before(spark, sf):
 
 
 def scd2_employees(spark, sf):
-    return _changes(spark, sf).employees.drop("created_at", "updated_at")
+    changed = F.col("updated_at") > F.col("created_at")
+    return _changes(spark, sf).employees.withColumn("changed", changed).drop("created_at", "updated_at")
 
 
 def scd2_rejects(spark, sf):
@@ -300,22 +321,30 @@ def _both(result: intake.Intake, key: str) -> DataFrame:
 
 
 def intake_employees(spark, sf):
-    return _both(intake.intake_employees(mapping.employee_submissions(spark, sf), as_of=AS_OF), "employee_id")
+    """Every fifth form is sent twice, every fourth was taken in before."""
+    forms = mapping.employee_submissions(spark, sf)
+    stored = mapping.stored_keys(forms, "E", "employee_id", 4).withColumn("email", F.lit(None).cast("string"))
+    return _both(intake.intake_employees(mapping.twice(forms, 5), stored, AS_OF,
+                                         departments=mapping.departments(spark, sf)), "employee_id")
 
 
 def intake_projects(spark, sf):
-    return _both(intake.intake_projects(mapping.project_submissions(spark, sf)), "project_id")
+    forms = mapping.project_submissions(spark, sf)
+    return _both(intake.intake_projects(mapping.twice(forms, 5), mapping.stored_keys(forms, "P", "project_id", 4)), "project_id")
 
 
 def intake_assignments(spark, sf):
-    return _both(intake.intake_assignments(mapping.assignment_submissions(spark, sf),
-                                           mapping.employees(spark, sf), mapping.projects(spark, sf)),
-                 "assignment_id")
+    forms = mapping.assignment_submissions(spark, sf)
+    return _both(intake.intake_assignments(
+        mapping.twice(forms, 5), mapping.employees(spark, sf), mapping.projects(spark, sf),
+        mapping.stored_keys(forms, "A", "assignment_id", 4)), "assignment_id")
 
 
 def intake_reviews(spark, sf):
-    return _both(intake.intake_reviews(mapping.review_submissions(spark, sf),
-                                       mapping.employees(spark, sf), mapping.projects(spark, sf)), "review_id")
+    forms = mapping.review_submissions(spark, sf)
+    return _both(intake.intake_reviews(
+        mapping.twice(forms, 5), mapping.employees(spark, sf), mapping.projects(spark, sf),
+        mapping.stored_keys(forms, "R", "review_id", 4)), "review_id")
 
 
 # --- generator ------------------------------------------------------------------------
@@ -366,16 +395,17 @@ def intake_stream(spark, sf):
     submissions.unionByName(submissions).repartition(4).write.parquet(source)
     stream = streams.file_stream(spark, source, submissions.schema, files_per_batch=2)
     streams.intake_stream(
-        stream, root, lambda rows, stored: intake.intake_employees(rows, stored, AS_OF),
+        stream, root, lambda rows, stored: intake.intake_employees(
+            rows, stored, AS_OF, departments=mapping.departments(spark, sf)),
         io.work_path(spark, "checkpoint")).awaitTermination()
     return _both(intake.Intake(spark.read.parquet(f"{root}/accepted").drop("batch"),
                                spark.read.parquet(f"{root}/quarantine").drop("batch")), "employee_id")
 
 
 QUERIES = [
-    src_csv_roundtrip, staging_load, oltp_load, load_summary, null_normalise,
+    src_csv_roundtrip, csv_reordered, staging_load, oltp_load, load_summary, null_normalise,
     dim_department, dim_project, dim_date_full, dim_employee_full, review_dates_distinct,
-    fact_full, fact_unmatched, scd2_point_in_time, multi_version_employees,
+    fact_full, fact_unmatched, scd2_point_in_time, version_at_start, multi_version_employees,
     employee_directory, employee_lookup, employee_exists, department_list, project_list,
     kpis, yearly_trend, top_employees, top_employees_by_sk, project_bottlenecks,
     project_bottlenecks_people, project_bottlenecks_by_id, department_performance,

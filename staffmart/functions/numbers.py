@@ -25,9 +25,9 @@ def safe_float(text: Column, default: Column | float = 0.0) -> Column:
 
 
 def safe_int(text: Column, default: Column | int = 0) -> Column:
-    """Fraction cut off towards zero; text that is no number gives the default."""
+    """Long with the fraction cut off towards zero; text that is no number gives the default."""
     default = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(parse_float(text).try_cast("int"), default.cast("int"))
+    return F.coalesce(parse_float(text).try_cast("long"), default.cast("long"))
 
 
 def clip(value: Column, low: Column | int, high: Column | int) -> Column:

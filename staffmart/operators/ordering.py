@@ -96,16 +96,25 @@ def with_next(chunks: DataFrame, key: str, column: str, name: str) -> DataFrame:
     return _with_neighbour(chunks, key, column, name, forward=True)
 
 
+def tile_of(position: Column, rows: int, tiles: int) -> Column:
+    """Tile of the row at a position from 1; the first (rows mod tiles) tiles have one row more."""
+    small, larger = divmod(rows, tiles)
+    before = position - 1
+    in_larger = larger * (small + 1)
+    tile = F.floor(before / F.lit(small + 1)) + 1
+    if small:
+        tile = F.when(before < in_larger, tile).otherwise(F.floor((before - in_larger) / F.lit(small)) + larger + 1)
+    return tile.cast("int")
+
+
+def rows_in_tiles(rows: Column, tiles: int, first: int, last: int) -> Column:
+    """Rows in the tiles from ``first`` to ``last``, both included."""
+    small, larger = F.floor(rows / tiles), rows % tiles
+    return (small * (last - first + 1) + F.greatest(F.lit(0), F.least(larger, F.lit(last)) - (first - 1))).cast("long")
+
+
 def with_tile(df: DataFrame, name: str, tiles: int, order: list[Column | str]) -> DataFrame:
-    """NTILE over the whole table: the first (rows mod tiles) tiles have one row more."""
+    """NTILE over the whole table."""
     chunks = sorted_chunks(df, order, name)
     placed = number_chunks(chunks, "_position")
-    total = chunks.count()
-    small, larger = divmod(total, tiles)
-    position = F.col("_position") - 1
-    in_larger = larger * (small + 1)
-    tile = F.floor(position / F.lit(small + 1)) + 1
-    if small:
-        tile = (F.when(position < in_larger, tile)
-                .otherwise(F.floor((position - in_larger) / F.lit(small)) + larger + 1))
-    return placed.withColumn(name, tile.cast("int")).select(*df.columns, name)
+    return placed.withColumn(name, tile_of(F.col("_position"), chunks.count(), tiles)).select(*df.columns, name)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffmart.sources.tables import materialise
 
+# Tasks get these functions with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def versions_on(dim_employee: DataFrame, date) -> DataFrame:
     """All versions valid on one date, both ends included."""
@@ -27,9 +35,8 @@ def validity_segments(dim_employee: DataFrame) -> DataFrame:
     per review. All work here is on the dimension, and its result is a written table.
 
     A version that starts no earlier than all before it have ended is just cut where the
-    next one starts. Only employees with real overlaps need their versions compared with
-    each other. An employee has at most two spans per calendar day that matter, however
-    many versions there are, since versions with the same days are reduced to one first.
+    next one starts. Employees with real overlaps have their versions gone through once, in order
+    of their starts. Work grows with the number of versions, and there are at most two segments for each.
     """
     spans = (dim_employee.where("start_date <= end_date")
              .groupBy("employee_id", "start_date", "end_date")
@@ -46,7 +53,7 @@ def validity_segments(dim_employee: DataFrame) -> DataFrame:
     overlapping = materialise(overlapping, "overlapping")
     return materialise(
         _cut_at_next(spans.join(overlapping, "employee_id", "left_anti"))
-        .unionByName(_compared(spans.join(overlapping, "employee_id", "left_semi"))), "segments")
+        .unionByName(_swept(spans.join(overlapping, "employee_id", "left_semi"))), "segments")
 
 
 def _cut_at_next(spans: DataFrame) -> DataFrame:
@@ -56,17 +63,54 @@ def _cut_at_next(spans: DataFrame) -> DataFrame:
             .where("first_day <= last_day"))
 
 
-def _compared(spans: DataFrame) -> DataFrame:
-    """Segments between all borders of an employee's spans, each with its newest valid span."""
-    border = F.explode(F.array("start_date", F.date_add("end_date", 1))).alias("first_day")
-    borders = (spans.select("employee_id", border).distinct()
-               .withColumn("last_day", F.date_sub(F.lead("first_day").over(
-                   Window.partitionBy("employee_id").orderBy("first_day")), 1))
-               .where("last_day is not null"))
-    valid = borders.join(
-        spans.withColumnRenamed("employee_id", "_id"),
-        (F.col("employee_id") == F.col("_id"))
-        & F.col("first_day").between(F.col("start_date"), F.col("end_date")))
-    newest = (valid.groupBy("employee_id", "first_day", "last_day")
-              .agg(F.max(F.struct("start_date", "employee_sk", "department_sk")).alias("newest")))
-    return newest.select("employee_id", "first_day", "last_day", "newest.employee_sk", "newest.department_sk")
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of versions sorted by employee, start and key; days are numbers.
+
+    ``open_`` holds the versions that may still count, the newest last. One that ends no later than a newer
+    one will never count again and is dropped, so ends fall from the first to the last.
+    """
+    names = ["employee_id", "first_day", "last_day", "employee_sk", "department_sk"]
+    person, day, open_ = None, None, []
+
+    def until(last: float) -> Iterator[tuple]:
+        nonlocal day
+        while open_ and day <= last:
+            end, key, department = open_[-1]
+            if end < day:
+                open_.pop()
+                continue
+            yield person, day, min(end, last), key, department
+            day = min(end, last) + 1
+
+    for batch in batches:
+        out = []
+        for employee, start, end, key, department in zip(*(column.to_pylist() for column in batch.columns)):
+            if employee != person:
+                out += until(float("inf"))
+                person, open_ = employee, []
+            else:
+                out += until(start - 1)
+            while open_ and open_[-1][0] <= end:
+                open_.pop()
+            open_.append((end, key, department))
+            day = start
+        yield pa.RecordBatch.from_pydict({n: [row[i] for row in out] for i, n in enumerate(names)}, _segment_schema())
+    rest = list(until(float("inf")))
+    yield pa.RecordBatch.from_pydict({n: [row[i] for row in rest] for i, n in enumerate(names)}, _segment_schema())
+
+
+def _segment_schema() -> pa.Schema:
+    return pa.schema([("employee_id", pa.string()), ("first_day", pa.int32()), ("last_day", pa.int32()),
+                      ("employee_sk", pa.int64()), ("department_sk", pa.int32())])
+
+
+def _swept(spans: DataFrame) -> DataFrame:
+    """Segments of overlapping versions, each with its newest valid one."""
+    kinds = dict(spans.dtypes)
+    rows = (spans.select("employee_id", F.unix_date("start_date").alias("start"), F.unix_date("end_date").alias("end"),
+                         F.col("employee_sk").cast("long"), F.col("department_sk").cast("int"))
+            .repartition(F.col("employee_id")).sortWithinPartitions("employee_id", "start", "employee_sk"))
+    found = rows.mapInArrow(_sweep, "employee_id string, first_day int, last_day int, employee_sk long, department_sk int")
+    return found.select("employee_id", F.date_from_unix_date("first_day").alias("first_day"),
+                        F.date_from_unix_date("last_day").alias("last_day"),
+                        F.col("employee_sk").cast(kinds["employee_sk"]), F.col("department_sk").cast(kinds["department_sk"]))

@@ -104,7 +104,9 @@ def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employ
 
     last_move = moves.where("_next_date is null").select(
         "employee_id", F.col("new_department_id").alias("_moved_to"))
-    moved = (employees.join(last_move, "employee_id", "left")
-             .withColumn("department_id", F.coalesce("_moved_to", "department_id"))
-             .select(*employees.columns))
+    moved = employees.join(last_move, "employee_id", "left")
+    if "updated_at" in employees.columns:
+        moved = moved.withColumn("updated_at", F.when(F.col("_moved_to").isNotNull(), F.current_timestamp())
+                                 .otherwise(F.col("updated_at")))
+    moved = moved.withColumn("department_id", F.coalesce("_moved_to", "department_id")).select(*employees.columns)
     return ScdResult(closed.unionByName(versions), moved, rejects)

@@ -1,4 +1,9 @@
-"""Submitted rows become operational rows, or go to quarantine with a reason."""
+"""Submitted rows become operational rows, or go to quarantine with a reason.
+
+A row's key is the prefix of its table, a dash and its submission id, so two submissions never
+share a key, a repeated job gives the same one, and it differs from the keys of loaded rows, which have no
+dash. Keys fit 20 characters for submission ids of up to 18 digits.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.functions.numbers import parse_float
-from staffmart.functions.text import hashed_id, strip
+from staffmart.functions.text import strip
 from staffmart.operators.lookup import join_found
 from staffmart.operators.validate import (
     FORM, validate_assignments, validate_employees, validate_projects, validate_reviews)
@@ -29,8 +34,35 @@ def _quarantine(judged: DataFrame) -> DataFrame:
     return judged.where("reject_reason is not null")
 
 
-def _key(prefix: str, digits: int) -> Column:
-    return hashed_id(prefix, digits, F.lit(prefix), F.col("submission_id"))
+def _key(prefix: str) -> Column:
+    return F.concat(F.lit(f"{prefix}-"), F.col("submission_id").cast("string"))
+
+
+def once(intake: DataFrame) -> DataFrame:
+    """One row per submission id: of rows sent again under it, the smallest in the order of the columns.
+
+    Found by an aggregate with map-side combine, so one id repeated in many rows stays cheap.
+    Rows without an id are kept; they are refused later.
+    """
+    others = [c for c in intake.columns if c != "submission_id"]
+    named = (intake.where("submission_id is not null").groupBy("submission_id")
+             .agg(F.min(F.struct(*others)).alias("_row")).select("submission_id", "_row.*"))
+    return named.select(*intake.columns).unionByName(intake.where("submission_id is null"))
+
+
+def _refuse(judged: DataFrame, wrong: Column, reason: str) -> DataFrame:
+    return judged.withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & wrong, reason)
+                             .otherwise(F.col("reject_reason")))
+
+
+def _refuse_known(judged: DataFrame, stored: DataFrame | None, column: str, prefix: str) -> DataFrame:
+    """Refuse rows without a submission id and those whose key is stored already."""
+    judged = _refuse(judged, F.col("submission_id").isNull(), "submission id required")
+    if stored is None:
+        return judged
+    known = stored.select(F.col(column).alias("_key"), F.lit(True).alias("_taken")).distinct()
+    judged = join_found(judged.withColumn("_key", _key(prefix)), known, "_key")
+    return _refuse(judged, F.col("_taken").isNotNull(), "already taken in").drop("_key", "_taken")
 
 
 def _refuse_taken(judged: DataFrame, stored: DataFrame | None, column: str, value: Column,
@@ -48,20 +80,25 @@ def _refuse_taken(judged: DataFrame, stored: DataFrame | None, column: str, valu
         known = stored.select(F.col(column).alias("_value"), F.lit(True).alias("_stored")).distinct()
         first = first.join(known, "_value", "left")
         taken = taken | F.col("_stored").isNotNull()
-    return (join_found(judged, first, "_value")
-            .withColumn("reject_reason", F.when(F.col("reject_reason").isNull() & taken, reason)
-                        .otherwise(F.col("reject_reason")))
-            .drop("_value", "_first", "_stored"))
+    return _refuse(join_found(judged, first, "_value"), taken, reason).drop("_value", "_first", "_stored")
 
 
 def intake_employees(intake: DataFrame, stored: DataFrame | None = None, as_of=None,
-                     rules: str = FORM) -> Intake:
-    """Onboarding rows: submission_id, form text columns, gender, department_id, hire_date."""
-    judged = validate_employees(intake, as_of, rules)
+                     rules: str = FORM, departments: DataFrame | None = None) -> Intake:
+    """Onboarding rows: submission_id, form text columns, gender, department_id, hire_date.
+
+    With ``departments`` a row must name one of them.
+    """
+    judged = validate_employees(once(intake), as_of, rules)
+    if departments is not None:
+        known = departments.select("department_id", F.lit(True).alias("_known")).distinct()
+        judged = join_found(judged, known, "department_id")
+        judged = _refuse(judged, F.col("_known").isNull(), "unknown department").drop("_known")
+    judged = _refuse_known(judged, stored, "employee_id", "E")
     judged = _refuse_taken(judged, stored, "email", strip(F.col("email")), "email already used")
     good = judged.where("reject_reason is null")
     accepted = good.select(
-        _key("E", 16).alias("employee_id"),
+        _key("E").alias("employee_id"),
         strip(F.col("first_name")).alias("first_name"),
         strip(F.col("last_name")).alias("last_name"),
         strip(F.col("email")).alias("email"),
@@ -81,30 +118,32 @@ def with_audit_times(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
 
 
-def intake_projects(intake: DataFrame) -> Intake:
-    judged = validate_projects(intake)
+def intake_projects(intake: DataFrame, stored: DataFrame | None = None) -> Intake:
+    judged = _refuse_known(validate_projects(once(intake)), stored, "project_id", "P")
     accepted = judged.where("reject_reason is null").select(
-        _key("P", 16).alias("project_id"),
+        _key("P").alias("project_id"),
         strip(F.col("project_name")).alias("project_name"),
         strip(F.col("description")).alias("description"),
         "start_date", "end_date", "status")
     return Intake(accepted.select(*PROJECTS.names), _quarantine(judged))
 
 
-def intake_assignments(intake: DataFrame, employees: DataFrame, projects: DataFrame) -> Intake:
-    judged = validate_assignments(intake, employees, projects)
+def intake_assignments(intake: DataFrame, employees: DataFrame, projects: DataFrame,
+                       stored: DataFrame | None = None) -> Intake:
+    judged = _refuse_known(validate_assignments(once(intake), employees, projects), stored, "assignment_id", "A")
     accepted = judged.where("reject_reason is null").select(
-        _key("A", 16).alias("assignment_id"),
+        _key("A").alias("assignment_id"),
         F.upper(strip(F.col("employee_id"))).alias("employee_id"),
         "project_id", strip(F.col("assignment_role")).alias("assignment_role"),
         "start_date", F.lit(None).cast("date").alias("end_date"))
     return Intake(accepted.select(*ASSIGNMENTS.names), _quarantine(judged))
 
 
-def intake_reviews(intake: DataFrame, employees: DataFrame, projects: DataFrame) -> Intake:
-    judged = validate_reviews(intake, employees, projects)
+def intake_reviews(intake: DataFrame, employees: DataFrame, projects: DataFrame,
+                   stored: DataFrame | None = None) -> Intake:
+    judged = _refuse_known(validate_reviews(once(intake), employees, projects), stored, "review_id", "R")
     accepted = judged.where("reject_reason is null").select(
-        _key("R", 16).alias("review_id"),
+        _key("R").alias("review_id"),
         F.upper(strip(F.col("employee_id"))).alias("employee_id"),
         "project_id", "review_date", "rating", "review_score",
         strip(F.col("comments")).alias("comments"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from staffmart.functions.dates import as_of_date, completed_years
 from staffmart.functions.text import full_name
-from staffmart.operators.ordering import with_tile
+from staffmart.operators.ordering import rows_in_tiles, tile_of, with_tile
 from staffmart.plans.warehouse import Warehouse
+from staffmart.sources.tables import materialise
 
 # Risk tiles and levels, and the score given to employees without reviews.
 RISK_TILES = 20
@@ -191,28 +192,48 @@ def risk_scores(w: Warehouse, as_of=None) -> DataFrame:
                     F.round(total, 2).alias("risk_score")))
 
 
-def _risk_levels(w: Warehouse, as_of) -> DataFrame:
-    tiled = with_tile(risk_scores(w, as_of), "risk_group", RISK_TILES, [F.desc("risk_score"), "employee_id"])
-    level = (F.when(F.col("risk_group") <= HIGH_TILES, RISK_LEVELS[0])
-             .when(F.col("risk_group") <= MEDIUM_TILES, RISK_LEVELS[1]).otherwise(RISK_LEVELS[2]))
-    return tiled.select("employee_id", "employee_name", "years_at_company",
-                        F.round("avg_score", 2).alias("avg_score"), "salary", "risk_score",
-                        level.alias("risk_level"))
+def _level(tile: Column) -> Column:
+    return (F.when(tile <= HIGH_TILES, RISK_LEVELS[0]).when(tile <= MEDIUM_TILES, RISK_LEVELS[1])
+            .otherwise(RISK_LEVELS[2]).alias("risk_level"))
+
+
+def _listed(scores: DataFrame, tile: str) -> DataFrame:
+    return scores.select("employee_id", "employee_name", "years_at_company", F.round("avg_score", 2).alias("avg_score"),
+                         "salary", "risk_score", _level(F.col(tile)))
 
 
 def attrition_risk(w: Warehouse, as_of=None) -> DataFrame:
     """Risk level by rank among all current employees: 20 % high, 55 % medium, 25 % low."""
-    return _risk_levels(w, as_of).orderBy(F.desc("risk_score"), "employee_name", "employee_id")
+    tiled = with_tile(risk_scores(w, as_of), "risk_group", RISK_TILES, [F.desc("risk_score"), "employee_id"])
+    return _listed(tiled, "risk_group").orderBy(F.desc("risk_score"), "employee_name", "employee_id")
 
 
 def attrition_distribution(w: Warehouse, as_of=None) -> DataFrame:
-    """Employees per level; a level nobody has is listed with 0."""
-    counts = _risk_levels(w, as_of).groupBy("risk_level").agg(F.count(F.lit(1)).alias("_n"))
-    levels = w.fact.sparkSession.range(1).select(
-        F.posexplode(F.array(*[F.lit(level) for level in RISK_LEVELS])).alias("place", "risk_level"))
-    return (levels.join(counts, "risk_level", "left").orderBy("place")
-            .select("risk_level", F.coalesce("_n", F.lit(0)).alias("employee_count")))
+    """Employees per level; a level nobody has is listed with 0.
+
+    Levels are shares of the ranking, so their sizes follow from the number of current employees alone.
+    """
+    bounds = [(1, HIGH_TILES), (HIGH_TILES + 1, MEDIUM_TILES), (MEDIUM_TILES + 1, RISK_TILES)]
+    people = w.dim_employee.where("is_current").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = [F.struct(F.lit(level).alias("risk_level"), rows_in_tiles(F.col("_n"), RISK_TILES, *bound).alias("employee_count"))
+             for level, bound in zip(RISK_LEVELS, bounds)]
+    return people.select(F.inline(F.array(*sizes)))
 
 
 def attrition_top(w: Warehouse, as_of=None, n: int = 15) -> DataFrame:
-    return _risk_levels(w, as_of).orderBy(F.desc("risk_score"), "employee_name", "employee_id").limit(n)
+    """The first ``n`` of ``attrition_risk`` without ranking everyone.
+
+    Whoever has a higher score than one of them is one of them too, so the place of each in the
+    ranking is its rank among the ``n``, plus those anywhere with the same score and a smaller id.
+    """
+    scores = risk_scores(w, as_of)
+    order = [F.desc("risk_score"), "employee_name", "employee_id"]
+    top = materialise(scores.orderBy(*order).limit(n), "top")
+    rivals = F.broadcast(top.select("risk_score", F.col("employee_id").alias("_id")))  # n rows
+    ahead = (scores.select("risk_score", "employee_id").join(rivals, "risk_score").where(F.col("employee_id") < F.col("_id"))
+             .groupBy("_id").agg(F.count(F.lit(1)).alias("_ahead")))
+    higher = F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("risk_score")))  # over n rows
+    placed = top.withColumn("_higher", higher).join(ahead, F.col("employee_id") == F.col("_id"), "left")
+    people = w.dim_employee.where("is_current").count()
+    placed = placed.withColumn("risk_group", tile_of(F.col("_higher") + F.coalesce("_ahead", F.lit(0)), people, RISK_TILES))
+    return _listed(placed, "risk_group").orderBy(*order)

@@ -9,7 +9,7 @@ from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +18,68 @@ from staffmart.session import shared_dir
 T_ = TypeVar("T_")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header and a declared schema; a row that does not fit stops the job."""
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    return (spark.read.schema(nullable)
-            .options(header=True, mode="FAILFAST", dateFormat="yyyy-MM-dd",
-                     quote='"', escape='"', multiLine=False)
-            .csv(path))
+# fixed values: spellings of a missing value
+MISSING = ("", "nan", "NaN", "NaT")
+_BAD = "_bad"
+
+
+def _raw_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """All columns of the schema as text, found by their names in the header, and ``_bad``."""
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False,
+                                ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    header = reader.option("inferSchema", False).csv(path).columns
+    absent = [name for name in schema.names if name not in header]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    given = T.StructType([T.StructField(name, T.StringType()) for name in header] + [T.StructField(_BAD, T.StringType())])
+    rows = reader.schema(given).option("columnNameOfCorruptRecord", _BAD).csv(path)
+    return rows.select(*schema.names, F.when(F.col(_BAD).isNotNull(), "malformed row").alias(_BAD))
+
+
+def _typed(column: str, kind: T.DataType) -> Column:
+    """The value of a column; a spelling of a missing value is NULL, and so is what does not parse."""
+    if isinstance(kind, T.StringType):
+        return F.col(column)
+    bare = F.trim(F.col(column))
+    return F.when(~bare.isin(*MISSING), bare).try_cast(kind)
+
+
+def _judged_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    rows, reason = _raw_csv(spark, path, schema, multi_line), F.col(_BAD)
+    for field in schema:
+        if not isinstance(field.dataType, T.StringType):
+            wrong = _typed(field.name, field.dataType).isNull() & ~F.trim(F.col(field.name)).isin(*MISSING)
+            reason = F.coalesce(reason, F.when(wrong, f"{field.name} is no {field.dataType.simpleString()}"))
+    return rows.withColumn(_BAD, reason)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, bad: str = "fail", multi_line: bool = True) -> DataFrame:
+    """CSV with a header, whose columns are found by name; other columns are left out.
+
+    Missing values may be spelled in any way of ``MISSING`` where a number or date is due; text stays as it
+    is, but for an empty one, which is missing. A row with a value that does not fit stops the job, or with ``bad="skip"`` is left out;
+    ``bad_csv_rows`` returns it. Files without line breaks inside values may be read with ``multi_line=False``,
+    which lets Spark split them.
+    """
+    rows = _judged_csv(spark, path, schema, multi_line)
+    typed = [_typed(f.name, f.dataType).alias(f.name) for f in schema]
+    if bad == "skip":
+        return rows.where(F.col(_BAD).isNull()).select(*typed)
+    stop = F.raise_error(F.concat(F.lit(f"{path}: "), F.col(_BAD)))
+    return rows.where(F.when(F.col(_BAD).isNotNull(), stop.cast("boolean")).otherwise(F.lit(True))).select(*typed)
+
+
+def bad_csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """The rows that ``read_csv`` skips, as text, with the first reason."""
+    rows = _judged_csv(spark, path, schema, multi_line)
+    return rows.where(F.col(_BAD).isNotNull()).select(*schema.names, F.col(_BAD).alias("reason"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; text keeps its outer spaces, quotes and line breaks."""
     (df.write.mode("overwrite")
-     .options(header=True, dateFormat="yyyy-MM-dd", quote='"', escape='"')
+     .options(header=True, dateFormat="yyyy-MM-dd", quote='"', escape='"',
+              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
      .csv(path))
 
 
@@ -85,8 +135,7 @@ def nulls_for_missing(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             col = F.when(~F.isnan(col), col)
         elif isinstance(field.dataType, T.StringType):
-            # fixed values: spellings of a missing value
-            col = F.when(~F.trim(col).isin("", "nan", "NaN", "NaT"), col)
+            col = F.when(~F.trim(col).isin(*MISSING), col)
         out.append(col.alias(field.name))
     return df.select(*out)
 

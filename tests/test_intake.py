@@ -25,7 +25,7 @@ def forms(spark, *changes):
     rows = []
     for i, change in enumerate(changes):
         r = {**GOOD, "email": f"e{i}@example.com", **change}
-        rows.append((i, r["first_name"], r["last_name"], r["email"], "Female", r["age"], 1, r["role"], r["salary"],
+        rows.append((i, r["first_name"], r["last_name"], r["email"], "Female", r["age"], r.get("department_id", 1), r["role"], r["salary"],
                      r["hire_date"] and day(r["hire_date"])))
     return spark.createDataFrame(rows, FIELDS)
 
@@ -83,12 +83,33 @@ def test_accepted_employees(spark, make):
     rows = result.accepted.collect()
     assert result.accepted.columns == EMPLOYEES.names
     assert {(r.first_name, r.age, str(r.salary), r.status) for r in rows} == {("Ann", 30, "1000.50", "Active")}
-    assert all(r.employee_id.startswith("E") and len(r.employee_id) == 17 for r in rows)
+    assert sorted(r.employee_id for r in rows) == ["E-0", "E-1"]
     assert sorted(r.email for r in rows) == ["e0@example.com", "twice@example.com"]
     assert {r.submission_id: r.reject_reason for r in result.quarantine.collect()} == {
         2: "email already used", 3: "email already used"}
 
 
+def test_each_submission_is_taken_in_once(spark, make):
+    one = forms(spark, dict(), dict(email="other@example.com"), dict(department_id=9))
+    unnamed = one.limit(1).withColumn("submission_id", F.lit(None).cast("long")).withColumn("email", F.lit("n@example.com"))
+    given = one.unionByName(one).unionByName(one.withColumn("role", F.lit("Zoologist"))).unionByName(unnamed)
+    stored = make.employees(dict(employee_id="E-1", email="before@example.com"))
+    result = intake_employees(given, stored, "2025-01-01", departments=make.departments("One"))
+    assert [(r.employee_id, r.role) for r in result.accepted.collect()] == [("E-0", one.first().role)]
+    assert {(r.submission_id, r.reject_reason) for r in result.quarantine.collect()} == {
+        (1, "already taken in"), (2, "unknown department"), (None, "submission id required")}
+    assert result.quarantine.count() == 3
+
+    projects = spark.createDataFrame([(k, "P", None, day("2024-01-01"), None, "Planned") for k in (5, 5, 6)],
+                                     "submission_id long, project_name string, description string, start_date date, "
+                                     "end_date date, status string")
+    first = intake_projects(projects)
+    assert sorted(r.project_id for r in first.accepted.collect()) == ["P-5", "P-6"]
+    again = intake_projects(projects, first.accepted.where("project_id = 'P-5'"))
+    assert [r.project_id for r in again.accepted.collect()] == ["P-6"]
+    assert [r.reject_reason for r in again.quarantine.collect()] == ["already taken in"]
+
+
 def test_other_forms(spark, make):
     people = make.employees(dict(employee_id="E1"))
     projects = spark.createDataFrame(
