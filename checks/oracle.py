@@ -765,6 +765,41 @@ BODIES = {
 BODIES["intake_stream"] = BODIES["intake_employees"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in' ", "")
 
 
+CTES["doubled_reviews"] = """SELECT review_id, employee_id, project_id FROM reviews
+    UNION ALL SELECT review_id, employee_id, project_id FROM base_reviews"""
+
+
+def findings(keys: str, references: str, tables: dict[str, str]) -> str:
+    """Repeated keys and references to nothing; written as table.column and child.column>parent."""
+    parts = []
+    for key in keys.split():
+        table, column = key.split(".")
+        parts.append(f"SELECT '{key} repeated' AS rule, CAST({column} AS VARCHAR) AS key, count(*) AS row_count "
+                     f"FROM {tables[table]} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1")
+    for reference in references.split():
+        child, column, parent = reference.replace(">", ".").split(".")
+        parts.append(f"SELECT '{child}.{column} not in {parent}' AS rule, CAST({column} AS VARCHAR) AS key, count(*) AS row_count "
+                     f"FROM {tables[child]} WHERE {column} IS NOT NULL AND {column} NOT IN "
+                     f"(SELECT {column} FROM {tables[parent]}) GROUP BY {column}")
+    return " UNION ALL ".join(parts)
+
+
+BODIES["dq_operational"] = findings(
+    "departments.department_id departments.department_name employees.employee_id employees.email projects.project_id "
+    "assignments.assignment_id reviews.review_id",
+    "employees.department_id>departments assignments.employee_id>employees assignments.project_id>projects "
+    "reviews.employee_id>employees reviews.project_id>projects",
+    {"departments": "departments", "employees": "base_employees", "projects": "base_projects",
+     "assignments": "assignments", "reviews": "doubled_reviews"})
+BODIES["dq_star"] = "SELECT rule, count(*) AS keys, CAST(sum(row_count) AS BIGINT) AS row_count FROM (" + findings(
+    "dim_department.department_id dim_project.project_id dim_date.date_sk dim_date.full_date dim_employee.employee_sk "
+    "fact.review_sk fact.review_id",
+    "dim_employee.department_sk>dim_department fact.employee_sk>dim_employee fact.project_sk>dim_project "
+    "fact.department_sk>dim_department fact.date_sk>dim_date",
+    {"dim_department": "base_dim_department", "dim_project": "base_dim_project", "dim_date": "base_dim_date",
+     "dim_employee": "base_dim_employee", "fact": "dim_fact"}) + ") GROUP BY rule"
+
+
 def all_sql() -> dict[str, str]:
     """Each query with the table expressions it needs, directly or through others."""
     import re

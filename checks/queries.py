@@ -305,6 +305,23 @@ def dq_referential(spark, sf):
                                   "employee_id")
 
 
+def dq_operational(spark, sf):
+    """All keys and references of the operational tables, with employees and projects of an earlier state."""
+    now, early = mapping.tables(spark, sf), mapping.base_tables(spark, sf)
+    tables = {**now, "employees": early["employees"], "projects": early["projects"],
+              "reviews": now["reviews"].unionByName(early["reviews"])}
+    return audit.audit_tables(tables, schemas.OPERATIONAL_KEYS, schemas.OPERATIONAL_REFERENCES)
+
+
+def dq_star(spark, sf):
+    """All keys and references of the star schema, its facts against the dimensions of an earlier one."""
+    now, early = stores.warehouse(spark, sf), stores.base_warehouse(spark, sf)
+    tables = {"dim_department": early.dim_department, "dim_project": early.dim_project, "dim_date": early.dim_date,
+              "dim_employee": early.dim_employee, "fact": now.fact}
+    return (audit.audit_tables(tables, schemas.STAR_KEYS, schemas.STAR_REFERENCES)
+            .groupBy("rule").agg(F.count(F.lit(1)).alias("keys"), F.sum("row_count").alias("row_count")))
+
+
 def dq_check(spark, sf):
     return audit.audit_check(mapping.review_submissions(spark, sf), audit.rating_in_range())
 
@@ -413,7 +430,7 @@ QUERIES = [
     upsert_department, upsert_project, insert_ignore_dates, new_employees, fact_incremental,
     fact_load_reviews, refresh_summary, scd2_apply, scd2_apply_day_before, scd2_employees,
     scd2_rejects, validate_employees, validate_employees_write, dq_unique, dq_not_null,
-    dq_referential, dq_check, dq_scd2, intake_employees, intake_projects, intake_assignments,
+    dq_referential, dq_operational, dq_star, dq_check, dq_scd2, intake_employees, intake_projects, intake_assignments,
     intake_reviews, synth_seed, synth_employees, synth_projects, synth_assignments, synth_reviews,
     synth_history, review_date_guardrail, intake_stream,
 ]

@@ -37,6 +37,35 @@ def audit_references(child: DataFrame, parent: DataFrame, key: str, parent_key:
     return used.join(known, key, "left_anti")
 
 
+def audit_tables(tables: dict[str, DataFrame], keys: list[tuple[str, str]],
+                 references: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule, key, row_count) of every repeated key and every reference to nothing, over several tables.
+
+    A NULL key is none, as in a database.
+    """
+    found = [audit_unique(tables[table].where(F.col(column).isNotNull()), column)
+             .select(F.lit(f"{table}.{column} repeated").alias("rule"), F.col(column).cast("string").alias("key"), "row_count")
+             for table, column in keys]
+    found += [audit_references(tables[child], tables[parent], column)
+              .select(F.lit(f"{child}.{column} not in {parent}").alias("rule"), F.col(column).cast("string").alias("key"), "row_count")
+              for child, column, parent in references]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class BrokenRules(ValueError):
+    """Rows that a database would refuse."""
+
+
+def require_clean(findings: DataFrame) -> None:
+    """Raise an error that names some of the findings, if there are any."""
+    some = findings.limit(20).collect()  # for the message only
+    if some:
+        raise BrokenRules("; ".join(f"{r.rule}: {r.key} ({r.row_count})" for r in some))
+
+
 def audit_check(df: DataFrame, rule: Column) -> DataFrame:
     """Rows for which the rule is false; an unknown result passes, as in SQL."""
     return df.where(~rule)

@@ -101,16 +101,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segment_schema() -> pa.Schema:
     return pa.schema([("employee_id", pa.string()), ("first_day", pa.int32()), ("last_day", pa.int32()),
-                      ("employee_sk", pa.int64()), ("department_sk", pa.int32())])
+                      ("employee_sk", pa.int64()), ("department_sk", pa.int64())])
 
 
 def _swept(spans: DataFrame) -> DataFrame:
     """Segments of overlapping versions, each with its newest valid one."""
     kinds = dict(spans.dtypes)
     rows = (spans.select("employee_id", F.unix_date("start_date").alias("start"), F.unix_date("end_date").alias("end"),
-                         F.col("employee_sk").cast("long"), F.col("department_sk").cast("int"))
+                         F.col("employee_sk").cast("long"), F.col("department_sk").cast("long"))
             .repartition(F.col("employee_id")).sortWithinPartitions("employee_id", "start", "employee_sk"))
-    found = rows.mapInArrow(_sweep, "employee_id string, first_day int, last_day int, employee_sk long, department_sk int")
+    found = rows.mapInArrow(_sweep, "employee_id string, first_day int, last_day int, employee_sk long, department_sk long")
     return found.select("employee_id", F.date_from_unix_date("first_day").alias("first_day"),
                         F.date_from_unix_date("last_day").alias("last_day"),
                         F.col("employee_sk").cast(kinds["employee_sk"]), F.col("department_sk").cast(kinds["department_sk"]))

@@ -18,6 +18,11 @@ from staffmart.sources.tables import materialise, read_parquet, together, write_
 from staffmart.sources.versions import current, make_current, new_folder, publish
 
 
+# Keys a star schema is built on.
+UNIQUE = [("departments", "department_id"), ("employees", "employee_id"), ("projects", "project_id"),
+          ("reviews", "review_id")]
+
+
 @dataclass
 class Warehouse:
     dim_department: DataFrame
@@ -42,8 +47,12 @@ def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
 
 def rebuild(spark: SparkSession, tables: dict[str, DataFrame], root: str, current_start=None) -> Warehouse:
     """Build all five tables from departments, employees, projects, reviews and
-    employee_history, in a new folder that becomes current when it is complete."""
+    employee_history, in a new folder that becomes current when it is complete.
+
+    Repeated keys stop it: they would give two current versions or two facts of one review.
+    """
     folder = new_folder(root)
+    together(spark, {key: lambda table=table, key=key: _require_unique(tables[table], key) for table, key in UNIQUE})
 
     def store(name: str, df: DataFrame, partitions=()) -> DataFrame:
         write_parquet(df, f"{folder}/{name}", partitions)
@@ -128,15 +137,14 @@ def refresh(tables: dict[str, DataFrame], warehouse: Warehouse) -> Refresh:
     Departments and projects are upserted, only missing dates and employees are added, and
     every review is upserted against the version valid on its date.
     """
+    spark = warehouse.fact.sparkSession
+    together(spark, {key: lambda table=table, key=key: _require_unique(tables[table], key) for table, key in UNIQUE})
+
     def people() -> tuple[DataFrame, DataFrame]:
-        _require_unique(tables["departments"], "department_id")
         departments = upsert(warehouse.dim_department, tables["departments"], "department_id", "department_sk")
         return departments, first_versions(warehouse.dim_employee, tables["employees"], departments)
 
-    spark = warehouse.fact.sparkSession
-
     def projects_now() -> DataFrame:
-        _require_unique(tables["projects"], "project_id")
         return upsert(warehouse.dim_project, tables["projects"], "project_id", "project_sk")
 
     done = together(spark, {

@@ -93,3 +93,22 @@ TEXT_LIMITS = {
     "project_name": 160, "description": 500, "assignment_id": 30, "assignment_role": 120,
     "review_id": 30, "comments": 1000,
 }
+
+# Keys that must be unique, and references (child, column, parent).
+OPERATIONAL_KEYS = [
+    ("departments", "department_id"), ("departments", "department_name"), ("employees", "employee_id"),
+    ("employees", "email"), ("projects", "project_id"), ("assignments", "assignment_id"), ("reviews", "review_id"),
+]
+OPERATIONAL_REFERENCES = [
+    ("employees", "department_id", "departments"), ("assignments", "employee_id", "employees"),
+    ("assignments", "project_id", "projects"), ("reviews", "employee_id", "employees"),
+    ("reviews", "project_id", "projects"),
+]
+STAR_KEYS = [
+    ("dim_department", "department_id"), ("dim_project", "project_id"), ("dim_date", "date_sk"),
+    ("dim_date", "full_date"), ("dim_employee", "employee_sk"), ("fact", "review_sk"), ("fact", "review_id"),
+]
+STAR_REFERENCES = [
+    ("dim_employee", "department_sk", "dim_department"), ("fact", "employee_sk", "dim_employee"),
+    ("fact", "project_sk", "dim_project"), ("fact", "department_sk", "dim_department"), ("fact", "date_sk", "dim_date"),
+]
