@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from staffmart.llm.common import SEED, pieces as text_pieces, raw_texts, values
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-INDEXED = 1 << 20  # characters indexed at once; a longer segment comes alone
+INDEXED = 1 << 18  # characters indexed at once; a longer segment comes alone
 META = "▁"
 _NEVER = 1 << 30
 _CACHE_BITS = 21
