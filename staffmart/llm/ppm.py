@@ -27,18 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffmart.llm.common import pieces, raw_texts, values
-from staffmart.sources.tables import materialise
+from staffmart.llm.common import SEED, pieces, raw_texts, values
+from staffmart.sources.tables import materialise, work_path
 
 ORDER = 3
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 MARK = 256  # the end of a text, and what stands before its start
 SYMBOLS = 257
-_PART = 4 << 20  # bytes worked on at once
+_PART = 1 << 20  # bytes worked on at once
 _WORD, _GROUP = 0, 1
 
 
@@ -104,32 +105,34 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about _PART bytes."""
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > _PART:
+    begin, total = 0, 0
+    for k, size in enumerate(sizes):
+        if total and total + size > _PART:
             yield begin, k
-            begin, size = k, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, total = k, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _counted(keys: np.ndarray, learned: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different keys with how often they were learned from."""
+    yield np.unique(keys[learned], return_counts=True)
+    unlearned = np.unique(keys[~learned])
+    yield unlearned, np.zeros(len(unlearned), np.int64)
 
 
 def _pack(order: int, block_bytes: int):
     def row(ids, held, texts):
         words, codes = [], []
-        for a, b in _parts(texts):
+        for a, b in _parts([len(t) for t in texts]):
             learned = np.array([not h for h in held[a:b]])
             own = [tokens(t) for t in texts[a:b]]
-            for seen, into in ((np.concatenate(own), words), (None, codes)):
-                if into is words:
-                    weight = np.repeat(learned, [len(o) for o in own])
-                else:
-                    seen, sizes = groups(texts[a:b], order)
-                    weight = np.repeat(learned, sizes)
-                keys, back = np.unique(seen, return_inverse=True)
-                into.append((keys, np.bincount(back, weight, len(keys))))
+            words += _counted(np.concatenate(own), np.repeat(learned, [len(o) for o in own]))
+            seen, sizes = groups(texts[a:b], order)
+            codes += _counted(seen, np.repeat(learned, sizes))
         (words, word_n), (codes, code_n) = _summed(words), _summed(codes)
         return {"block": uuid.uuid4().int >> 65, "ids": ids, "held": held, "texts": texts, "words": words,
                 "word_n": word_n, "codes": codes, "code_n": code_n,
@@ -192,45 +195,60 @@ def code_costs(codes: DataFrame, order: int) -> DataFrame:
     return out.select("code", cost.alias("cost"))
 
 
+class Lookup:
+    """Values by key for many keys at once: a table of hashed places first, a binary search for the rest."""
+
+    def __init__(self, keys: np.ndarray, amounts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.amounts = keys[order], amounts[order]
+        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 2))
+        self.place = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.place[self._slot(self.keys)] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SEED) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return self.amounts[at]
+
+
 def _score(order: int):
     def run(packed: pa.Table, facts: pa.Table) -> pa.Table:
         kind, key, value = (facts.column(c).to_numpy() for c in ("kind", "key", "value"))
-        sorted_by = {}
-        for which in (_WORD, _GROUP):
-            keys, amounts = key[kind == which], value[kind == which]
-            way = np.argsort(keys)
-            sorted_by[which] = keys[way], amounts[way]
-        out = {"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "logs": [], "score": []}
+        cost = Lookup(key[kind == _GROUP], value[kind == _GROUP])
+        count = Lookup(key[kind == _WORD], value[kind == _WORD]) if (kind == _WORD).any() else None
+        packed = packed.combine_chunks()
+        out = {c: [] for c in ("n_tokens", "n_known", "logs", "score")}
         for p in range(packed.num_rows):
-            ids, held = packed.column("ids")[p].as_py(), packed.column("held")[p].as_py()
-            texts = packed.column("texts")[p].as_py()
-            for a, b in _parts(texts):
-                codes, sizes = groups(texts[a:b], order)
-                keys, amounts = sorted_by[_GROUP]
-                costs = amounts[np.searchsorted(keys, codes)]
-                out["score"] += np.add.reduceat(costs, np.cumsum(sizes) - sizes).tolist()
-                keys, amounts = sorted_by[_WORD]
-                for text in texts[a:b]:
-                    own = tokens(text)
-                    counts = amounts[np.searchsorted(keys, own)] if len(own) else np.empty(0)
-                    out["n_tokens"].append(len(own) + 1)
-                    out["n_known"].append(int((counts > 0).sum()))
-                    out["logs"].append(float(np.log10(counts + 1).sum()))
-            out["doc_id"] += ids
-            out["held_out"] += held
-        return pa.table(out, pa.schema([
-            ("doc_id", packed.schema.field("ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-            ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())]))
+            texts = packed.column("texts").chunk(0)[p].values
+            for a, b in _parts(pc.binary_length(texts).to_pylist()):
+                own = texts.slice(a, b - a).to_pylist()
+                codes, sizes = groups(own, order)
+                out["score"].append(np.add.reduceat(cost(codes), np.cumsum(sizes) - sizes))
+                seen = [tokens(t) for t in own]
+                owner = np.repeat(np.arange(len(own)), [len(s) for s in seen])
+                counts = count(np.concatenate(seen)) if len(owner) else np.empty(0)
+                out["n_tokens"].append(np.array([len(s) + 1 for s in seen], np.int64))
+                out["n_known"].append(np.bincount(owner, counts > 0, len(own)).astype(np.int64))
+                out["logs"].append(np.bincount(owner, np.log10(counts + 1), len(own)).astype(np.float64))
+        ids, held = (pa.concat_arrays([packed.column(c).chunk(0)[p].values for p in range(packed.num_rows)]) for c in ("ids", "held"))
+        return pa.table([ids, held, *(pa.array(np.concatenate(v)) for v in out.values())], names=["doc_id", "held_out", *out])
     return run
 
 
 def score(documents: DataFrame, hold: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows without ``hold``."""
     given = documents.select("doc_id", hold.alias("held_out"), "text")
-    kind = dict(documents.dtypes)["doc_id"]
-    packed = materialise(given.mapInArrow(_pack(order, block_bytes), (
+    kind, spark = dict(documents.dtypes)["doc_id"], documents.sparkSession
+    blocks = work_path(spark, "text-blocks")
+    schema = (
         f"block long, ids array<{kind}>, held array<boolean>, texts array<binary>, words array<long>, word_n array<long>, "
-        "codes array<long>, code_n array<long>, tokens long")), "text-blocks")
+        "codes array<long>, code_n array<long>, tokens long")
+    given.mapInArrow(_pack(order, block_bytes), schema).write.option("compression", "zstd").parquet(blocks)
+    packed = spark.read.schema(schema).parquet(blocks)
 
     def exploded(keys: str, counts: str) -> DataFrame:
         return packed.select("block", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(counts).alias("n"))).alias("x")).select(
