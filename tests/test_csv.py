@@ -53,3 +53,10 @@ def test_reviews_with_turned_columns_are_not_mixed_up(spark, tmp_path):
     rows = sorted(read_csv(spark, path, REVIEWS).collect())
     assert tuple(rows[0]) == ("R1", "E1", "P1", dt.date(2024, 2, 1), 4, Decimal("80.50"), "one\ntwo")
     assert tuple(rows[1]) == ("R2", "E2", "P2", None, None, None, None)
+
+
+def test_rows_can_be_counted(spark, tmp_path):
+    text = T.StructType([T.StructField("words", T.StringType())])
+    path = written(tmp_path, "id,words\n1,good\nx,bad\n")
+    assert read_csv(spark, path, text).count() == 2 and bad_csv_rows(spark, path, text).count() == 0
+    assert read_csv(spark, path, SCHEMA, bad="skip").count() == 1 and bad_csv_rows(spark, path, SCHEMA).count() == 1
