@@ -5,8 +5,9 @@ window forwards, another backwards; both states together give every byte a distr
 the languages. A document's distribution is the mean over all its bytes. The network is
 trained in numpy by backpropagation through time, on the loss of every position, with a
 bounded sample: ``fit_docs`` documents of each language (chosen by a hash of the id) and
-``fit_windows`` windows spread evenly over each. At most ``most_languages`` languages, the
-commonest, are learned.
+``fit_windows`` windows spread evenly over each. Every language of the learning rows is
+learned; if there are so many that the sample would exceed ``fit_total`` documents, they share
+those evenly, with one document each at least.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from. Rows that repeat give repeated results. Other columns are not looked at.
@@ -26,7 +27,8 @@ from staffmart.llm.common import pieces, raw_texts, values
 
 WINDOW = 64
 HIDDEN = 8
-FIT_DOCS, FIT_WINDOWS, MOST_LANGUAGES = 200, 8, 64
+FIT_DOCS, FIT_WINDOWS, FIT_TOTAL = 200, 8, 12_800
+CELLS = 1 << 18  # windows or texts, times languages, handled at once
 EPOCHS, STEP, GROUP = 8, 0.02, 256
 UNKNOWN = "und"
 LEAST_SCORE = 0.25  # what one of four languages gets without any evidence
@@ -144,6 +146,7 @@ class Network:
 
     def documents(self, texts: list[bytes], most: int = 4096) -> np.ndarray:
         """Mean distribution over all bytes of each text; an empty text has zeros."""
+        most = max(1, min(most, CELLS // len(self.p["bias"])))
         sizes = np.array([len(t) for t in texts], np.int64)
         counts = -(-sizes // WINDOW)
         flat = np.full(int(counts.sum()) * WINDOW, 32, np.uint8)
@@ -182,20 +185,21 @@ def _has_letter(text: Column) -> Column:
 
 
 def train(documents: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS,
-          most_languages: int = MOST_LANGUAGES, epochs: int = EPOCHS) -> tuple[list[str], Network] | None:
+          fit_total: int = FIT_TOTAL, epochs: int = EPOCHS) -> tuple[list[str], Network] | None:
     """Languages and network from the documents with ``learn``, or None if there are none."""
     usable = documents.where(learn & F.col("lang").isNotNull() & _has_letter(F.col("text")))
-    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
-    languages = sorted(r["lang"] for r in common.collect())
+    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
     if not languages:
         return None
+    fit_docs = max(1, min(fit_docs, fit_total // len(languages)))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.where(F.col("lang").isin(languages)).select("doc_id", "lang")
+    chosen = (usable.select("doc_id", "lang")
               .withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= fit_docs)
               .select(F.col("doc_id").alias("__id")).distinct())
     sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")  # at most fit_docs ids a language
     rows = sample.select("lang", "text").mapInArrow(_windows(fit_windows), "lang string, window binary").collect()
-    rows = sorted((languages.index(r["lang"]), bytes(r["window"])) for r in rows if r["lang"] in languages)
+    place = {lang: k for k, lang in enumerate(languages)}
+    rows = sorted((place[r["lang"]], bytes(r["window"])) for r in rows)
     x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
     network = Network(len(languages))
     network.fit(x, np.array([c for c, _ in rows]), epochs)
@@ -206,7 +210,8 @@ def _predict(send, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, given = send.value
         network = Network(given=given)
-        for batch in pieces(batches):
+        most = max(1, 16 * CELLS // len(languages))
+        for batch in (b.slice(at, most) for b in pieces(batches) for at in range(0, b.num_rows, most)):
             pooled = network.documents(raw_texts(batch))
             best = pooled.argmax(1)
             letters = values(batch, "__letters").to_pylist()

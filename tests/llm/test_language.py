@@ -69,3 +69,18 @@ def test_awkward_rows(spark):
     assert L.identify(nothing(spark), held_out("doc_id", 3, 1)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in L.identify(unlabelled, held_out("doc_id", 3, 1)).collect()} == {"und"}
+
+
+def test_more_languages_than_sixty_four_are_all_learned(spark):
+    langs = [f"l{k:02d}" for k in range(70) for _ in range(3)]
+    texts = [f"{chr(0x4E00 + 7 * int(lang[1:]))}{chr(0x5E00 + 11 * int(lang[1:]))} " * 30 for lang in langs]
+    languages, network = L.train(documents(spark, texts, langs), F.lit(True), epochs=1)
+    assert languages == sorted(set(langs)) and len(network.p["bias"]) == 70
+
+
+def test_languages_share_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L.Network, "fit", lambda self, x, label, epochs: seen.append(np.bincount(label)))
+    L.train(two_languages(spark, 60), F.lit(True), fit_windows=1, fit_total=20)
+    L.train(two_languages(spark, 60), F.lit(True), fit_windows=1, fit_total=1)
+    assert [list(s) for s in seen] == [[10, 10], [1, 1]]
