@@ -9,6 +9,11 @@ bounded sample: ``fit_docs`` documents of each language (chosen by a hash of the
 learned; if there are so many that the sample would exceed ``fit_total`` documents, they share
 those evenly, with one document each at least.
 
+Documents are accepted if two values reach their floors: the score, and the share of three-byte
+groups of letters that the learned windows have too. The floors are calibrated on the held-out rows,
+at most ``check_docs`` of each language, so that a share ``keep`` of those with the right language
+passes both. With too few of them to tell (under 1,999 at 0.999) there are no floors.
+
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from. Rows that repeat give repeated results. Other columns are not looked at.
 """
@@ -31,7 +36,11 @@ FIT_DOCS, FIT_WINDOWS, FIT_TOTAL = 200, 8, 12_800
 CELLS = 1 << 18  # windows or texts, times languages, handled at once
 EPOCHS, STEP, GROUP = 8, 0.02, 256
 UNKNOWN = "und"
-LEAST_SCORE = 0.25  # what one of four languages gets without any evidence
+KEEP = 0.999  # of the held-out rows with the right language
+CHECK_DOCS, CHECK_TOTAL = 1000, 20_000
+SLACK = 1e-6  # rounding between batches
+_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+_LETTERS = np.array([k >= 128 or chr(k).isalpha() or k == 32 for k in range(256)])
 
 
 class Network:
@@ -167,6 +176,21 @@ class Network:
         return pooled / np.maximum(sizes, 1)[:, None]
 
 
+def byte_groups(text: bytes) -> np.ndarray:
+    """Codes of all three-byte groups of letters and blanks, A-Z lower-cased."""
+    b = np.frombuffer(text.lower().translate(_BLANKS), np.uint8)
+    fit = _LETTERS[b]
+    at = np.flatnonzero(fit[:-2] & fit[1:-1] & fit[2:])
+    b = b.astype(np.int32)
+    return b[at] << 16 | b[at + 1] << 8 | b[at + 2]
+
+
+def known_share(text: bytes, known: np.ndarray) -> float:
+    """Share of a text's groups that are ``known`` (a flag for each code); 1 if it has none."""
+    groups = byte_groups(text)
+    return float(known[groups].mean()) if len(groups) else 1.0
+
+
 def _windows(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -184,6 +208,15 @@ def _has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
 
 
+def _sample(usable: DataFrame, docs: int) -> DataFrame:
+    """The rows of at most ``docs`` ids a language."""
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = (usable.select("doc_id", "lang")
+              .withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= docs)
+              .select(F.col("doc_id").alias("__id")).distinct())
+    return usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
+
+
 def train(documents: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS,
           fit_total: int = FIT_TOTAL, epochs: int = EPOCHS) -> tuple[list[str], Network] | None:
     """Languages and network from the documents with ``learn``, or None if there are none."""
@@ -192,57 +225,78 @@ def train(documents: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_win
     if not languages:
         return None
     fit_docs = max(1, min(fit_docs, fit_total // len(languages)))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select("doc_id", "lang")
-              .withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= fit_docs)
-              .select(F.col("doc_id").alias("__id")).distinct())
-    sample = usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")  # at most fit_docs ids a language
-    rows = sample.select("lang", "text").mapInArrow(_windows(fit_windows), "lang string, window binary").collect()
+    rows = _sample(usable, fit_docs).select("lang", "text").mapInArrow(_windows(fit_windows), "lang string, window binary").collect()
     place = {lang: k for k, lang in enumerate(languages)}
     rows = sorted((place[r["lang"]], bytes(r["window"])) for r in rows)
     x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
     network = Network(len(languages))
     network.fit(x, np.array([c for c, _ in rows]), epochs)
+    network.groups = np.unique(np.concatenate([byte_groups(w) for _, w in rows]))
     return languages, network
 
 
 def _predict(send, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, given = send.value
+        languages, given, groups = send.value
         network = Network(given=given)
+        if groups is not None:
+            known = np.zeros(1 << 24, bool)
+            known[groups] = True
         most = max(1, 16 * CELLS // len(languages))
         for batch in (b.slice(at, most) for b in pieces(batches) for at in range(0, b.num_rows, most)):
-            pooled = network.documents(raw_texts(batch))
+            texts = raw_texts(batch)
+            pooled = network.documents(texts)
             best = pooled.argmax(1)
             letters = values(batch, "__letters").to_pylist()
             yield pa.RecordBatch.from_arrays([
                 *(values(batch, c) for c in keep),
                 pa.array([languages[k] if ok else UNKNOWN for k, ok in zip(best, letters)], pa.string()),
                 pa.array([min(1.0, float(p[k])) if ok else 0.0 for p, k, ok in zip(pooled, best, letters)], pa.float64()),
-            ], names=[*keep, "__lang", "__score"])
+                *([] if groups is None else [pa.array([known_share(t, known) for t in texts], pa.float64())]),
+            ], names=[*keep, "__lang", "__score", *([] if groups is None else ["__known"])])
     return run
 
 
-def labelled(documents: DataFrame, hold: Column, keep: list[str], **fit) -> DataFrame:
-    """The ``keep`` columns with two more, __lang and __score; learns from the rows without ``hold``."""
-    model = train(documents, ~hold, **fit)
-    given = documents.withColumn("__letters", _has_letter(F.col("text")))
-    if model is None:
-        return given.select(*keep, F.lit(UNKNOWN).alias("__lang"), F.lit(0.0).alias("__score"))
+def _labelled(documents: DataFrame, keep: list[str], model: tuple[list[str], Network], groups: bool = False) -> DataFrame:
+    """The ``keep`` columns with __lang and __score, and with ``groups`` __known."""
     languages, network = model
-    send = documents.sparkSession.sparkContext.broadcast((languages, network.p))
+    send = documents.sparkSession.sparkContext.broadcast((languages, network.p, network.groups if groups else None))
     schema = T.StructType([documents.schema[c] for c in keep]).add("__lang", "string").add("__score", "double")
+    if groups:
+        schema = schema.add("__known", "double")
+    given = documents.withColumn("__letters", _has_letter(F.col("text")))
     return given.select(*dict.fromkeys([*keep, "text", "__letters"])).mapInArrow(_predict(send, keep), schema)
 
 
 def identify(documents: DataFrame, hold: Column, **fit) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row; learns from the rows without ``hold``."""
     given = documents.select("doc_id", "text", "lang").withColumn("held_out", hold)
-    return labelled(given, F.col("held_out"), ["doc_id", "held_out"], **fit).select(
+    model = train(given, ~F.col("held_out"), **fit)
+    if model is None:
+        return given.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return _labelled(given, ["doc_id", "held_out"], model).select(
         "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def accepted(documents: DataFrame, hold: Column, least: float = LEAST_SCORE, **fit) -> DataFrame:
-    """The documents whose language is known with a score of at least ``least``, with all their columns."""
-    found = labelled(documents, hold, documents.columns, **fit)
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(documents.columns)
+def floors(documents: DataFrame, hold: Column, model: tuple[list[str], Network], keep: float = KEEP,
+           check_docs: int = CHECK_DOCS) -> tuple[float, float]:
+    """The score and the known share which a share ``keep`` of the right rows with ``hold`` reaches."""
+    usable = documents.select("doc_id", "text", "lang").where(hold & F.col("lang").isNotNull() & _has_letter(F.col("text")))
+    sample = _sample(usable, max(1, min(check_docs, CHECK_TOTAL // len(model[0]))))
+    right = _labelled(sample, ["doc_id", "lang"], model, groups=True).where("__lang = lang").groupBy("doc_id").agg(
+        F.min("__score").alias("score"), F.min("__known").alias("known")).collect()
+    below = int((1 - keep) / 2 * (len(right) + 1) + SLACK)  # half of the loss for each value
+    if not below:
+        return 0.0, 0.0
+    return tuple(sorted(r[c] for r in right)[below - 1] - SLACK for c in ("score", "known"))
+
+
+def accepted(documents: DataFrame, hold: Column, keep: float = KEEP, check_docs: int = CHECK_DOCS, **fit) -> DataFrame:
+    """The documents whose language is known and that reach both floors, with all their columns."""
+    model = train(documents, ~hold, **fit)
+    if model is None:
+        return documents.where(F.lit(False))
+    score, known = floors(documents, hold, model, keep, check_docs)
+    found = _labelled(documents, documents.columns, model, groups=True)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= score) & (F.col("__known") >= known)
+                       ).select(documents.columns)

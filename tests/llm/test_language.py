@@ -84,3 +84,25 @@ def test_languages_share_a_bounded_sample(spark, monkeypatch):
     L.train(two_languages(spark, 60), F.lit(True), fit_windows=1, fit_total=20)
     L.train(two_languages(spark, 60), F.lit(True), fit_windows=1, fit_total=1)
     assert [list(s) for s in seen] == [[10, 10], [1, 1]]
+
+
+def test_noise_and_unlearned_languages_are_not_accepted(spark):
+    docs = two_languages(spark, 400)
+    noise = [prose(900 + k, 30, [c + d for c in "bcfgjkq" for d in "vwxzpm"]) for k in range(10)]
+    other = [prose(950 + k, 30, ["при", "вет", "ска", "зал", "мир"]) for k in range(10)]
+    bad = documents(spark, noise + other, ["xx"] * 20).withColumn("doc_id", F.col("doc_id") + 1000)
+    hold = held_out("doc_id", 3, 1) | (F.col("doc_id") > 1000)
+    kept = {r.doc_id for r in L.accepted(docs.union(bad), hold, keep=0.97, epochs=6).collect()}
+    assert len(kept) >= 0.94 * 400 and max(kept) <= 400
+
+
+def test_there_are_no_floors_without_enough_right_rows(spark):
+    docs = two_languages(spark, 60)
+    model = L.train(docs, ~held_out("doc_id", 3, 1), epochs=1)
+    assert L.floors(docs, held_out("doc_id", 3, 1), model) == (0.0, 0.0)
+
+
+def test_known_share_counts_letter_groups():
+    known = np.zeros(1 << 24, bool)
+    known[L.byte_groups(b"abc d")] = True
+    assert [L.known_share(t, known) for t in (b"", b"ab", b"12345", b"ABC\nD", b"abcx", b"xyz")] == [1, 1, 1, 1, 0.5, 0]
