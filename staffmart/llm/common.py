@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(key: str, text: str) -> Column:
+    """128-bit fingerprint of a row's key and text, which may be missing."""
+    mark = F.when(F.col(text).isNull(), "-").otherwise(":")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), mark, F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
 def held_out(key: str, modulus: int, remainder: int) -> Column:
     """Whether a row is kept from learning; rows without a key always are."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(True))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.llm.common import mix, odd_numbers, pieces, raw_texts, values
+from staffmart.llm.common import mix, odd_numbers, pieces, raw_texts, row_key, values
 
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))  # the looked-at places
@@ -34,7 +34,7 @@ SPAN = 8
 BLOCK_WORDS = 2_000_000
 PART_WORDS = 4096  # longer items are cut into overlapping parts
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-_RESULT = "doc_id long, item_id long, overlap_words long, item_words long, start_word long, end_word long"
+_RESULT = "item_id long, overlap_words long, item_words long, start_word long, end_word long"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -128,12 +128,12 @@ def _candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _matches(send, window: int, substitutions: int):
+def _matches(send, window: int, substitutions: int, key: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(send.value)
         known = index.vocabulary.get
         for batch in pieces(batches):
-            doc_ids = values(batch, "doc_id").to_pylist()
+            keys = values(batch, key).to_pylist()
             split = [words(t) for t in raw_texts(batch)]
             size = np.array([len(s) + SPAN for s in split], np.int64)  # a gap of unknown words after each
             end = np.cumsum(size)
@@ -162,17 +162,28 @@ def _matches(send, window: int, substitutions: int):
                     run_ = max(runs, key=lambda g: g[-1] - g[0])
                     length = int(run_[-1] - run_[0]) + window
                     begun = a + int(run_[0]) - int(begin[d])
-                    key = (d, part)
-                    if length > best.get(key, (0, 0, 0))[0]:
-                        best[key] = (length, begun, begun + length)
-            out = {"doc_id": [], "item_id": [], "overlap_words": [], "item_words": [], "start_word": [], "end_word": []}
+                    if length > best.get((d, part), (0, 0, 0))[0]:
+                        best[d, part] = (length, begun, begun + length)
+            out = {key: [], "item_id": [], "overlap_words": [], "item_words": [], "start_word": [], "end_word": []}
             for (d, part), (length, begun, done) in best.items():
-                for name, value in zip(out, (doc_ids[d], index.item[part], length, index.item_words[part], begun, done)):
+                for name, value in zip(out, (keys[d], index.item[part], length, index.item_words[part], begun, done)):
                     out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([(n, pa.int64()) for n in out]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([(n, kind if n == key else pa.int64()) for n in out]))
     return run
 
 
+def _found(texts: DataFrame, benchmark: DataFrame, kind: pa.DataType, window: int, substitutions: int, block_words: int) -> DataFrame:
+    """All matches of ``texts``, a key of this kind and text, over all blocks."""
+    spark, key = texts.sparkSession, texts.columns[0]
+    schema = f"{key} {texts.dtypes[0][1]}, {_RESULT}"
+    found = None
+    for rows in benchmark_blocks(benchmark, window, block_words):
+        send = spark.sparkContext.broadcast(rows)
+        block = texts.mapInArrow(_matches(send, window, substitutions, key, kind), schema)
+        found = block if found is None else found.unionAll(block)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS,
              block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and benchmark item that share a stretch of ``window`` words or more.
@@ -180,21 +191,15 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ``overlap_words`` is the length of the longest stretch, which lies at words
     ``start_word`` to ``end_word`` (exclusive) of the document.
     """
-    spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for rows in benchmark_blocks(benchmark, window, block_words):
-        send = spark.sparkContext.broadcast(rows)
-        block = texts.mapInArrow(_matches(send, window, substitutions), _RESULT)
-        found = block if found is None else found.unionAll(block)
-    if found is None:
-        return spark.createDataFrame([], _RESULT)
+    found = _found(texts, benchmark, pa.int64(), window, substitutions, block_words)
     best = F.max(F.struct("overlap_words", "item_words", "start_word", "end_word")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns; a null id is kept
-    only if no document without id overlaps."""
-    found = overlaps(documents, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["__found"]), "left_anti")
+    """The documents that overlap no benchmark item, with all their columns; each row is judged by
+    its own text, also where rows share an id or have none."""
+    keyed = documents.withColumn("__key", row_key("doc_id", "text"))
+    found = _found(keyed.select("__key", "text"), benchmark, pa.binary(), WINDOW, SUBSTITUTIONS, BLOCK_WORDS)
+    return keyed.join(found.select("__key").distinct(), "__key", "left_anti").drop("__key")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.llm.common import mix, odd_numbers, pieces, raw_texts, values
+from staffmart.llm.common import mix, odd_numbers, pieces, raw_texts, row_key, values
 from staffmart.llm.components import components
 from staffmart.sources.tables import materialise
 
@@ -80,7 +80,7 @@ def thresholds(sizes: np.ndarray, level: float) -> np.ndarray:
     return np.minimum(share * _FULL, _FULL - 4096).astype(np.uint64)
 
 
-def _describe(level: float, runs: int):
+def _describe(level: float, runs: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, salts = odd_numbers(runs, 11), odd_numbers(runs, 12)
         rows = odd_numbers(SKETCH, 13)
@@ -107,12 +107,12 @@ def _describe(level: float, runs: int):
             order = np.argsort(who, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sets)))])
             yield pa.RecordBatch.from_arrays([
-                values(batch, "doc_id"),
+                *(values(batch, c) for c in keep),
                 pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array(sizes.astype(np.int32)),
                 pa.array([row.tobytes() for row in sketch], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(paths[order].view(np.int64))),
-            ], names=["doc_id", "fp", "size", "sketch", "paths"])
+            ], names=[*keep, "fp", "size", "sketch", "paths"])
     return run
 
 
@@ -363,18 +363,15 @@ def similar(sets: list[np.ndarray], level: float) -> np.ndarray:
     return linked
 
 
-def classes(documents: DataFrame, level: float = LEVEL, recall: float = RECALL, leaf: int = LEAF,
-            depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies.
+def _classified(documents: DataFrame, keep: str, level: float = LEVEL, recall: float = RECALL, leaf: int = LEAF,
+                depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The columns ``keep`` and fp of each row; fp, root, class_id, n_links, n_copies of each set.
 
-    Documents joined by links, directly or over others, have one class; its id is the smallest
-    document id in it. ``n_links`` counts the other texts (distinct shingle sets) with a similarity of at
-    least ``level``; ``n_copies`` the rows with the same set, the row itself included.
+    Sets of one class have the same root. ``keep`` is a schema that has doc_id as long.
     """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     runs = runs_for(recall)
-    rows = materialise(documents.mapInArrow(_describe(level, runs), f"doc_id long, {_SET}, paths array<long>"),
-                       "shingle-rows")
+    names = [c for c in documents.columns if c != "text"]
+    rows = materialise(documents.mapInArrow(_describe(level, runs, names), f"{keep}, {_SET}, paths array<long>"), "shingle-rows")
     sets = materialise(rows.where("fp is not null").groupBy("fp").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"),
         F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle-sets")
@@ -389,11 +386,22 @@ def classes(documents: DataFrame, level: float = LEVEL, recall: float = RECALL,
     tied = components(linked.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     tied = tied.join(groups.select(F.col("fp").alias("node"), "rep"), "node")
     firsts = tied.groupBy("root").agg(F.min("rep").alias("class_id"))
-    tied = tied.join(firsts, "root").select(F.col("node").alias("fp"), "class_id")
+    tied = tied.join(firsts, "root").select(F.col("node").alias("fp"), "root", "class_id")
     links = linked.groupBy("fp").agg(F.sum("links").alias("n_links"))
     known = materialise(sets.select("fp", "rep", "n_copies").join(tied, "fp", "left").join(links, "fp", "left").select(
-        "fp", "n_copies", F.coalesce("class_id", "rep").alias("class_id"),
+        "fp", "n_copies", F.coalesce("root", "fp").alias("root"), F.coalesce("class_id", "rep").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return rows.drop("size", "sketch", "paths"), known
+
+
+def classes(documents: DataFrame, **how) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_copies.
+
+    Documents joined by links, directly or over others, have one class; its id is the smallest
+    document id in it. ``n_links`` counts the other texts (distinct shingle sets) with a similarity of at
+    least ``level``; ``n_copies`` the rows with the same set, the row itself included.
+    """
+    rows, known = _classified(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long", **how)
     return rows.select("doc_id", "fp").join(known, "fp", "left").select(
         "doc_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
@@ -401,11 +409,18 @@ def classes(documents: DataFrame, level: float = LEVEL, recall: float = RECALL,
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: the one with the smallest id.
+    """One document of each class, with all its columns: the one with the smallest id, or one
+    without id if none has any.
 
-    A row that repeats under the same id stays once; rows without an id stay.
+    Rows are told apart by id and text, so texts that share an id, or have none, are judged each on
+    its own; a row that repeats with both stays once.
     """
-    others = classes(documents).where("class_id != doc_id").select("doc_id").distinct()
-    kept = documents.join(others, "doc_id", "left_anti")
-    again = F.xxhash64(F.col("text"))
-    return kept.withColumn("__text", again).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    keyed = documents.withColumn("__key", row_key("doc_id", "text"))
+    rows, known = _classified(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__key").alias("key"), "text"),
+                              "doc_id long, key binary")
+    rows = rows.where("fp is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")).alias("first")
+    of_set = rows.groupBy("fp").agg(first).join(known.select("fp", "root"), "fp")
+    chosen = of_set.groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    others = materialise(rows.select("key").distinct().join(chosen, "key", "left_anti").withColumnRenamed("key", "__key"), "others")
+    return keyed.join(F.broadcast(others) if others.count() <= SENT_IDS else others, "__key", "left_anti").dropDuplicates(["__key"]).drop("__key")

@@ -74,3 +74,11 @@ def test_awkward_rows(spark):
     assert D.overlaps(nothing(spark), items).count() == 0
     assert D.overlaps(docs, items.where("item_id = 3")).count() == 0
     assert D.clean(docs, items.where(F.lit(False))).count() == docs.count()
+
+
+def test_only_the_row_that_overlaps_goes(spark):
+    passage = prose(77, 20)
+    rows = [(None, prose(1, 30) + " " + passage), (None, prose(2, 30)), (None, None), (3, passage), (3, prose(4, 30)), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = D.clean(docs, spark.createDataFrame([(1, passage)], BENCH)).collect()
+    assert {tuple(r) for r in kept} == {rows[k] for k in (1, 2, 4, 5)} and len(kept) == 4

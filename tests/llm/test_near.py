@@ -103,3 +103,11 @@ def test_components_of_paths_and_stars(spark):
     assert all(roots[k] == 100 for k in range(100, 161)) and all(roots[k] == 1 for k in range(1, 40))
     assert {roots[k] for k in (45, 47, 50)} == {45}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_representatives_are_chosen_row_by_row(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (5, changed(a, 1, 1)), (5, b), (None, changed(a, 1, 2)), (None, c), (None, changed(c, 1, 3)), (None, None), (6, None)]
+    kept = N.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(1, a), (5, b), (None, None), (6, None)} <= {tuple(r) for r in kept} and len(kept) == 5
+    assert sum(r.doc_id is None and r.text is not None for r in kept) == 1
