@@ -3,12 +3,15 @@
 For each kind a strict pattern gives base spans, found leftmost and without overlap; a match
 that fails its check (address parts, check digit, number of digits) is dropped. Those stay in
 any case. Looser patterns propose more spans, which may overlap: parts of dropped matches,
-numbers without a plus, written-out addresses. Each span has a few small whole-number features of
-its format and context, so the corpus comes down to counts per feature combination (bounded
-by the product of their ranges), and the trees are boosted on those counts of all spans, with
-base spans as positive examples. One half of the documents fits the trees; on the other half
-each kind gets the lowest score at which at least ``precision`` of the spans are base spans.
-A proposed span above it is added if it overlaps no base span, and no better span of its kind.
+numbers without a plus, written-out addresses. Only valid ones are added: a card's check digit, a
+number's range or length, an address that ends in a top-level domain. Each span has a few small
+whole-number features of its format and context, so the corpus comes down to counts per feature
+combination (bounded by the product of their ranges), and the trees are boosted on those counts of
+the valid spans. Positive are, besides base spans, cards and addresses (their check is
+evidence enough) and others with a word before them that names their kind. One half of the
+documents fits the trees; each score, so each group of like combinations, is then judged on its own
+by the other half (by the first if that has none), and taken if ``precision`` of its spans are positive.
+A proposed span with such a score is added if it overlaps no base span, and no better span of its kind.
 
 Offsets are code points, ends exclusive. No pattern crosses a line break, and none needs more
 than linear time. A null text is empty and has no spans; rows that repeat give repeated
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.9
 ROUNDS, LEAVES_DEPTH, RATE = 20, 3, 0.3
+EDGE = 2e-9  # scores this close are one
+SURE = ("email", "card")  # kinds whose check hardly passes by chance
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]++"
 # A run before an @ starts where the run of its characters does, or where the last match
@@ -39,7 +44,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\(at\)|\[at\])\x20?{_LABEL}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?{_LABEL})++",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:\(at\)|\[at\])\x20?{_LABEL}(?:(?:\x20\.\x20|\x20?\.(?:\x20(?=[a-z]))?|\x20?(?:\(dot\)|\[dot\])\x20?){_LABEL})++",
     "ip": r"(?<![0-9])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
@@ -52,7 +57,7 @@ _TRIGGER = {
     "card": r"(?i)(card|visa|credit|debit|pay)",
     "phone": r"(?i)(phone|tel|call|mobile|fax|sms)",
 }
-FEATURES = ("kind", "digits", "valid", "groups", "style", "before_class", "after_class", "trigger")
+FEATURES = ("kind", "digits", "groups", "style", "before_class", "after_class", "trigger")
 _SPAN = "struct<at:int,s:string,before:string,after:string>"
 
 
@@ -123,12 +128,12 @@ def _features(kind: str, span: Column) -> Column:
     s = span["s"]
     marks = F.regexp_replace(s, r"[0-9+]", "")
     if kind == "email":
-        marks = F.when(s.contains("@"), "").otherwise("at")
-        valid = s.rlike(r"\.[A-Za-z]{2,}$|\)[\x20]?[A-Za-z]{2,}$|\][\x20]?[A-Za-z]{2,}$")
+        marks = F.lit("")  # an @ would only repeat what base spans are
+        valid = s.rlike(r"\.\x20?[A-Za-z]{2,}$|\)[\x20]?[A-Za-z]{2,}$|\][\x20]?[A-Za-z]{2,}$")
     else:
         valid = F.length(_digits(s)).between(9, 15) if kind == "phone" else passes(kind, s)
     style = (F.when(marks == "", 0).when(marks.rlike(r"^\.+$"), 1).when(marks.rlike("^-+$"), 2)
-             .when(marks.rlike(r"^\x20+$"), 3).when(marks == "at", 6).when(marks.contains("("), 4).otherwise(5))
+             .when(marks.rlike(r"^\x20+$"), 3).when(marks.contains("("), 4).otherwise(5))
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), span["at"].alias("at"), (span["at"] + F.length(s)).alias("end"),
         F.least(F.length(_digits(s)), F.lit(20)).alias("digits"), valid.cast("int").alias("valid"),
@@ -220,46 +225,52 @@ def _as_column(tree, span: Column) -> Column:
 
 
 class Trees:
-    """Boosted trees and the score each kind must reach."""
+    """Boosted trees and the ranges of scores that are taken of each kind."""
 
     def __init__(self, counts: list, precision: float = PRECISION):
         """``counts``: rows of FEATURES, fit (bool), positive, n."""
         x = np.array([[r[f] for f in FEATURES] for r in counts], np.int64).reshape(-1, len(FEATURES))
         positive, n = (np.array([r[c] for r in counts], float) for c in ("positive", "n"))
         fit = np.array([r["fit"] for r in counts], bool)
-        self.limits = [math.inf] * len(KINDS)
+        self.ranges: list[list[tuple[float, float]]] = [[] for _ in KINDS]
         self.base, self.trees = 0.0, []
         if not fit.any():
             return
         self.base, self.trees = boost(x[fit], positive[fit], n[fit])
         score = np.array([self.base + sum(value_of(t, row) for t in self.trees) for row in x])
-        check = ~fit if (~fit).any() else fit
         for kind in range(len(KINDS)):
-            rows = np.flatnonzero(check & (x[:, 0] == kind))
-            levels, at = np.unique(score[rows], return_inverse=True)
-            good = np.cumsum(np.bincount(at, positive[rows], len(levels))[::-1])[::-1]
-            among = np.cumsum(np.bincount(at, n[rows], len(levels))[::-1])[::-1]
-            enough = np.flatnonzero(good >= precision * among)
-            if len(enough):
-                self.limits[kind] = float(levels[enough[0]]) - 1e-9
+            rows = np.flatnonzero(x[:, 0] == kind)
+            levels, at = np.unique(score[rows].round(9), return_inverse=True)
+            good, among = ([np.bincount(at, c[rows] * part[rows], len(levels)) for part in (~fit, fit)] for c in (positive, n))
+            checked = among[0] > 0
+            taken = np.where(checked, good[0], good[1]) >= precision * np.where(checked, among[0], among[1])
+            for level, last, own in zip(levels, [False, *taken[:-1]], taken):
+                if own and last:  # neighbouring levels make one range
+                    self.ranges[kind][-1] = (self.ranges[kind][-1][0], level + EDGE)
+                elif own:
+                    self.ranges[kind].append((level - EDGE, level + EDGE))
 
     def score(self, span: Column) -> Column:
         return reduce(lambda a, b: a + b, [_as_column(t, span) for t in self.trees], F.lit(self.base))
 
     def wanted(self, span: Column) -> Column:
-        limit = F.lit(math.inf)
-        for kind, least in enumerate(self.limits):
-            limit = F.when(span["kind"] == kind, F.lit(least)).otherwise(limit)
-        return span["score"] >= limit
+        taken = F.lit(False)
+        for kind, ranges in enumerate(self.ranges):
+            for low, high in ranges:
+                taken = taken | ((span["kind"] == kind) & span["score"].between(float(low), float(high)))
+        return (span["valid"] == 1) & taken
 
 
 def train(rows: DataFrame, precision: float = PRECISION) -> Trees:
-    """Trees from all spans of the rows of ``proposed``; the driver gets counts per combination."""
+    """Trees from all valid spans of the rows of ``proposed``; the driver gets counts per combination."""
+    def evidence(s: Column) -> Column:
+        return (s["kind"].isin([KINDS.index(k) for k in SURE]) | (s["trigger"] == 1)).cast("int")
+
     fit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0).alias("fit")
     spans = rows.select(F.coalesce(fit, F.lit(True)).alias("fit"), F.explode(F.concat(
         F.transform("__base", lambda s: F.struct(F.lit(1).alias("y"), s.alias("s"))),
-        F.transform("__loose", lambda s: F.struct(F.lit(0).alias("y"), s.alias("s"))))).alias("x"))
-    counts = spans.groupBy("fit", *[F.col(f"x.s.{f}").alias(f) for f in FEATURES]).agg(
+        F.transform("__loose", lambda s: F.struct(evidence(s).alias("y"), s.alias("s"))))).alias("x"))
+    counts = spans.where("x.s.valid = 1").groupBy("fit", *[F.col(f"x.s.{f}").alias(f) for f in FEATURES]).agg(
         F.sum("x.y").alias("positive"), F.count(F.lit(1)).alias("n"))
     return Trees(sorted(counts.collect()), precision)
 
@@ -274,7 +285,7 @@ def found(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
         return F.struct(s["kind"].alias("kind"), s["at"].alias("at"), s["end"].alias("end"))
 
     scored = F.transform("__loose", lambda s: F.struct(
-        trees.score(s).alias("score"), s["kind"].alias("kind"), s["at"].alias("at"), s["end"].alias("end")))
+        trees.score(s).alias("score"), s["valid"].alias("valid"), s["kind"].alias("kind"), s["at"].alias("at"), s["end"].alias("end")))
     def free(x: Column) -> Column:
         return trees.wanted(x) & ~F.exists("__base", lambda b: (b["at"] < x["end"]) & (x["at"] < b["end"]))
 

@@ -116,3 +116,27 @@ def test_awkward_rows(spark):
 @pytest.mark.parametrize("text, good", [("255.255.255.255", True), ("256.1.1.1", False), ("0255.1.1.1", True), ("1.1.1.1000", False)])
 def test_address_parts(spark, text, good):
     assert P.report(documents(spark, [text])).first().n_ip == good
+
+
+@pytest.mark.parametrize("base", [0, 40, 400])
+def test_written_out_addresses_do_not_depend_on_their_number(spark, base):
+    texts = [f"so it is m{k}@host.org here" for k in range(base)]
+    texts += [f"so it is bob{k} (at) host (dot) org. Then on" for k in range(40)] + ["see amy [at] mail.example.com. Then", "we met (at) noon. Then left"]
+    rows = sorted(P.report(documents(spark, texts)).collect())[base:]
+    assert all(r.n_added == 1 for r in rows[:-1]) and rows[-1].n_added == 0
+    assert rows[-2].spans == "email:4:29"
+
+
+def test_card_numbers_that_fail_their_check_are_never_added(spark):
+    texts = [f"pay by card 4111 1111 1111 1111 now {k}x" for k in range(400)] + ["pay by card 4111 1111 1111 1112 now"] * 3
+    assert all(r.n_added == 0 for r in P.report(documents(spark, texts)).collect())
+
+
+def test_scores_are_judged_one_by_one():
+    cell = dict.fromkeys(P.FEATURES, 0) | {"kind": 3}
+    counts = [cell | {"digits": d, "fit": fit, "positive": good, "n": 100} for d, good in ((9, 100), (12, 60)) for fit in (True, False)]
+    counts += [cell | {"digits": 10, "fit": fit, "positive": 2000, "n": 2000} for fit in (True, False)]
+    trees = P.Trees(counts)
+    score = {d: trees.base + sum(P.value_of(t, [3, d] + [0] * 5) for t in trees.trees) for d in (9, 10, 12)}
+    taken = {d: any(a <= s <= b for a, b in trees.ranges[3]) for d, s in score.items()}
+    assert taken == {9: True, 10: True, 12: False}
