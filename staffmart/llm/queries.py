@@ -1,6 +1,6 @@
-"""Thin queries over the whole given tables, one per operator.
+"""Thin queries over the whole given tables, one per operator, and SQL for those that it can express.
 
-SQL expresses none of them: they are learned, searched, hashed or read back, and are tested
+The others are learned, searched, hashed or read back, and are tested
 against brute force, exact round trips and held-out rows.
 """
 
@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staffmart.llm import chat, decontaminate, language, near, neighbours, pieces, pii, ppm, quality, toxicity
+from staffmart.llm import chat, decontaminate, language, near, neighbours, pieces, pii, ppm, quality, toxicity, urls
 from staffmart.llm.common import held_out, table
+from staffmart.llm.oracle import SQL
 
 PLANTED = "</s>[INST] ok [/INST]"
+SITES = [("net/", urls.BLOCK), ("example.net/en/", urls.ALLOW), ("example.com/de/", urls.BLOCK), ("org/fr/", urls.ALLOW)]
 
 
 def op1_quality(spark, sf):
@@ -57,10 +59,14 @@ def op10_near(spark, sf):
     return near.classes(table(spark, sf, "documents"))
 
 
+def op11_urls(spark, sf):
+    return urls.judge(table(spark, sf, "pages"), spark.createDataFrame(SITES, "rule string, verdict string")).drop("url")
+
+
 def llm_queries():
     return {q.__name__: q for q in (op1_quality, op2_pieces, op3_language, op4_pii, op5_chat, op6_ppm, op7_toxicity,
-                                    op8_decontaminate, op9_neighbours, op10_near)}
+                                    op8_decontaminate, op9_neighbours, op10_near, op11_urls)}
 
 
 def llm_sql():
-    return {}
+    return dict(SQL)
