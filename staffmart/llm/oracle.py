@@ -47,4 +47,69 @@ select page_id, host, path, best.rule as rule,
 from patterned
 """
 
-SQL = {"op11_urls": _URLS}
+# CRC-32 bit by bit. The program over rows and states carries cost, audit and repaired text together: the least of them
+# in this order is what the operator keeps.
+_WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_REPAIR = f"""
+with recursive
+keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+drawn as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) % 20 as d
+  from keyed),
+damaged as (
+  select conv_id, turn, case when d = 4 then 'user' else role end as role,
+         case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when d = 3 then [1, 2] else [1] end) as copy from drawn where d <> 0)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i,
+                  rtrim(text, {_WHITE}) as bare from damaged),
+judged as (
+  select *, case when bare = '' then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                 when right(bare, 1) not in ('.', '!', '?') then 'truncated' else 'ok' end as fault,
+         left(role, 1) as initial, lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from placed),
+steps(state, initial, onto) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+-- no, one or two rows inserted; more only go round
+inserts(state, onto, cost, letters, roles) as (values
+  (0, 0, 0, '', []::varchar[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+  (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+moves as (
+  select conv_id, i, state, onto, 3 * (fault = 'truncated')::int as cost, 'K' as letter, [role || ':' || text] as line
+  from judged join steps using (initial) where fault not in ('blank', 'duplicate')
+  union all
+  select conv_id, i, s.state, s.onto, 3 + 3 * (fault = 'truncated')::int, 'R',
+         [case s.initial when 'u' then 'user:' else 'assistant:' end || text]
+  from judged join steps s on s.initial <> 's' where fault not in ('blank', 'duplicate')
+  union all
+  select conv_id, i, s.state, s.state, 4, 'D', [] from judged, (values (0), (1), (2), (3)) s(state)),
+paths as (
+  select conv_id, 0::bigint as i, n.onto as state, {{'cost': n.cost::bigint, 'audit': n.letters, 'lines': n.roles}} as best
+  from (select distinct conv_id from judged) c join inserts n on n.state = 0
+  union all
+  select p.conv_id, p.i + 1, n.onto, min({{'cost': (p.best.cost + m.cost + n.cost)::bigint,
+      'audit': p.best.audit || m.letter || n.letters, 'lines': list_concat(p.best.lines, m.line, n.roles)}})
+  from paths p join moves m on m.conv_id is not distinct from p.conv_id and m.i = p.i + 1 and m.state = p.state
+  join inserts n on n.state = m.onto
+  group by p.conv_id, p.i, n.onto),
+ended as (
+  select p.conv_id, min(best) as best from paths p
+  join (select conv_id, max(i) as i from judged group by conv_id) e on e.conv_id is not distinct from p.conv_id and e.i = p.i
+  where state in (0, 3) group by p.conv_id),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0) as cost,
+       coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
+SQL = {"op11_urls": _URLS, "op13_repair": _REPAIR}

@@ -108,7 +108,7 @@ def test_awkward_rows(spark, most_sent):
 
 
 def test_a_rule_is_entered_under_its_rarest_token(spark):
-    pages = frame(spark, [(k, f"http://common.com/rare{k}/common") for k in range(20)] + [(99, "http://common.com/seldom/")], "page_id long, url string")
+    pages = frame(spark, [(k, f"http://common.com/rare{k}/common") for k in range(20)] + [(98, "http://other.com"), (99, "http://common.com/seldom/")], "page_id long, url string")
     index, rules = M.rule_index(pages, frame(spark, [("common.com/seldom/", "block"), ("common.com/", "block")]), frame(spark, [("oad", "block")]))
     assert rules == 3
     assert {r.text: r.token for r in index.collect()} == {"common.com/seldom/": "seldom", "common.com/": "common", "oad": ""}
