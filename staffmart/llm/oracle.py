@@ -112,4 +112,30 @@ left join counted c on c.conv_id is not distinct from o.conv_id
 left join ended e on e.conv_id is not distinct from o.conv_id
 """
 
-SQL = {"op11_urls": _URLS, "op13_repair": _REPAIR}
+_PHRASES = f"""
+with split as (
+  select coalesce(lang, 'und') as lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents),
+worded as (select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from split),
+started as (select lang, w, unnest(range(1, len(w) + 1)) as i from worded),
+runs as (select lang, w[i : i + m - 1] as p from started, (values (1), (2), (3), (4)) t(m) where i + m - 1 <= len(w)),
+known as (select lang, array_to_string(p, ' ') as phrase, any_value(p) as p, count(*) as f from runs group by 1, 2),
+totals as (select lang, count(*) as n from started group by 1),
+candidates as (select * from known where len(p) > 1 and f >= 30),
+cuts as (
+  select c.lang, c.phrase, c.f as a, k, x.f as l, y.f as r, (2000000::hugeint * c.f) // (x.f + y.f) as score
+  from (select *, unnest(range(1, len(p))) as k from candidates) c
+  join known x on x.lang = c.lang and x.phrase = array_to_string(c.p[1 : k], ' ')
+  join known y on y.lang = c.lang and y.phrase = array_to_string(c.p[k + 1 :], ' ')),
+scored as (select lang, phrase, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) as cut from cuts group by all),
+inside as (
+  select lang, array_to_string(p[i : i + m - 1], ' ') as phrase, max(f) as longer
+  from (select *, unnest(range(1, len(p) - m + 2)) as i from candidates, (values (2), (3)) t(m) where m < len(p)) group by 1, 2),
+ranked as (
+  select s.*, row_number() over (partition by s.lang order by s.cut.score desc, s.a desc, s.phrase) as rank
+  from scored s left join inside i on i.lang = s.lang and i.phrase = s.phrase where not coalesce(100 * i.longer >= 80 * s.a, false))
+select lang, rank, phrase, a, cut.l as l, cut.r as r, n, cut.score::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+SQL = {"op11_urls": _URLS, "op12_phrases": _PHRASES, "op13_repair": _REPAIR}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staffmart.llm import chat, decontaminate, language, near, neighbours, pieces, pii, ppm, quality, repair, toxicity, urls
+from staffmart.llm import chat, decontaminate, language, near, neighbours, phrases, pieces, pii, ppm, quality, repair, toxicity, urls
 from staffmart.llm.common import held_out, table
 from staffmart.llm.oracle import SQL
 
@@ -63,6 +63,10 @@ def op11_urls(spark, sf):
     return urls.judge(table(spark, sf, "pages"), spark.createDataFrame(SITES, "rule string, verdict string")).drop("url")
 
 
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op13_repair(spark, sf):
     turns = table(spark, sf, "conversations")
     return repair.report(repair.damage(turns), ids=turns)
@@ -70,7 +74,7 @@ def op13_repair(spark, sf):
 
 def llm_queries():
     return {q.__name__: q for q in (op1_quality, op2_pieces, op3_language, op4_pii, op5_chat, op6_ppm, op7_toxicity,
-                                    op8_decontaminate, op9_neighbours, op10_near, op11_urls, op13_repair)}
+                                    op8_decontaminate, op9_neighbours, op10_near, op11_urls, op12_phrases, op13_repair)}
 
 
 def llm_sql():
