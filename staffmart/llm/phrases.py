@@ -40,7 +40,7 @@ from staffmart.sources.tables import materialise
 
 LEAST, MOST, SHARE, ORDER = 30, 2000, 80, 4
 FACTOR = 2_000_000
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 3 << 20
 FILTER_BITS = 27
 PART_BITS = 8  # the fewest partitions of the hash space, as a power of two
 MOST_PART_BITS = 20
@@ -79,8 +79,9 @@ class Runs:
         raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
         kind = _CLASS[raw]
         inner = kind == 0
-        edge = np.diff(inner.astype(np.int8), prepend=0, append=0)
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        padded = np.concatenate([[False], inner, [False]])
+        edge = np.flatnonzero(padded[1:] != padded[:-1])
+        begin, end = edge[::2], edge[1::2]
         piece = np.cumsum(kind == 2, dtype=np.int32)[begin]
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         lang = np.array([index[x] for x in langs], np.int64)[np.searchsorted(np.cumsum(sizes), begin, "right")]
