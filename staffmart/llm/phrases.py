@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from staffmart.sources.tables import materialise
 
 LEAST, MOST, SHARE, ORDER = 30, 2000, 80, 4
 FACTOR = 2_000_000
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 5 << 19
 FILTER_BITS = 27
 PART_BITS = 8  # the fewest partitions of the hash space, as a power of two
 MOST_PART_BITS = 20
@@ -88,12 +89,13 @@ class Runs:
         offsets = np.zeros(len(begin) + 1, np.int32)
         np.cumsum(end - begin, out=offsets[1:])
         words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inner])]).dictionary_encode()
-        self.word = words.dictionary.to_pylist()
+        self.words = words.dictionary
+        word = self.words.to_pylist()
         own, different = pd.factorize(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(self.langs) + lang)
         self.size = max(1, len(different))
         self.word_of, self.lang_of = different // max(1, len(self.langs)), different % max(1, len(self.langs))
         seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs]
-        base = np.fromiter((xxhash.xxh3_64_intdigest(self.word[w], seeds[x]) for w, x in zip(self.word_of.tolist(), self.lang_of.tolist())),
+        base = np.fromiter((xxhash.xxh3_64_intdigest(word[w], seeds[x]) for w, x in zip(self.word_of.tolist(), self.lang_of.tolist())),
                            np.uint64, len(different))
         # Runs that start in the last three words of a slice are counted in the next one.
         active = len(begin) if whole else max(0, len(begin) - ORDER + 1)
@@ -113,13 +115,15 @@ class Runs:
             self.prints.append(mix(chain))
             self.counts.append(np.bincount(ids, minlength=len(pair)))
 
-    def phrase(self, m: int, k: int) -> tuple[str, bytes]:
-        out = []
-        while m >= 0:
-            w = self.last[m][k]
-            out.append(self.word[self.word_of[w]])
-            k, m = (self.before[m][k] if m else 0), m - 1
-        return self.langs[self.lang_of[w]], b" ".join(out[::-1])
+    def phrases(self, m: int, own: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Languages and texts of some runs of ``m + 1`` words."""
+        parts = []
+        for j in range(m, -1, -1):
+            parts.append(self.last[j][own])
+            own = self.before[j][own] if j else own
+        texts = [self.words.take(pa.array(self.word_of[w])) for w in parts[::-1]]
+        return (pa.array(self.langs, pa.string()).take(pa.array(self.lang_of[parts[-1]])),
+                pc.binary_join_element_wise(*texts, pa.scalar(b" ", pa.binary())).cast(pa.string()))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Runs]:
@@ -273,15 +277,13 @@ def _count(sent, group: int, group_bits: int, filter_bits: int, chunk_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.frombuffer(sent.value, np.uint8)
 
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
-                 pa.array([o[2] for o in out], pa.binary()).cast(pa.string()), pa.array([o[3] for o in out], pa.int64())],
-                names=["lang", "words", "phrase", "n"])
+        def rows(lang: pa.Array, words: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(n), words, np.int32)), phrase, pa.array(n.astype(np.int64))],
+                                              names=["lang", "words", "phrase", "n"])
 
         for runs in _chunks(batches, chunk_bytes):
             if group == 0:
-                yield rows([(lang, 0, None, n) for lang, n in zip(runs.langs, runs.total.tolist())])
+                yield rows(pa.array(runs.langs, pa.string()), 0, pa.nulls(len(runs.langs), pa.string()), runs.total)
             for m in range(ORDER):
                 prints, counts = runs.prints[m], runs.counts[m]
                 at = ((prints << np.uint64(group_bits)) >> np.uint64(64 - filter_bits)).astype(np.int64)
@@ -291,8 +293,8 @@ def _count(sent, group: int, group_bits: int, filter_bits: int, chunk_bytes: int
                 found = np.flatnonzero(marked)
                 for k in range(0, len(found), 50_000):
                     own = found[k:k + 50_000]
-                    yield rows([(lang, m + 1, phrase, n) for (lang, phrase), n in zip(
-                        (runs.phrase(m, j) for j in own.tolist()), counts[own].tolist())])
+                    lang, phrase = runs.phrases(m, own)
+                    yield rows(lang, m + 1, phrase, counts[own])
     return run
 
 
