@@ -184,6 +184,11 @@ def stored_keys(submissions: DataFrame, prefix: str, column: str, every: int) ->
     return submissions.where(F.col("submission_id") % every == 0).select(key.alias(column))
 
 
+def nameless(submissions: DataFrame, which: Column) -> DataFrame:
+    """Some submissions once more, without their id."""
+    return submissions.where(which).withColumn("submission_id", F.lit(None).cast("long"))
+
+
 def employee_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as an onboarding form; k mod 15 names the rule the row breaks (0: none)."""
     k = F.col("c_custkey")

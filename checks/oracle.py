@@ -762,7 +762,21 @@ BODIES = {
                  AS review_date, comments
         FROM (SELECT *, CAST(substr(comments, 1, 4) AS BIGINT) AS y, {words('review_id')} FROM reviews)""",
 }
-BODIES["intake_stream"] = BODIES["intake_employees"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in' ", "")
+# In the streams nothing was taken in before, and some submissions come once more without their id.
+CTES["judged_stream"] = ("SELECT * FROM judged UNION ALL "
+                         "SELECT * REPLACE (NULL AS submission_id) FROM judged WHERE department_id = 5")
+for _kind, _source, _nameless in (("employees", "judged", ""), ("projects", "submitted_projects", "start_date IS NULL"),
+                                  ("assignments", "submitted_assignments", "project_id = 'P0005'"),
+                                  ("reviews", "submitted_reviews", "rating = 6")):
+    if _nameless:
+        CTES[f"{_source}_stream"] = (f"SELECT * FROM {_source} UNION ALL "
+                                     f"SELECT * REPLACE (NULL AS submission_id) FROM {_source} WHERE {_nameless}")
+    BODIES["intake_stream" if _kind == "employees" else f"intake_stream_{_kind}"] = (
+        BODIES[f"intake_{_kind}"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in'",
+                                          "WHEN submission_id IS NULL THEN 'submission id required'")
+        .replace(f"FROM {_source})", f"FROM {_source}_stream)"))
+BODIES["change_stream"] = f"SELECT {VERSION.replace('employee_sk, ', '', 1)} FROM same_result"
+BODIES["change_stream_rejects"] = BODIES["scd2_rejects"]
 
 
 CTES["doubled_reviews"] = """SELECT review_id, employee_id, project_id FROM reviews

@@ -16,6 +16,8 @@ from staffmart.operators import audit, merge, point_in_time, scd2, validate
 from staffmart.plans import dimensions, facts, intake, reports, synth
 from staffmart.plans import warehouse as wh
 from staffmart.sources import tables as io
+from staffmart.sources.versions import publish
+from staffmart.streaming import changes
 from staffmart.streaming import intake as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -405,18 +407,63 @@ def review_date_guardrail(spark, sf):
 
 # --- streams --------------------------------------------------------------------------
 
-def intake_stream(spark, sf):
+def _intake_stream(spark, submissions: DataFrame, nameless: DataFrame, judge, key: str, unique=()) -> DataFrame:
+    """Submissions that come twice, and some without an id that come once, in several micro-batches."""
     source, root = io.work_path(spark, "submissions"), io.work_path(spark, "intake")
-    submissions = mapping.employee_submissions(spark, sf)
-    # Sent twice: the second copy must add nothing.
-    submissions.unionByName(submissions).repartition(4).write.parquet(source)
+    submissions.unionByName(submissions).unionByName(nameless).repartition(4).write.parquet(source)
     stream = streams.file_stream(spark, source, submissions.schema, files_per_batch=2)
-    streams.intake_stream(
-        stream, root, lambda rows, stored: intake.intake_employees(
-            rows, stored, AS_OF, departments=mapping.departments(spark, sf)),
-        io.work_path(spark, "checkpoint")).awaitTermination()
+    streams.intake_stream(stream, root, judge, io.work_path(spark, "checkpoint"), unique).awaitTermination()
     return _both(intake.Intake(spark.read.parquet(f"{root}/accepted").drop("batch"),
-                               spark.read.parquet(f"{root}/quarantine").drop("batch")), "employee_id")
+                               spark.read.parquet(f"{root}/quarantine").drop("batch")), key)
+
+
+def intake_stream(spark, sf):
+    forms = mapping.employee_submissions(spark, sf)
+    departments = mapping.departments(spark, sf)
+    return _intake_stream(spark, forms, mapping.nameless(forms, F.col("department_id") == 5), lambda rows, stored: intake.intake_employees(
+        rows, stored, AS_OF, departments=departments), "employee_id", ["email"])
+
+
+def intake_stream_projects(spark, sf):
+    forms = mapping.project_submissions(spark, sf)
+    return _intake_stream(spark, forms, mapping.nameless(forms, F.col("start_date").isNull()), intake.intake_projects, "project_id")
+
+
+def intake_stream_assignments(spark, sf):
+    forms = mapping.assignment_submissions(spark, sf)
+    employees, projects = mapping.employees(spark, sf), mapping.projects(spark, sf)
+    return _intake_stream(spark, forms, mapping.nameless(forms, F.col("project_id") == "P0005"), lambda rows, stored: intake.intake_assignments(
+        rows, employees, projects, stored), "assignment_id")
+
+
+def intake_stream_reviews(spark, sf):
+    forms = mapping.review_submissions(spark, sf)
+    employees, projects = mapping.employees(spark, sf), mapping.projects(spark, sf)
+    return _intake_stream(spark, forms, mapping.nameless(forms, F.col("rating") == 6), lambda rows, stored: intake.intake_reviews(
+        rows, employees, projects, stored), "review_id")
+
+
+def _change_stream(spark, sf) -> scd2.ScdResult:
+    """All department changes in four micro-batches, by date; the log put over the tables."""
+    w, root, source = stores.warehouse(spark, sf), io.work_path(spark, "changes"), io.work_path(spark, "changes-in")
+    publish({"dim_employee": w.dim_employee, "employees": mapping.employees(spark, sf).drop("department_name")}, root)
+    rows = mapping.department_changes(spark, sf)
+    span = rows.agg(F.min("effective_date").alias("low"), F.datediff(F.max("effective_date"), F.min("effective_date")).alias("days")).first()
+    part = F.floor(F.datediff("effective_date", F.lit(span.low)) * 4 / (span.days + 1))
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.file_stream(spark, source, rows.schema, files_per_batch=1)
+    changes.department_change_stream(stream, root, w.dim_department, io.work_path(spark, "checkpoint"), fold_after=2).awaitTermination()
+    return changes.changed_tables(spark, root)
+
+
+def change_stream(spark, sf):
+    """Keys are left out: they are given in order of the micro-batches."""
+    return _change_stream(spark, sf).dim_employee.drop("employee_sk")
+
+
+def change_stream_rejects(spark, sf):
+    return _change_stream(spark, sf).rejects
 
 
 QUERIES = [
@@ -432,7 +479,8 @@ QUERIES = [
     scd2_rejects, validate_employees, validate_employees_write, dq_unique, dq_not_null,
     dq_referential, dq_operational, dq_star, dq_check, dq_scd2, intake_employees, intake_projects, intake_assignments,
     intake_reviews, synth_seed, synth_employees, synth_projects, synth_assignments, synth_reviews,
-    synth_history, review_date_guardrail, intake_stream,
+    synth_history, review_date_guardrail, intake_stream, intake_stream_projects, intake_stream_assignments,
+    intake_stream_reviews, change_stream, change_stream_rejects,
 ]
 
 

@@ -56,7 +56,7 @@ def _end_before(next_start: Column, close_policy: str) -> Column:
 
 
 def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employees: DataFrame,
-                             dim_department: DataFrame, close_policy: str = SAME_DAY) -> ScdResult:
+                             dim_department: DataFrame, close_policy: str = SAME_DAY, first_sk: int | None = None) -> ScdResult:
     """Apply (employee_id, new_department_id, effective_date, change_id) rows.
 
     Changes count in order of effective date, then change_id. A change to the department
@@ -66,7 +66,8 @@ def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employ
     ``day_before`` ends it one day earlier and keeps the last change of a day only.
 
     Unknown employees and departments, employees without a current version and changes
-    that take effect before the current version started are refused and change nothing.
+    that take effect before the current version started are refused and change nothing. New versions are
+    numbered from ``first_sk``, by default on from the highest key of ``dim_employee``.
     """
     judged = _judge(changes, dim_employee, employees, dim_department, close_policy)
     rejects = (judged.where("reject_reason is not null")
@@ -84,7 +85,7 @@ def apply_department_changes(dim_employee: DataFrame, changes: DataFrame, employ
              .where("_before_sk <> _target_sk"))
     # Written once: the new versions, the closed ones and the employees all read it.
     moves = closed_up(with_next(moves, "employee_id", "effective_date", "_next_date"), "moves")
-    opened = number_chunks(moves, "employee_sk", next_key(dim_employee, "employee_sk"))
+    opened = number_chunks(moves, "employee_sk", next_key(dim_employee, "employee_sk") if first_sk is None else first_sk)
 
     person = employees.select("employee_id", "first_name", "last_name", "email", "gender", "age",
                               "role", "salary", "hire_date")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from staffmart.operators.merge import next_key
 from staffmart.operators.ordering import with_position
 from staffmart.operators.point_in_time import validity_segments
-from staffmart.sources.tables import materialise, write_parquet
+from staffmart.sources.tables import materialise
 
 MEASURES = ["employee_sk", "project_sk", "department_sk", "date_sk", "rating", "review_score",
             "review_count"]
 FACT_COLUMNS = ["review_sk", "review_id", *MEASURES, "year_num"]
-FACT_PARTITIONS = ["year_num"]
+FACT_PARTITION = "year_num"
 
 
 def resolve_reviews(reviews: DataFrame, dim_employee: DataFrame, dim_project: DataFrame,
@@ -60,29 +60,35 @@ def build_fact(reviews: DataFrame, dim_employee: DataFrame, dim_project: DataFra
     return with_position(rows, "review_sk", ["date_sk", "review_id"]).select(*FACT_COLUMNS)
 
 
+class DuplicateKeys(ValueError):
+    """Rows share a key that must be unique."""
+
+
 def merge_fact(fact: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Fact table after an upsert by review_id, with ``action`` per row.
+    """Fact table after an upsert by review_id, with ``action`` and ``old_year`` per row; a written table.
 
     Stored reviews keep review_sk and take the new measures, so they point to the version
-    valid now. Reviews stored but not given stay unchanged. New ones are numbered on.
+    valid now. Reviews stored but not given stay unchanged. New ones are numbered on. One full outer
+    join does it; given rows are counted by review_id on the way, and a review given twice stops the merge.
     """
-    incoming = materialise(matched(resolved), "resolved")
-    given = incoming.select("review_id", *[F.col(c).alias(f"_{c}") for c in MEASURES],
-                            F.col("year_num").alias("_year_num"), F.lit(True).alias("_given"))
     values = [*MEASURES, "year_num"]
+    given = matched(resolved).groupBy("review_id").agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(f"_{c}") for c in values])
     differs = F.lit(False)
     for c in MEASURES:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-    kept = (fact.join(given, "review_id", "left")
-            .withColumn("action", F.when(F.col("_given") & differs, "updated").otherwise("unchanged"))
-            .select("review_sk", "review_id",
-                    *[F.when(F.col("_given"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values],
-                    "action", F.col("year_num").alias("old_year")))
-    added = with_position(incoming.join(fact, "review_id", "left_anti"), "review_sk",
+    action = (F.when(F.col("review_sk").isNull(), "inserted").when(F.col("_copies").isNull(), "unchanged")
+              .when(differs, "updated").otherwise("unchanged"))
+    joined = fact.select(*FACT_COLUMNS).join(given, "review_id", "full_outer").select(
+        "review_sk", "review_id", *[F.when(F.col("_copies").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in values],
+        action.alias("action"), F.when(F.col("review_sk").isNotNull(), F.col("year_num")).alias("old_year"), "_copies")
+    joined = materialise(joined, "merged")
+    repeated = [r.review_id for r in joined.where("_copies > 1").select("review_id").limit(20).collect()]
+    if repeated:
+        raise DuplicateKeys("duplicate values of review_id: " + ", ".join(sorted(map(str, repeated))))
+    added = with_position(joined.where("action = 'inserted'").drop("review_sk", "_copies"), "review_sk",
                           ["date_sk", "review_id"], next_key(fact, "review_sk"))
-    added = added.select(*FACT_COLUMNS, F.lit("inserted").alias("action"),
-                         F.lit(None).cast("int").alias("old_year"))
-    return kept.unionByName(added)
+    return joined.where("action <> 'inserted'").drop("_copies").unionByName(added)
 
 
 def load_reviews(fact: DataFrame, reviews: DataFrame, review_ids: DataFrame, dim_employee: DataFrame,
@@ -92,16 +98,8 @@ def load_reviews(fact: DataFrame, reviews: DataFrame, review_ids: DataFrame, dim
     return merge_fact(fact, resolve_reviews(chosen, dim_employee, dim_project, dim_date))
 
 
-def write_touched_years(merged: DataFrame, path: str) -> None:
-    """Rewrite only the year partitions in which a row was inserted, changed or moved."""
-    merged = materialise(merged, "merged")  # the table at ``path`` is one of its inputs
+def touched_years(merged: DataFrame) -> list[int]:
+    """Years in which a row was inserted or changed, or that a row has left; as many as there are years at most."""
     changed = merged.where("action <> 'unchanged'")
-    years = (changed.select("year_num")
-             .union(changed.where("old_year is not null").select("old_year")).distinct())
-    rows = merged.join(years, "year_num", "left_semi").select(*FACT_COLUMNS)
-    if years.join(merged, "year_num", "left_anti").isEmpty():
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*FACT_PARTITIONS).parquet(path))
-    else:
-        # A dynamic overwrite cannot remove a year that has lost its last row.
-        write_parquet(merged.select(*FACT_COLUMNS), path, FACT_PARTITIONS)
+    years = changed.select("year_num").union(changed.where("old_year is not null").select("old_year")).distinct()
+    return sorted(r.year_num for r in years.collect())

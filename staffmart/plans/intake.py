@@ -58,7 +58,7 @@ def _refuse(judged: DataFrame, wrong: Column, reason: str) -> DataFrame:
 def _refuse_known(judged: DataFrame, stored: DataFrame | None, column: str, prefix: str) -> DataFrame:
     """Refuse rows without a submission id and those whose key is stored already."""
     judged = _refuse(judged, F.col("submission_id").isNull(), "submission id required")
-    if stored is None:
+    if stored is None or column not in stored.columns:
         return judged
     known = stored.select(F.col(column).alias("_key"), F.lit(True).alias("_taken")).distinct()
     judged = join_found(judged.withColumn("_key", _key(prefix)), known, "_key")

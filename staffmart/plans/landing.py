@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from staffmart.operators.audit import audit_check, audit_tables, rating_in_range, require_clean
 from staffmart.plans.intake import with_audit_times
-from staffmart.schemas import FILES, OPERATIONAL, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES
+from staffmart.schemas import AUDIT_TIMES, FILES, OPERATIONAL, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES
 from staffmart.sources.tables import read_csv, read_parquet, require_inputs, together, write_csv
-from staffmart.sources.versions import current, publish
+from staffmart.sources.versions import current_load, publish, read_pieces
 
 
 def write_files(tables: dict[str, DataFrame], folder: str) -> None:
@@ -49,8 +50,14 @@ def load_operational(spark: SparkSession, staging: dict[str, DataFrame], root: s
     return open_operational(spark, root)
 
 
+def stored_schema(name: str) -> T.StructType:
+    """Schema of an operational table as it is stored."""
+    schema = OPERATIONAL[name]
+    return T.StructType([*schema, *AUDIT_TIMES]) if name == "employees" else schema
+
+
 def open_operational(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    version = current(spark, root)
-    if version is None:
+    load = current_load(spark, root)
+    if load is None:
         raise FileNotFoundError(f"no complete load under {root}")
-    return {name: read_parquet(spark, f"{version[1]}/{name}") for name in OPERATIONAL}
+    return {name: read_pieces(spark, root, load.of(name), stored_schema(name)) for name in OPERATIONAL}

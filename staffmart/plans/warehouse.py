@@ -12,10 +12,12 @@ from staffmart.operators.merge import upsert
 from staffmart.plans.dimensions import (
     build_dim_date, build_dim_department, build_dim_employee, build_dim_project, first_versions,
     missing_dates)
-from staffmart.plans.facts import FACT_PARTITIONS, build_fact, merge_fact, resolve_reviews
+from staffmart.plans.facts import (
+    FACT_COLUMNS, FACT_PARTITION, DuplicateKeys, build_fact, merge_fact, resolve_reviews, touched_years)
 from staffmart.schemas import STAR
-from staffmart.sources.tables import materialise, read_parquet, together, write_parquet
-from staffmart.sources.versions import current, make_current, new_folder, publish
+from staffmart.sources.tables import materialise, together
+from staffmart.sources.versions import (
+    Load, Piece, current_load, enter, new_folder, read_pieces, write_parts, write_whole)
 
 
 # Keys a star schema is built on.
@@ -32,17 +34,16 @@ class Warehouse:
     fact: DataFrame
 
 
-def open_folder(spark: SparkSession, folder: str) -> Warehouse:
-    return Warehouse(**{name: read_parquet(spark, f"{folder}/{name}", schema)
-                        for name, schema in STAR.items()})
+def open_load(spark: SparkSession, root: str, load: Load) -> Warehouse:
+    return Warehouse(**{name: read_pieces(spark, root, load.of(name), schema) for name, schema in STAR.items()})
 
 
 def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     """The tables of the newest complete load."""
-    version = current(spark, root)
-    if version is None:
+    load = current_load(spark, root)
+    if load is None:
         raise FileNotFoundError(f"no complete load under {root}")
-    return open_folder(spark, version[1])
+    return open_load(spark, root, load)
 
 
 def rebuild(spark: SparkSession, tables: dict[str, DataFrame], root: str, current_start=None) -> Warehouse:
@@ -54,9 +55,12 @@ def rebuild(spark: SparkSession, tables: dict[str, DataFrame], root: str, curren
     folder = new_folder(root)
     together(spark, {key: lambda table=table, key=key: _require_unique(tables[table], key) for table, key in UNIQUE})
 
-    def store(name: str, df: DataFrame, partitions=()) -> DataFrame:
-        write_parquet(df, f"{folder}/{name}", partitions)
-        return read_parquet(spark, f"{folder}/{name}", STAR[name])
+    pieces: list[Piece] = []
+
+    def store(name: str, df: DataFrame, column: str | None = None) -> DataFrame:
+        own = write_parts(df, root, name, column) if column else write_whole(df, root, folder, name)
+        pieces.extend(own)
+        return read_pieces(spark, root, own, STAR[name])
 
     def people() -> tuple[DataFrame, DataFrame]:
         departments = store("dim_department", build_dim_department(tables["departments"]))
@@ -68,8 +72,8 @@ def rebuild(spark: SparkSession, tables: dict[str, DataFrame], root: str, curren
         "projects": lambda: store("dim_project", build_dim_project(tables["projects"])),
         "dates": lambda: store("dim_date", build_dim_date(tables["reviews"]))})
     (departments, employees), projects, dates = done["people"], done["projects"], done["dates"]
-    fact = store("fact", build_fact(tables["reviews"], employees, projects, dates), FACT_PARTITIONS)
-    make_current(spark, root, folder)
+    fact = store("fact", build_fact(tables["reviews"], employees, projects, dates), FACT_PARTITION)
+    enter(spark, root, folder, pieces)
     return Warehouse(departments, projects, dates, employees, fact)
 
 
@@ -102,10 +106,6 @@ def load_summary(tables: dict[str, DataFrame], warehouse: Warehouse) -> DataFram
     }).unionByName(versions)
 
 
-class DuplicateKeys(ValueError):
-    """Operational rows share a key that must be unique."""
-
-
 def _require_unique(df: DataFrame, key: str) -> None:
     if not audit_unique(df, key).isEmpty():
         raise DuplicateKeys(f"duplicate values of {key}")
@@ -138,7 +138,9 @@ def refresh(tables: dict[str, DataFrame], warehouse: Warehouse) -> Refresh:
     every review is upserted against the version valid on its date.
     """
     spark = warehouse.fact.sparkSession
-    together(spark, {key: lambda table=table, key=key: _require_unique(tables[table], key) for table, key in UNIQUE})
+    # The merge of the facts looks for repeated reviews itself.
+    together(spark, {key: lambda table=table, key=key: _require_unique(tables[table], key)
+                     for table, key in UNIQUE if table != "reviews"})
 
     def people() -> tuple[DataFrame, DataFrame]:
         departments = upsert(warehouse.dim_department, tables["departments"], "department_id", "department_sk")
@@ -154,12 +156,43 @@ def refresh(tables: dict[str, DataFrame], warehouse: Warehouse) -> Refresh:
     dates = warehouse.dim_date.unionByName(added_dates)
     versions = warehouse.dim_employee.unionByName(added_versions)
     resolved = resolve_reviews(tables["reviews"], versions, projects, dates)
-    fact = materialise(merge_fact(warehouse.fact, resolved), "fact")
+    fact = merge_fact(warehouse.fact, resolved)
     return Refresh(Warehouse(departments, projects, dates, versions, fact),
                    added_dates, added_versions, tables)
 
 
+# A table that grows by pieces is written anew when it has so many.
+MOST_PIECES = 20
+
+
 def publish_refresh(result: Refresh, root: str) -> str:
-    """Write all refreshed tables into a new folder and make it current."""
-    tables = {name: getattr(result.warehouse, name).select(*STAR[name].names) for name in STAR}
-    return publish(tables, root, {"fact": FACT_PARTITIONS})
+    """Write what the refresh changed and make it current, in one entry with all that stayed as it was.
+
+    Of the facts the touched years are written. Calendar and employees only get the added rows, as a
+    piece of their own. Departments and projects are written anew; they are upserted whole.
+    """
+    spark = result.warehouse.fact.sparkSession
+    load = current_load(spark, root)
+    folder = new_folder(root)
+    years = touched_years(result.warehouse.fact)
+
+    def facts() -> list[Piece]:
+        kept = [p for p in load.of("fact") if int(p.part) not in years]
+        rows = result.warehouse.fact.where(F.col(FACT_PARTITION).isin(years)).select(*FACT_COLUMNS)
+        return kept + (write_parts(rows, root, "fact", FACT_PARTITION) if years else [])
+
+    def grown(name: str, added: DataFrame) -> list[Piece]:
+        own, names = load.of(name), STAR[name].names
+        if len(own) >= MOST_PIECES:
+            return write_whole(getattr(result.warehouse, name).select(*names), root, folder, name)
+        return own if added.isEmpty() else own + write_whole(added.select(*names), root, folder, name)
+
+    def anew(name: str) -> list[Piece]:
+        return write_whole(getattr(result.warehouse, name).select(*STAR[name].names), root, folder, name)
+
+    written = together(spark, {
+        "fact": facts, "dim_date": lambda: grown("dim_date", result.added_dates),
+        "dim_employee": lambda: grown("dim_employee", result.added_versions),
+        "dim_department": lambda: anew("dim_department"), "dim_project": lambda: anew("dim_project")})
+    enter(spark, root, folder, [p for own in written.values() for p in own], after=load.version)
+    return folder

@@ -71,6 +71,9 @@ FACT = _schema(
     ("department_sk", L), ("date_sk", I), ("rating", I), ("review_score", SCORE),
     ("review_count", I), ("year_num", I))
 
+# Set by the job that writes employees.
+AUDIT_TIMES = _schema(("created_at", T.TimestampType()), ("updated_at", T.TimestampType()))
+
 FILES = {
     "departments": DEPARTMENTS, "employees": EMPLOYEES_FILE, "projects": PROJECTS,
     "assignments": ASSIGNMENTS, "reviews": REVIEWS, "employee_history": EMPLOYEE_HISTORY,

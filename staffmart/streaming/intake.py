@@ -1,25 +1,27 @@
 """Submitted rows as a stream of files: judged, then appended or put in quarantine.
 
-Each micro-batch writes its own partition folder and overwrites it when it is repeated, and
-rows already written by another micro-batch are left out, so a restart or a file delivered
-twice adds nothing.
+What was taken in before is known from keys in hash buckets, of which a micro-batch reads and extends only its own, so
+its work does not grow with what came before. Each micro-batch writes its own folders and is done with one entry in the log
+of the keys; a repeated one overwrites its folders if it was not, and does nothing if it was.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from staffmart.operators.scd2 import SAME_DAY, apply_department_changes
-from staffmart.plans.intake import Intake
-from staffmart.sources.tables import exists, materialise
-from staffmart.sources.versions import current, publish
+from staffmart.functions.text import strip
+from staffmart.plans.intake import Intake, once
+from staffmart.sources.key_index import BUCKET_ROWS, KeyIndex
+from staffmart.sources.tables import materialise, write_parquet
+from staffmart.sources.versions import current_load, drop_entry, enter, new_folder
 
 Judge = Callable[[DataFrame, DataFrame | None], Intake]
+KEPT_ENTRIES = 20
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -30,60 +32,53 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
-def _written_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Rows of all other micro-batches; a repeated one does not see its own rows."""
-    if not exists(spark, path):
-        return None
-    return spark.read.parquet(path).where(F.col("batch") != batch_id).drop("batch")
+def _key(kind: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), value.cast("string"))
 
 
-def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: str) -> StreamingQuery:
+def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: str, unique: Sequence[str] = (),
+                  bucket_rows: int = BUCKET_ROWS) -> StreamingQuery:
     """Judge all files that are there, write ``root``/accepted and ``root``/quarantine, stop.
 
-    ``judge`` gets new submissions and the rows accepted before (None at first).
+    A submission id that came in an earlier micro-batch adds nothing; of one that comes several times in a
+    micro-batch the smallest row counts, and rows without one are all judged, as in a batch. ``judge`` gets the new submissions and the
+    rows accepted before that share a value of a ``unique`` column with them (None without such columns).
     """
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["submission_id"])
-        done = _written_before(spark, f"{root}/seen", batch_id)
-        if done is not None:
-            new = new.join(done, "submission_id", "left_anti")
-        # Written once, so that all three outputs judge the same copy of a repeated row.
-        new = materialise(new, "batch")
-        result = judge(new, _written_before(spark, f"{root}/accepted", batch_id))
-        for name, rows in (("accepted", result.accepted), ("quarantine", result.quarantine),
-                           ("seen", new.select("submission_id"))):
-            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        load = current_load(spark, root)
+        if load is not None and int(load.notes["batch"]) >= batch_id:
+            return
+        index = KeyIndex(spark, root, load, bucket_rows=bucket_rows)
+        first = materialise(once(batch).withColumn("_key", _key("submission", F.col("submission_id"))), "submitted")
+        seen = index.find(first.select(F.col("_key").alias("key"))).withColumnRenamed("key", "_key")
+        # Written once, so that all outputs judge the same rows.
+        new = materialise(first.join(seen, "_key", "left_anti").select(*batch.columns), "batch")
+        stored = None
+        if unique:
+            asked = [new.select(_key(c, strip(F.col(c))).alias("key")) for c in unique]
+            found = index.find(_union(asked))
+            stored = materialise(found.select(*[
+                F.when(F.col("key").startswith(f"{c}:"), F.substring(F.col("key"), F.lit(len(c) + 2), F.length("key"))).alias(c)
+                for c in unique]), "stored")
+        result = judge(new, stored)
+        written = {"accepted": result.accepted, "quarantine": result.quarantine}
+        for name, rows in written.items():
+            write_parquet(rows, f"{root}/{name}/batch={batch_id}")
+        accepted = spark.read.schema(result.accepted.schema).parquet(f"{root}/accepted/batch={batch_id}")
+        keys = [new.select(_key("submission", F.col("submission_id")).alias("key"))]
+        keys += [accepted.select(_key(c, F.col(c)).alias("key")) for c in unique]
+        pieces, notes = index.with_rows(materialise(_union(keys).where("key is not null"), "keys"))
+        done = enter(spark, root, new_folder(root), pieces, {**notes, "batch": batch_id}, after=load.version if load else 0)
+        drop_entry(spark, root, done - KEPT_ENTRIES)
 
     return (submissions.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def department_change_stream(changes: DataFrame, root: str, dim_department: DataFrame, checkpoint: str,
-                             close_policy: str = SAME_DAY) -> StreamingQuery:
-    """Apply department changes per micro-batch to the tables published under ``root``.
-
-    ``root`` holds dim_employee and employees. Each micro-batch publishes them anew with
-    its refused changes and its number; a number already published is skipped.
-    """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        folder = current(spark, root)[1]
-        applied = f"{folder}/applied"
-        if exists(spark, applied) and spark.read.parquet(applied).first()[0] >= batch_id:
-            return
-        result = apply_department_changes(
-            spark.read.parquet(f"{folder}/dim_employee"), batch,
-            spark.read.parquet(f"{folder}/employees"), dim_department, close_policy)
-        rejects = result.rejects
-        if exists(spark, f"{folder}/rejects"):
-            rejects = spark.read.parquet(f"{folder}/rejects").unionByName(rejects)
-        publish({"dim_employee": result.dim_employee, "employees": result.employees, "rejects": rejects,
-                 "applied": spark.range(1).select(F.lit(batch_id).alias("batch"))}, root)
-
-    return (changes.writeStream.foreachBatch(apply)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out

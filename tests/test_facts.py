@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from staffmart.operators.point_in_time import validity_segments, version_counts, versions_on
 from staffmart.plans.dimensions import build_dim_date, build_dim_department, build_dim_project
 from staffmart.plans.facts import (
-    FACT_COLUMNS, FACT_PARTITIONS, build_fact, load_reviews, matched, merge_fact, resolve_reviews,
-    unmatched, write_touched_years)
-from staffmart.sources.tables import read_parquet, write_parquet
-from staffmart.schemas import FACT
+    FACT_COLUMNS, DuplicateKeys, build_fact, load_reviews, matched, merge_fact, resolve_reviews, unmatched)
 
 
 def projects(spark):
@@ -143,23 +140,31 @@ def test_single_reviews_can_be_loaded(spark, make):
     assert sorted((r.review_id, r.action) for r in merged.collect()) == [("R1", "unchanged"), ("R3", "inserted")]
 
 
-@pytest.mark.parametrize("moved_to", ["2024-07-01", "2025-07-01"])
-def test_only_touched_years_are_rewritten(spark, make, tmp_path, moved_to):
-    versions = make.versions(dict(employee_id="E1", hire_date="2020-01-01", start_date="2020-01-01"))
-    first = make.reviews(dict(review_date="2023-01-01"), dict(review_date="2024-01-01"))
-    later = make.reviews(dict(review_date="2023-01-01"), dict(review_date=moved_to))
-    path = str(tmp_path / "fact")
-    fact, _ = build(spark, first, versions)
-    write_parquet(fact, path, FACT_PARTITIONS)
-    before = {p.name for p in (tmp_path / "fact" / "year_num=2023").iterdir()}
-    stored = read_parquet(spark, path, FACT)
-    merged = merge_fact(stored, resolve_reviews(later, versions, build_dim_project(projects(spark)),
-                                                build_dim_date(later)))
-    write_touched_years(merged, path)
-    rows = {r.review_id: r.year_num for r in read_parquet(spark, path, FACT).collect()}
-    assert rows == {"R1": 2023, "R2": int(moved_to[:4])}
-    if moved_to.startswith("2024"):
-        assert {p.name for p in (tmp_path / "fact" / "year_num=2023").iterdir()} == before
+def test_a_review_given_twice_stops_the_merge(spark, make):
+    versions = make.versions(dict(employee_id="E1"))
+    reviews = make.reviews({}, {})
+    fact, resolved = build(spark, reviews.where("review_id = 'R1'"), versions)
+    dim_project, dim_date = build_dim_project(projects(spark)), build_dim_date(reviews)
+    for twice in (reviews.unionByName(reviews.where("review_id = 'R1'")), reviews.unionByName(
+            reviews.where("review_id = 'R2'").withColumn("rating", F.lit(1)))):
+        with pytest.raises(DuplicateKeys, match="R[12]"):
+            merge_fact(fact, resolve_reviews(twice, versions, dim_project, dim_date))
+        with pytest.raises(DuplicateKeys):
+            load_reviews(fact, twice, reviews, versions, dim_project, dim_date)
+    # One that is not loaded may be repeated.
+    twice = reviews.unionByName(reviews.where("review_id = 'R2'"))
+    only = spark.createDataFrame([("R1",)], "review_id string")
+    assert load_reviews(fact, twice, only, versions, dim_project, dim_date).count() == 1
+
+
+def test_merge_numbers_new_rows_after_stored_ones(spark, make):
+    versions = make.versions(dict(employee_id="E1"))
+    reviews = make.reviews(*[{} for _ in range(5)])
+    fact, _ = build(spark, reviews.where("review_id < 'R4'"), versions)
+    merged = merge_fact(fact, build(spark, reviews, versions)[1])
+    assert {(r.review_id, r.action) for r in merged.collect()} == {
+        *((f"R{k}", "unchanged") for k in (1, 2, 3)), ("R4", "inserted"), ("R5", "inserted")}
+    assert sorted(r.review_sk for r in merged.collect()) == [1, 2, 3, 4, 5]
 
 
 def test_as_of_and_counts(spark, make):

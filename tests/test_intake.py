@@ -12,8 +12,9 @@ from staffmart.plans.synth import keep_review_year
 from staffmart.plans.dimensions import build_dim_department
 from staffmart.schemas import EMPLOYEES
 from staffmart.sources.tables import nulls_for_missing, work_path
-from staffmart.sources.versions import current, publish
-from staffmart.streaming.intake import department_change_stream, file_stream, intake_stream
+from staffmart.sources.versions import publish
+from staffmart.streaming.changes import changed_tables, department_change_stream
+from staffmart.streaming.intake import file_stream, intake_stream
 
 GOOD = dict(first_name="Ann", last_name="O'Neil-Ray", email="a.b+c@ex-ample.co", age="30", role="Lead 2",
             salary="1000.50", hire_date="2024-01-01")
@@ -182,7 +183,7 @@ def test_stream_equals_batch_and_survives_repeats(spark, tmp_path):
 
     def run():
         stream = file_stream(spark, source, rows.schema, files_per_batch=1)
-        intake_stream(stream, root, judge, str(tmp_path / "checkpoint")).awaitTermination()
+        intake_stream(stream, root, judge, str(tmp_path / "checkpoint"), ["email"]).awaitTermination()
         return (sorted(r.email for r in spark.read.parquet(f"{root}/accepted").collect()),
                 sorted((r.submission_id, r.reject_reason) for r in spark.read.parquet(f"{root}/quarantine").collect()))
 
@@ -209,15 +210,13 @@ def test_change_stream_equals_batches(spark, make, tmp_path):
         spark.createDataFrame([(e, d, day(t), i) for i, e, d, t in rows], fields).coalesce(1).write.mode("append").parquet(source)
         stream = file_stream(spark, source, spark.createDataFrame([], fields).schema, files_per_batch=1)
         department_change_stream(stream, root, departments, str(tmp_path / "checkpoint")).awaitTermination()
-        folder = current(spark, root)[1]
-        return spark.read.parquet(f"{folder}/dim_employee"), spark.read.parquet(f"{folder}/rejects"), folder
+        return changed_tables(spark, root)
 
     send((1, "E1", 2, "2025-01-01"), (2, "E2", 3, "2025-01-01"))
-    dim, rejects, folder = send((3, "E1", 3, "2025-03-01"), (4, "E2", 1, "2024-12-01"))
-    rows = sorted((r.employee_id, r.department_sk, str(r.start_date), str(r.end_date)) for r in dim.collect())
+    now = send((3, "E1", 3, "2025-03-01"), (4, "E2", 1, "2024-12-01"))
+    rows = sorted((r.employee_id, r.department_sk, str(r.start_date), str(r.end_date)) for r in now.dim_employee.collect())
     assert rows == [("E1", 1, "2024-01-01", "2025-01-01"), ("E1", 2, "2025-01-01", "2025-03-01"),
                     ("E1", 3, "2025-03-01", "9999-12-31"), ("E2", 1, "2024-01-01", "2025-01-01"),
                     ("E2", 3, "2025-01-01", "9999-12-31")]
-    assert [(r.change_id, r.reject_reason) for r in rejects.collect()] == [(4, "effective before current start")]
-    employees = spark.read.parquet(f"{folder}/employees")
-    assert {r.employee_id: r.department_id for r in employees.collect()} == {"E1": 3, "E2": 3}
+    assert [(r.change_id, r.reject_reason) for r in now.rejects.collect()] == [(4, "effective before current start")]
+    assert {r.employee_id: r.department_id for r in now.employees.collect()} == {"E1": 3, "E2": 3}

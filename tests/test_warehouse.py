@@ -1,10 +1,12 @@
 """Rebuild, refresh, dimensions and publication."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
 from conftest import day
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from staffmart.operators.merge import upsert
@@ -13,11 +15,12 @@ from staffmart.plans.dimensions import (
     extend_dim_date, new_employees)
 from staffmart.plans.landing import load_operational, load_staging, read_files, write_files
 from staffmart.plans.synth import Generator, load_seed
+from staffmart.plans import warehouse
 from staffmart.plans.warehouse import (
     DuplicateKeys, load_summary, open_warehouse, publish_refresh, rebuild, refresh)
-from staffmart.schemas import STAR
+from staffmart.schemas import EMPLOYEE_HISTORY, PROJECTS, STAR
 from staffmart.sources.tables import work_path
-from staffmart.sources.versions import current
+from staffmart.sources.versions import current, current_load, enter, new_folder, publish, remove_old_loads
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +70,76 @@ def test_refresh_from_a_part_equals_rebuild_up_to_keys(spark, tables, tmp_path):
     assert sets(again.warehouse) == sets(part)
 
 
+def files(root, load, table):
+    """Names of the data files of a table, by part."""
+    return {p.part: sorted(f.name for f in (pathlib.Path(root) / p.path).iterdir() if f.suffix == ".parquet") for p in load.of(table)}
+
+
+@pytest.mark.parametrize("moved_to", ["2024-07-01", "2025-07-01"])
+def test_a_refresh_writes_only_touched_years(spark, make, tmp_path, moved_to):
+    root = str(tmp_path / "dw")
+    base = {"departments": make.departments("A"), "employees": make.employees(dict(employee_id="E1", hire_date="2020-01-01")),
+            "projects": spark.createDataFrame([("P1", "One", "d", day("2024-01-01"), None, "Active")], PROJECTS),
+            "employee_history": spark.createDataFrame([], EMPLOYEE_HISTORY)}
+    first = make.reviews(*[dict(review_date=d) for d in ("2022-01-01", "2023-01-01", "2024-01-01")])
+    rebuild(spark, {**base, "reviews": first}, root, "2020-01-01")
+    before = current_load(spark, root)
+    reader = open_warehouse(spark, root)
+    later = make.reviews(*[dict(review_date=d) for d in ("2022-01-01", "2023-01-01", moved_to, "2023-05-05")])
+    publish_refresh(refresh({**base, "reviews": later}, reader), root)
+    after = current_load(spark, root)
+    touched = {"2023", "2024", moved_to[:4]}
+    assert {p.part for p in after.of("fact")} == {"2022", "2023", moved_to[:4]}
+    for piece in after.of("fact"):
+        assert (piece in before.of("fact")) == (piece.part not in touched)
+    assert files(root, after, "fact")["2022"] == files(root, before, "fact")["2022"]
+    assert before.of("dim_employee") == after.of("dim_employee")
+    assert len(after.of("dim_date")) == 2
+    # Who opened the load before still reads it; who opens now reads the new one.
+    assert sorted(r.year_num for r in reader.fact.collect()) == [2022, 2023, 2024]
+    rows = {r.review_id: r.year_num for r in open_warehouse(spark, root).fact.collect()}
+    assert rows == {"R1": 2022, "R2": 2023, "R3": int(moved_to[:4]), "R4": 2023}
+    pruned = open_warehouse(spark, root).fact.where("year_num = 2023").select("review_id")
+    assert "PartitionFilters: [isnotnull(year_num" in pruned._jdf.queryExecution().executedPlan().toString()
+
+    stamp = {p: p.stat().st_mtime for p in (tmp_path / "dw").rglob("*.parquet")}
+    publish_refresh(refresh({**base, "reviews": later}, open_warehouse(spark, root)), root)
+    assert current_load(spark, root).of("fact") == after.of("fact")
+    assert all("fact" not in str(p) for p in (tmp_path / "dw").rglob("*.parquet") if p not in stamp)
+    assert remove_old_loads(spark, root) == []  # too young to go
+    assert remove_old_loads(spark, root, older_than=-60)
+    assert {r.review_id: r.year_num for r in open_warehouse(spark, root).fact.collect()} == rows
+    assert len(list((tmp_path / "dw" / "versions").iterdir())) == 1
+
+
+def test_grown_tables_are_written_anew_at_times(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(warehouse, "MOST_PIECES", 2)
+    root = str(tmp_path / "dw")
+    base = {"departments": make.departments("A"), "reviews": make.reviews(dict(employee_id="E1")),
+            "projects": spark.createDataFrame([("P1", "One", "d", day("2024-01-01"), None, "Active")], PROJECTS),
+            "employee_history": spark.createDataFrame([], EMPLOYEE_HISTORY)}
+    people = [dict(employee_id=f"E{k}") for k in range(1, 6)]
+    rebuild(spark, {**base, "employees": make.employees(people[0])}, root, "2024-01-01")
+    pieces = []
+    for n in range(2, 6):
+        publish_refresh(refresh({**base, "employees": make.employees(*people[:n])}, open_warehouse(spark, root)), root)
+        pieces.append(len(current_load(spark, root).of("dim_employee")))
+        assert open_warehouse(spark, root).dim_employee.count() == n
+    assert pieces == [2, 1, 2, 1]
+
+
+def test_of_two_writers_after_one_load_the_second_fails(spark, tmp_path):
+    root = str(tmp_path / "log")
+    rows = spark.range(3)
+    publish({"a": rows}, root)
+    load = current_load(spark, root)
+    folder = new_folder(root)
+    enter(spark, root, folder, load.pieces, {"seen": 7}, after=load.version)
+    with pytest.raises(AnalysisException):
+        enter(spark, root, new_folder(root), load.pieces, after=load.version)
+    assert current_load(spark, root).notes == {"seen": "7"} and current(spark, root) == (2, folder)
+
+
 def test_load_summary_counts_written_facts(spark, tables, tmp_path):
     w = rebuild(spark, tables, str(tmp_path / "dw"))
     got = {r.table_name: r.row_count for r in load_summary(tables, w).collect()}
