@@ -213,6 +213,13 @@ def employee_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(slip == 13, _date("2100-01-01")).otherwise(_date("2001-01-01")).alias("hire_date"))
 
 
+def shouted(submissions: DataFrame) -> DataFrame:
+    """Forms of the first nations sent once more under another id, with their email in capitals."""
+    again = submissions.where("department_id between 1 and 9")
+    return submissions.unionByName(again.withColumns({
+        "submission_id": F.col("submission_id") + 10**9, "email": F.upper("email")}))
+
+
 def project_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(

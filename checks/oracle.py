@@ -775,6 +775,28 @@ for _kind, _source, _nameless in (("employees", "judged", ""), ("projects", "sub
         BODIES[f"intake_{_kind}"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in'",
                                           "WHEN submission_id IS NULL THEN 'submission id required'")
         .replace(f"FROM {_source})", f"FROM {_source}_stream)"))
+CTES["judged_shouted"] = """
+    SELECT * REPLACE (CASE WHEN reject_reason IS NULL AND (submission_id >= 1000000000 OR submission_id % 4 = 1)
+                           AND department_id IN (SELECT department_id FROM departments)
+                           THEN 'email already used' ELSE reject_reason END AS reject_reason)
+    FROM (SELECT * FROM judged UNION ALL
+          SELECT * REPLACE (submission_id + 1000000000 AS submission_id, upper(email) AS email) FROM judged WHERE department_id BETWEEN 1 AND 9)"""
+BODIES["intake_employees_insensitive"] = (
+    BODIES["intake_employees"].replace("WHEN submission_id % 4 = 0 THEN 'already taken in' ", "").replace("FROM judged)", "FROM judged_shouted)"))
+BODIES["append_findings"] = """
+    SELECT 'reviews.review_id taken' AS rule, review_id AS key, count(*) AS row_count FROM reviews
+    WHERE review_id IN (SELECT review_id FROM base_reviews) GROUP BY review_id
+    UNION ALL
+    SELECT 'reviews.employee_id not in employees', employee_id, count(*) FROM reviews
+    WHERE employee_id NOT IN (SELECT employee_id FROM base_employees) GROUP BY employee_id
+    UNION ALL
+    SELECT 'reviews.project_id not in projects', project_id, count(*) FROM reviews
+    WHERE project_id NOT IN (SELECT project_id FROM base_projects) GROUP BY project_id"""
+BODIES["append_rows"] = """
+    SELECT review_id, employee_id, project_id, CAST(review_date AS VARCHAR) AS review_date, rating, cents / 100.0 AS review_score, comments
+    FROM (SELECT * FROM base_reviews UNION ALL
+          SELECT * FROM reviews WHERE review_date >= DATE '2000-01-01' AND employee_id IN (SELECT employee_id FROM base_employees)
+            AND project_id IN (SELECT project_id FROM base_projects))"""
 BODIES["change_stream"] = f"SELECT {VERSION.replace('employee_sk, ', '', 1)} FROM same_result"
 BODIES["change_stream_rejects"] = BODIES["scd2_rejects"]
 

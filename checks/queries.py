@@ -13,10 +13,10 @@ from checks.mapping import AS_OF
 from staffmart import schemas
 from staffmart.functions import dates, numbers, text
 from staffmart.operators import audit, merge, point_in_time, scd2, validate
-from staffmart.plans import dimensions, facts, intake, reports, synth
+from staffmart.plans import appends, dimensions, facts, intake, reports, synth
 from staffmart.plans import warehouse as wh
 from staffmart.sources import tables as io
-from staffmart.sources.versions import publish
+from staffmart.sources.versions import publish, read_pieces
 from staffmart.streaming import changes
 from staffmart.streaming import intake as streams
 
@@ -347,6 +347,14 @@ def intake_employees(spark, sf):
                                          departments=mapping.departments(spark, sf)), "employee_id")
 
 
+def intake_employees_insensitive(spark, sf):
+    """Emails that differ in case only are one; every fourth was taken in before, in small letters."""
+    forms = mapping.employee_submissions(spark, sf)
+    stored = forms.where(F.col("submission_id") % 4 == 1).select(F.lit("E-none").alias("employee_id"), F.upper("email").alias("email"))
+    return _both(intake.intake_employees(mapping.shouted(forms), stored, AS_OF, departments=mapping.departments(spark, sf),
+                                         collation=True), "employee_id")
+
+
 def intake_projects(spark, sf):
     forms = mapping.project_submissions(spark, sf)
     return _both(intake.intake_projects(mapping.twice(forms, 5), mapping.stored_keys(forms, "P", "project_id", 4)), "project_id")
@@ -443,6 +451,30 @@ def intake_stream_reviews(spark, sf):
         rows, employees, projects, stored), "review_id")
 
 
+def _early_store(spark, sf) -> str:
+    """Operational tables of the earlier state, published without audits."""
+    root, early = io.work_path(spark, "early"), mapping.base_tables(spark, sf)
+    tables = {name: early[name].select(*schema.names) for name, schema in schemas.OPERATIONAL.items()}
+    tables["employees"] = intake.with_audit_times(tables["employees"])
+    publish(tables, root)
+    return root
+
+
+def append_findings(spark, sf):
+    """All reviews against the earlier state: taken ids, unknown employees and projects."""
+    return appends.append_findings(spark, _early_store(spark, sf), "reviews", mapping.reviews(spark, sf))
+
+
+def append_rows(spark, sf):
+    """The later reviews of people and projects that the earlier state knows, appended to its reviews in two steps."""
+    root, early, now = _early_store(spark, sf), mapping.base_tables(spark, sf), mapping.reviews(spark, sf)
+    rows = (now.where("review_date >= date'2000-01-01'").join(early["employees"], "employee_id", "left_semi")
+            .join(early["projects"], "project_id", "left_semi"))
+    for part in (rows.where("rating < 3"), rows.where("rating >= 3")):
+        load = appends.append_rows(spark, root, "reviews", part)
+    return read_pieces(spark, root, load.of("reviews"), schemas.REVIEWS)
+
+
 def _change_stream(spark, sf) -> scd2.ScdResult:
     """All department changes in four micro-batches, by date; the log put over the tables."""
     w, root, source = stores.warehouse(spark, sf), io.work_path(spark, "changes"), io.work_path(spark, "changes-in")
@@ -480,7 +512,7 @@ QUERIES = [
     dq_referential, dq_operational, dq_star, dq_check, dq_scd2, intake_employees, intake_projects, intake_assignments,
     intake_reviews, synth_seed, synth_employees, synth_projects, synth_assignments, synth_reviews,
     synth_history, review_date_guardrail, intake_stream, intake_stream_projects, intake_stream_assignments,
-    intake_stream_reviews, change_stream, change_stream_rejects,
+    intake_stream_reviews, change_stream, change_stream_rejects, append_findings, append_rows, intake_employees_insensitive,
 ]
 
 

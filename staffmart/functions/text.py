@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from staffmart.schemas import COLLATION
+
 _BLANK = r"[\s\p{Z}]"
 
 
@@ -39,4 +43,19 @@ def hashed_id(prefix: str, digits: int, *parts: Column) -> Column:
 
 def insensitive(text: Column) -> Column:
     """Text that compares, groups and joins without case, accents and trailing spaces."""
-    return F.collate(text, "UNICODE_CI_AI_RTRIM")
+    return F.collate(text, COLLATION)
+
+
+def _accented() -> tuple[str, str]:
+    """Letters that consist of another one and marks, and that other one."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]]
+    pairs = [(c, base) for c, base in pairs if c != base]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+def insensitive_key(text: Column) -> Column:
+    """Plain text that is equal for texts that differ in case, accents and trailing spaces; for keys that are hashed,
+    since a hash of collated text is one of its bytes. Letters such as the sharp s stay letters of their own.
+    """
+    bare = F.regexp_replace(F.translate(F.lower(text), *_accented()), r"\p{M}+", "")
+    return F.rtrim(F.lower(bare))

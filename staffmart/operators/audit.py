@@ -37,6 +37,11 @@ def audit_references(child: DataFrame, parent: DataFrame, key: str, parent_key:
     return used.join(known, key, "left_anti")
 
 
+def _text(column: str) -> Column:
+    """A value as plain text, whatever its collation."""
+    return F.collate(F.col(column).cast("string"), "UTF8_BINARY")
+
+
 def audit_tables(tables: dict[str, DataFrame], keys: list[tuple[str, str]],
                  references: list[tuple[str, str, str]]) -> DataFrame:
     """(rule, key, row_count) of every repeated key and every reference to nothing, over several tables.
@@ -44,7 +49,7 @@ def audit_tables(tables: dict[str, DataFrame], keys: list[tuple[str, str]],
     A NULL key is none, as in a database.
     """
     found = [audit_unique(tables[table].where(F.col(column).isNotNull()), column)
-             .select(F.lit(f"{table}.{column} repeated").alias("rule"), F.col(column).cast("string").alias("key"), "row_count")
+             .select(F.lit(f"{table}.{column} repeated").alias("rule"), _text(column).alias("key"), "row_count")
              for table, column in keys]
     found += [audit_references(tables[child], tables[parent], column)
               .select(F.lit(f"{child}.{column} not in {parent}").alias("rule"), F.col(column).cast("string").alias("key"), "row_count")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.functions.numbers import parse_float
-from staffmart.functions.text import strip
+from staffmart.functions.text import insensitive, strip
 from staffmart.operators.lookup import join_found
 from staffmart.operators.validate import (
     FORM, validate_assignments, validate_employees, validate_projects, validate_reviews)
@@ -77,17 +77,19 @@ def _refuse_taken(judged: DataFrame, stored: DataFrame | None, column: str, valu
              .agg(F.min("submission_id").alias("_first")))
     taken = F.col("_first") != F.col("submission_id")
     if stored is not None:
-        known = stored.select(F.col(column).alias("_value"), F.lit(True).alias("_stored")).distinct()
+        kind = judged.schema["_value"].dataType
+        known = stored.select(F.col(column).cast(kind).alias("_value"), F.lit(True).alias("_stored")).distinct()
         first = first.join(known, "_value", "left")
         taken = taken | F.col("_stored").isNotNull()
     return _refuse(join_found(judged, first, "_value"), taken, reason).drop("_value", "_first", "_stored")
 
 
 def intake_employees(intake: DataFrame, stored: DataFrame | None = None, as_of=None,
-                     rules: str = FORM, departments: DataFrame | None = None) -> Intake:
+                     rules: str = FORM, departments: DataFrame | None = None, collation: bool = False) -> Intake:
     """Onboarding rows: submission_id, form text columns, gender, department_id, hire_date.
 
-    With ``departments`` a row must name one of them.
+    With ``departments`` a row must name one of them. With ``collation`` emails are one if they differ in
+    case and accents only.
     """
     judged = validate_employees(once(intake), as_of, rules)
     if departments is not None:
@@ -95,7 +97,8 @@ def intake_employees(intake: DataFrame, stored: DataFrame | None = None, as_of=N
         judged = join_found(judged, known, "department_id")
         judged = _refuse(judged, F.col("_known").isNull(), "unknown department").drop("_known")
     judged = _refuse_known(judged, stored, "employee_id", "E")
-    judged = _refuse_taken(judged, stored, "email", strip(F.col("email")), "email already used")
+    email = strip(F.col("email"))
+    judged = _refuse_taken(judged, stored, "email", insensitive(email) if collation else email, "email already used")
     good = judged.where("reject_reason is null")
     accepted = good.select(
         _key("E").alias("employee_id"),

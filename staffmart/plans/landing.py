@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from staffmart.operators.audit import audit_check, audit_tables, rating_in_range, require_clean
 from staffmart.plans.intake import with_audit_times
-from staffmart.schemas import AUDIT_TIMES, FILES, OPERATIONAL, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES
+from staffmart.schemas import AUDIT_TIMES, FILES, OPERATIONAL, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES, collated
 from staffmart.sources.tables import read_csv, read_parquet, require_inputs, together, write_csv
 from staffmart.sources.versions import current_load, publish, read_pieces
 
@@ -31,20 +31,26 @@ def load_staging(spark: SparkSession, folder: str, root: str) -> dict[str, DataF
     return {name: read_parquet(spark, f"{published}/{name}", schema) for name, schema in FILES.items()}
 
 
-def audit_operational(tables: dict[str, DataFrame]) -> DataFrame:
-    """Repeated keys, references to nothing and ratings out of range, as (rule, key, row_count)."""
+def audit_operational(tables: dict[str, DataFrame], collation: bool = False) -> DataFrame:
+    """Repeated keys, references to nothing and ratings out of range, as (rule, key, row_count).
+
+    With ``collation`` unique names and emails are repeated if they differ in case and accents only.
+    """
+    if collation:
+        tables = {name: df.select(*[F.col(f.name).cast(f.dataType) for f in collated(name, df.schema)]) for name, df in tables.items()}
     ratings = audit_check(tables["reviews"], rating_in_range()).select(
         F.lit("reviews.rating out of range").alias("rule"), F.col("review_id").alias("key"), F.lit(1).cast("long").alias("row_count"))
     return audit_tables(tables, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES).unionByName(ratings)
 
 
-def load_operational(spark: SparkSession, staging: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+def load_operational(spark: SparkSession, staging: dict[str, DataFrame], root: str,
+                     collation: bool = False) -> dict[str, DataFrame]:
     """Replace the operational tables; employees get audit times.
 
     Staged rows that break a key, a reference or a check stop the load, and the tables stay as they are.
     """
     tables = {name: staging[name].select(*schema.names) for name, schema in OPERATIONAL.items()}
-    require_clean(audit_operational(tables))
+    require_clean(audit_operational(tables, collation))
     tables["employees"] = with_audit_times(tables["employees"])
     publish(tables, root)
     return open_operational(spark, root)

@@ -102,6 +102,17 @@ OPERATIONAL_KEYS = [
     ("departments", "department_id"), ("departments", "department_name"), ("employees", "employee_id"),
     ("employees", "email"), ("projects", "project_id"), ("assignments", "assignment_id"), ("reviews", "review_id"),
 ]
+# Unique text that is to be compared without case and accents, where a database does so, and how.
+INSENSITIVE = {("departments", "department_name"), ("employees", "email")}
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def collated(table: str, schema: T.StructType) -> T.StructType:
+    """The schema with collated strings for the columns of ``INSENSITIVE``: they group, join and compare that way."""
+    return T.StructType([T.StructField(f.name, T.StringType(COLLATION), f.nullable) if (table, f.name) in INSENSITIVE else f
+                         for f in schema])
+
+
 OPERATIONAL_REFERENCES = [
     ("employees", "department_id", "departments"), ("assignments", "employee_id", "employees"),
     ("assignments", "project_id", "projects"), ("reviews", "employee_id", "employees"),

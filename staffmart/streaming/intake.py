@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from staffmart.functions.text import strip
+from staffmart.functions.text import insensitive_key, strip
 from staffmart.plans.intake import Intake, once
 from staffmart.sources.key_index import BUCKET_ROWS, KeyIndex
 from staffmart.sources.tables import materialise, write_parquet
@@ -37,13 +37,18 @@ def _key(kind: str, value: Column) -> Column:
 
 
 def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: str, unique: Sequence[str] = (),
-                  bucket_rows: int = BUCKET_ROWS) -> StreamingQuery:
+                  insensitive: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> StreamingQuery:
     """Judge all files that are there, write ``root``/accepted and ``root``/quarantine, stop.
 
     A submission id that came in an earlier micro-batch adds nothing; of one that comes several times in a
     micro-batch the smallest row counts, and rows without one are all judged, as in a batch. ``judge`` gets the new submissions and the
     rows accepted before that share a value of a ``unique`` column with them (None without such columns).
+    Values of ``insensitive`` columns are stored and returned without case and accents.
     """
+    def value(column: str) -> Column:
+        bare = strip(F.col(column))
+        return insensitive_key(bare) if column in insensitive else bare
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         load = current_load(spark, root)
@@ -56,7 +61,7 @@ def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: s
         new = materialise(first.join(seen, "_key", "left_anti").select(*batch.columns), "batch")
         stored = None
         if unique:
-            asked = [new.select(_key(c, strip(F.col(c))).alias("key")) for c in unique]
+            asked = [new.select(_key(c, value(c)).alias("key")) for c in unique]
             found = index.find(_union(asked))
             stored = materialise(found.select(*[
                 F.when(F.col("key").startswith(f"{c}:"), F.substring(F.col("key"), F.lit(len(c) + 2), F.length("key"))).alias(c)
@@ -67,7 +72,7 @@ def intake_stream(submissions: DataFrame, root: str, judge: Judge, checkpoint: s
             write_parquet(rows, f"{root}/{name}/batch={batch_id}")
         accepted = spark.read.schema(result.accepted.schema).parquet(f"{root}/accepted/batch={batch_id}")
         keys = [new.select(_key("submission", F.col("submission_id")).alias("key"))]
-        keys += [accepted.select(_key(c, F.col(c)).alias("key")) for c in unique]
+        keys += [accepted.select(_key(c, value(c)).alias("key")) for c in unique]
         pieces, notes = index.with_rows(materialise(_union(keys).where("key is not null"), "keys"))
         done = enter(spark, root, new_folder(root), pieces, {**notes, "batch": batch_id}, after=load.version if load else 0)
         drop_entry(spark, root, done - KEPT_ENTRIES)

@@ -39,7 +39,7 @@ class Stream:
     def run(self):
         schema = self.spark.createDataFrame([], self.schema).schema
         stream = file_stream(self.spark, self.source, schema, files_per_batch=1)
-        intake_stream(stream, self.root, self.judge, self.checkpoint, self.unique, self.bucket_rows).awaitTermination()
+        intake_stream(stream, self.root, self.judge, self.checkpoint, self.unique, self.unique, self.bucket_rows).awaitTermination()
 
     def got(self):
         return [self.spark.read.parquet(f"{self.root}/{name}").drop("batch") for name in ("accepted", "quarantine")]
