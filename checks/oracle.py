@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from staffmart.functions.numbers import between_sql, draw_sql, normal_sql
 from staffmart.operators.validate import EMAIL, NAME
 from staffmart.plans.synth_values import (
@@ -836,10 +838,25 @@ BODIES["dq_star"] = "SELECT rule, count(*) AS keys, CAST(sum(row_count) AS BIGIN
      "dim_employee": "base_dim_employee", "fact": "dim_fact"}) + ") GROUP BY rule"
 
 
+def after_refresh(sql: str) -> str:
+    """A report on the tables after a refresh of the earlier state."""
+    for table, now in (("dim_fact", "merged"), ("dim_employee", "next_employee"), ("dim_department", "next_department"),
+                       ("dim_project", "next_project"), ("dim_date", "next_date"), ("named_scores", "next_named_scores"),
+                       ("keyed_scores", "next_keyed_scores")):
+        sql = re.sub(rf"\b{table}\b", now, sql)
+    return sql
+
+
+for _name in ("named_scores", "keyed_scores"):
+    CTES[f"next_{_name}"] = after_refresh(CTES[_name])
+for _name in ("kpis", "yearly_trend", "top_employees", "top_employees_by_sk", "project_bottlenecks", "project_bottlenecks_by_id",
+              "department_performance"):
+    BODIES[f"kept_{_name}"] = after_refresh(BODIES[_name])
+BODIES["published_facts"] = f"SELECT {FACT} FROM merged"
+
+
 def all_sql() -> dict[str, str]:
     """Each query with the table expressions it needs, directly or through others."""
-    import re
-
     names = list(CTES)
     uses = {name: set(re.findall(r"\w+", sql)) & set(names) - {name} for name, sql in CTES.items()}
 

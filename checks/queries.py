@@ -195,6 +195,24 @@ def attrition_top15(spark, sf):
     return reports.attrition_top(stores.warehouse(spark, sf), AS_OF, 15)
 
 
+def published_facts(spark, sf):
+    """The facts as a reader finds them after a refresh that wrote the touched years only."""
+    return stores.kept_warehouse(spark, sf).fact
+
+
+def _kept(report):
+    """A report answered from sums kept by year, after a refresh."""
+    def query(spark, sf):
+        return report(stores.kept_warehouse(spark, sf))
+    query.__name__ = f"kept_{report.__name__}"
+    return query
+
+
+KEPT = [_kept(report) for report in (
+    reports.kpis, reports.yearly_trend, reports.top_employees, reports.top_employees_by_sk, reports.project_bottlenecks,
+    reports.project_bottlenecks_by_id, reports.department_performance)]
+
+
 def scalar_functions(spark, sf):
     o, d, price = F.col("o_orderkey"), F.col("o_orderdate").cast("date"), F.col("o_totalprice")
     raw = F.when(o % 4 == 0, "abc").when(o % 4 == 1, " 18.9 ").when(o % 4 == 2, "-7").otherwise("1e3")
@@ -513,6 +531,7 @@ QUERIES = [
     intake_reviews, synth_seed, synth_employees, synth_projects, synth_assignments, synth_reviews,
     synth_history, review_date_guardrail, intake_stream, intake_stream_projects, intake_stream_assignments,
     intake_stream_reviews, change_stream, change_stream_rejects, append_findings, append_rows, intake_employees_insensitive,
+    published_facts, *KEPT,
 ]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks import mapping
 from staffmart.plans import landing
-from staffmart.plans.warehouse import Warehouse, rebuild
+from staffmart.plans.warehouse import Warehouse, open_warehouse, publish_refresh, rebuild, refresh
 from staffmart.sources.tables import work_path
 
 CURRENT_START = "1998-01-01"
@@ -53,3 +53,13 @@ def base_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """Warehouse of the earlier state, for upserts and refreshes."""
     return _once(spark, sf_dir, "base", lambda: rebuild(
         spark, mapping.base_tables(spark, sf_dir), work_path(spark, "base"), CURRENT_START))
+
+
+def kept_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The earlier state with its sums kept by year, brought up to date by a refresh that is published."""
+    def build():
+        root = work_path(spark, "kept")
+        base = rebuild(spark, mapping.base_tables(spark, sf_dir), root, CURRENT_START, keep_sums=True)
+        publish_refresh(refresh(mapping.tables(spark, sf_dir), base), root)
+        return open_warehouse(spark, root)
+    return _once(spark, sf_dir, "kept", build)

@@ -118,3 +118,31 @@ def with_tile(df: DataFrame, name: str, tiles: int, order: list[Column | str]) -
     chunks = sorted_chunks(df, order, name)
     placed = number_chunks(chunks, "_position")
     return placed.withColumn(name, tile_of(F.col("_position"), chunks.count(), tiles)).select(*df.columns, name)
+
+
+def with_tile_of_levels(df: DataFrame, name: str, tiles: int, level: str, key: str) -> DataFrame:
+    """NTILE over the whole table by a falling ``level`` that has few different values, ties by ``key``.
+
+    ``df`` should be a written table; it is read three times. Rows are counted per level, and the places of a level follow from the
+    counts above it. Only rows of a level that a border between tiles runs through (fewer than there are tiles) are sorted, by key. The
+    counts are one row per level, go through one task, and are broadcast: use this where levels are bounded by their kind, such as
+    scores of two decimals.
+    """
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc(level))
+    counts = materialise(df.groupBy(level).agg(F.count(F.lit(1)).alias("_n")), "levels")
+    rows = counts.agg(F.sum("_n").alias("n")).first().n or 0
+    before = F.coalesce(F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = counts.select(level, "_n", before.alias("_before")).select(
+        level, "_before", "_n", tile_of(F.col("_before") + 1, rows, tiles).alias("_first"),
+        tile_of(F.col("_before") + F.col("_n"), rows, tiles).alias("_last"))
+    split = F.when(F.col("_first") != F.col("_last"), F.col("_n")).otherwise(0)
+    sorted_before = F.coalesce(F.sum(split).over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = materialise(levels.withColumn("_sorted_before", sorted_before), "levels")
+    clear = levels.where("_first = _last").select(level, F.col("_first").alias(name))
+    whole = df.join(F.broadcast(clear), level).select(*df.columns, name)
+    cut = levels.where("_first <> _last").select(level, (F.col("_before") - F.col("_sorted_before")).alias("_shift"))
+    if cut.isEmpty():
+        return whole
+    tied = with_position(df.join(F.broadcast(cut), level), "_position", [F.desc(level), key])
+    tied = tied.withColumn(name, tile_of(F.col("_position") + F.col("_shift"), rows, tiles))
+    return whole.unionByName(tied.select(*df.columns, name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from staffmart.operators.merge import next_key
 from staffmart.operators.ordering import with_position
 from staffmart.operators.point_in_time import validity_segments
-from staffmart.sources.tables import materialise
+from staffmart.sources.tables import materialise_counted
 
 MEASURES = ["employee_sk", "project_sk", "department_sk", "date_sk", "rating", "review_score",
             "review_count"]
@@ -64,12 +64,21 @@ class DuplicateKeys(ValueError):
     """Rows share a key that must be unique."""
 
 
+ACTIONS = ("inserted", "updated", "unchanged")
+
+
 def merge_fact(fact: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``merge_counted`` without its counts."""
+    return merge_counted(fact, resolved)[0]
+
+
+def merge_counted(fact: DataFrame, resolved: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """Fact table after an upsert by review_id, with ``action`` and ``old_year`` per row; a written table.
 
     Stored reviews keep review_sk and take the new measures, so they point to the version
     valid now. Reviews stored but not given stay unchanged. New ones are numbered on. One full outer
     join does it; given rows are counted by review_id on the way, and a review given twice stops the merge.
+    The rows per action are counted as the joined rows are written.
     """
     values = [*MEASURES, "year_num"]
     given = matched(resolved).groupBy("review_id").agg(
@@ -82,13 +91,14 @@ def merge_fact(fact: DataFrame, resolved: DataFrame) -> DataFrame:
     joined = fact.select(*FACT_COLUMNS).join(given, "review_id", "full_outer").select(
         "review_sk", "review_id", *[F.when(F.col("_copies").isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in values],
         action.alias("action"), F.when(F.col("review_sk").isNotNull(), F.col("year_num")).alias("old_year"), "_copies")
-    joined = materialise(joined, "merged")
-    repeated = [r.review_id for r in joined.where("_copies > 1").select("review_id").limit(20).collect()]
-    if repeated:
+    joined, counts = materialise_counted(joined, "merged", repeated=F.count_if(F.col("_copies") > 1), **{
+        name: F.count_if(F.col("action") == name) for name in ACTIONS})
+    if counts.pop("repeated"):
+        repeated = [r.review_id for r in joined.where("_copies > 1").select("review_id").limit(20).collect()]
         raise DuplicateKeys("duplicate values of review_id: " + ", ".join(sorted(map(str, repeated))))
     added = with_position(joined.where("action = 'inserted'").drop("review_sk", "_copies"), "review_sk",
                           ["date_sk", "review_id"], next_key(fact, "review_sk"))
-    return joined.where("action <> 'inserted'").drop("_copies").unionByName(added)
+    return joined.where("action <> 'inserted'").drop("_copies").unionByName(added), counts
 
 
 def load_reviews(fact: DataFrame, reviews: DataFrame, review_ids: DataFrame, dim_employee: DataFrame,

@@ -2,7 +2,7 @@
 
 A row's key is the prefix of its table, a dash and its submission id, so two submissions never
 share a key, a repeated job gives the same one, and it differs from the keys of loaded rows, which have no
-dash. Keys fit 20 characters for submission ids of up to 18 digits.
+dash. Ids of more than 18 digits are refused: their keys would not fit 20 characters.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from staffmart.operators.validate import (
 from staffmart.schemas import ASSIGNMENTS, EMPLOYEES, MONEY, PROJECTS, REVIEWS
 
 DEFAULT_STATUS = "Active"  # fixed value
+ID_DIGITS = 18
 
 
 @dataclass
@@ -58,6 +59,7 @@ def _refuse(judged: DataFrame, wrong: Column, reason: str) -> DataFrame:
 def _refuse_known(judged: DataFrame, stored: DataFrame | None, column: str, prefix: str) -> DataFrame:
     """Refuse rows without a submission id and those whose key is stored already."""
     judged = _refuse(judged, F.col("submission_id").isNull(), "submission id required")
+    judged = _refuse(judged, F.length(F.col("submission_id").cast("string")) > ID_DIGITS, "submission id too long")
     if stored is None or column not in stored.columns:
         return judged
     known = stored.select(F.col(column).alias("_key"), F.lit(True).alias("_taken")).distinct()

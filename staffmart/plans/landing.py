@@ -9,25 +9,42 @@ from pyspark.sql import types as T
 from staffmart.operators.audit import audit_check, audit_tables, rating_in_range, require_clean
 from staffmart.plans.intake import with_audit_times
 from staffmart.schemas import AUDIT_TIMES, FILES, OPERATIONAL, OPERATIONAL_KEYS, OPERATIONAL_REFERENCES, collated
-from staffmart.sources.tables import read_csv, read_parquet, require_inputs, together, write_csv
+from staffmart.sources.tables import exists, read_csv, read_parquet, require_inputs, together, write_csv
 from staffmart.sources.versions import current_load, publish, read_pieces
 
 
+_LINES = "line_breaks"
+
+
 def write_files(tables: dict[str, DataFrame], folder: str) -> None:
-    """The six CSV files (each a folder of part files)."""
+    """The six CSV files (each a folder of part files), and a note of the rows with line breaks in each."""
     spark = next(iter(tables.values())).sparkSession
-    together(spark, {name: lambda name=name, schema=schema: write_csv(
+    broken = together(spark, {name: lambda name=name, schema=schema: write_csv(
         tables[name].select(*schema.names), f"{folder}/{name}.csv") for name, schema in FILES.items()})
+    note = spark.createDataFrame(list(broken.items()), "file string, broken long")
+    note.coalesce(1).write.mode("overwrite").json(f"{folder}/{_LINES}")
+
 
+def read_files(spark: SparkSession, folder: str, multi_line: bool | None = None) -> dict[str, DataFrame]:
+    """The six files. One without line breaks inside values is read in splits, many tasks to a file.
 
-def read_files(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    That is known from the note of ``write_files``, or from the caller by ``multi_line=False``; if nobody knows, a file is
+    one task.
+    """
     require_inputs(spark, [f"{folder}/{name}.csv" for name in FILES])
-    return {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in FILES.items()}
+    broken: dict[str, int] = {}
+    if multi_line is None and exists(spark, f"{folder}/{_LINES}"):
+        broken = {r.file: r.broken for r in spark.read.schema("file string, broken long").json(f"{folder}/{_LINES}").collect()}
+
+    def lines(name: str) -> bool:
+        return broken.get(name, 1) > 0 if multi_line is None else multi_line
+
+    return {name: read_csv(spark, f"{folder}/{name}.csv", schema, multi_line=lines(name)) for name, schema in FILES.items()}
 
 
-def load_staging(spark: SparkSession, folder: str, root: str) -> dict[str, DataFrame]:
-    """Replace the staging tables with what the files hold."""
-    published = publish(read_files(spark, folder), root)
+def load_staging(spark: SparkSession, folder: str, root: str, multi_line: bool | None = None) -> dict[str, DataFrame]:
+    """Replace the staging tables with what the files hold; ``multi_line`` as in ``read_files``."""
+    published = publish(read_files(spark, folder, multi_line), root)
     return {name: read_parquet(spark, f"{published}/{name}", schema) for name, schema in FILES.items()}
 
 

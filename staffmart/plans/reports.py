@@ -1,7 +1,8 @@
 """Reports on the operational tables and on the star schema.
 
 Measures are summed by surrogate key before any join, so a project, department or employee
-with a third of all reviews is reduced on the map side and the joins see one row per key.
+with a third of all reviews is reduced on the map side and the joins see one row per key. A warehouse that keeps its
+sums by year (``staffmart.plans.sums``) answers from them and does not read its facts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from staffmart.functions.dates import as_of_date, completed_years
 from staffmart.functions.text import full_name
-from staffmart.operators.ordering import rows_in_tiles, tile_of, with_tile
+from staffmart.operators.ordering import rows_in_tiles, tile_of, with_tile_of_levels
+from staffmart.plans.sums import people_per_project
 from staffmart.plans.warehouse import Warehouse
 from staffmart.sources.tables import materialise
 
@@ -33,6 +35,15 @@ def _partial_sums(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("review_score").alias("_total"), F.count(F.lit(1)).alias("_n"))
 
 
+def _by_department(w: Warehouse) -> DataFrame:
+    return _partial_sums(w.fact, "department_sk") if w.sums is None else _again(w.sums.by_department, "department_sk")
+
+
+def _by_employee(w: Warehouse) -> DataFrame:
+    keys = ["employee_sk", "department_sk"]
+    return _partial_sums(w.fact, *keys) if w.sums is None else _again(w.sums.by_employee, *keys)
+
+
 def _again(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("_total").alias("_total"), F.sum("_n").alias("_n"))
 
@@ -80,6 +91,13 @@ def project_list(projects: DataFrame) -> DataFrame:
 
 def kpis(w: Warehouse) -> DataFrame:
     """One row: employees with a current version, reviews, mean and total score."""
+    if w.sums is not None:
+        return w.fact.sparkSession.sql("""
+            SELECT (SELECT count(DISTINCT employee_id) FROM {versions} WHERE is_current) AS employees,
+                   coalesce(sum(_n), 0) AS reviews,
+                   round(cast(cast(sum(_total) AS decimal(20,2)) / cast(sum(_n) AS decimal(12,0)) AS decimal(10,6)), 2) AS avg_score,
+                   round(sum(_total), 2) AS total_score
+            FROM {sums}""", versions=w.dim_employee, sums=w.sums.by_department)
     return w.fact.sparkSession.sql("""
         SELECT (SELECT count(DISTINCT employee_id) FROM {versions} WHERE is_current) AS employees,
                count(*) AS reviews,
@@ -89,8 +107,10 @@ def kpis(w: Warehouse) -> DataFrame:
 
 
 def yearly_trend(w: Warehouse) -> DataFrame:
-    by_day = _partial_sums(w.fact, "date_sk")
-    by_year = _again(by_day.join(w.dim_date, "date_sk"), "year_num")
+    if w.sums is not None:
+        by_year = _again(w.sums.by_department, "year_num")
+    else:
+        by_year = _again(_partial_sums(w.fact, "date_sk").join(w.dim_date, "date_sk"), "year_num")
     return by_year.select(F.col("year_num").alias("year"), _mean2().alias("avg_score")).orderBy("year")
 
 
@@ -112,7 +132,7 @@ def top_employees(w: Warehouse, k: int = 3) -> DataFrame:
     person = w.dim_employee.select("employee_sk", "employee_id", "first_name", "last_name")
     names = w.dim_department.select("department_sk", "department_name")
     scores = _again(
-        _partial_sums(w.fact, "employee_sk", "department_sk")
+        _by_employee(w)
         .join(person, "employee_sk").join(names, "department_sk"),
         "department_name", "employee_id", "first_name", "last_name")
     scores = scores.select("department_name", "employee_id", _name(), _mean().alias("avg_score"))
@@ -127,7 +147,7 @@ def top_employees_by_sk(w: Warehouse, k: int = 3) -> DataFrame:
                                    "employee_id", "first_name", "last_name")
     names = w.dim_department.select("department_sk", "department_name")
     scores = _again(
-        _partial_sums(w.fact, "employee_sk", "department_sk")
+        _by_employee(w)
         .join(person, "employee_sk").join(names, "department_sk"),
         "version_department_sk", "department_name", "employee_id", "first_name", "last_name")
     scores = scores.select(F.col("version_department_sk").alias("department_sk"), "department_name",
@@ -140,6 +160,13 @@ def top_employees_by_sk(w: Warehouse, k: int = 3) -> DataFrame:
 
 def project_bottlenecks(w: Warehouse, by: str = "employee_sk") -> DataFrame:
     """Workload per project name. ``by="employee_id"`` counts people instead of versions."""
+    if w.sums is not None and by == "employee_sk":
+        names = w.dim_project.select("project_sk", "project_name")
+        people = people_per_project(w.sums.people_by_project.join(names, "project_sk"), "project_name")
+        sums = _again(w.sums.by_project.join(names, "project_sk"), "project_name")
+        return (sums.join(people, "project_name")
+                .select("project_name", F.col("people").alias("employee_count"), F.col("_n").alias("review_count"), _mean2().alias("avg_score"))
+                .orderBy(F.desc("employee_count"), F.desc("review_count"), "project_name"))
     pairs = _partial_sums(w.fact, "project_sk", "employee_sk")
     if by != "employee_sk":
         pairs = pairs.join(w.dim_employee.select("employee_sk", by), "employee_sk")
@@ -156,9 +183,13 @@ def project_bottlenecks(w: Warehouse, by: str = "employee_sk") -> DataFrame:
 
 
 def project_bottlenecks_by_id(w: Warehouse) -> DataFrame:
-    by_key = (w.fact.groupBy("project_sk")
-              .agg(F.countDistinct("employee_sk").alias("employees_reviewed"),
-                   F.sum("review_score").alias("_total"), F.count(F.lit(1)).alias("_n")))
+    if w.sums is not None:
+        people = people_per_project(w.sums.people_by_project, "project_sk")
+        by_key = _again(w.sums.by_project, "project_sk").join(people, "project_sk").withColumnRenamed("people", "employees_reviewed")
+    else:
+        by_key = (w.fact.groupBy("project_sk")
+                  .agg(F.countDistinct("employee_sk").alias("employees_reviewed"),
+                       F.sum("review_score").alias("_total"), F.count(F.lit(1)).alias("_n")))
     return (by_key.join(w.dim_project.select("project_sk", "project_id", "project_name"), "project_sk")
             .select("project_id", "project_name", "employees_reviewed",
                     F.col("_n").alias("review_count"), _mean2().alias("avg_score"))
@@ -167,7 +198,7 @@ def project_bottlenecks_by_id(w: Warehouse) -> DataFrame:
 
 def department_performance(w: Warehouse) -> DataFrame:
     names = w.dim_department.select("department_sk", "department_name")
-    by_name = _again(_partial_sums(w.fact, "department_sk").join(names, "department_sk"), "department_name")
+    by_name = _again(_by_department(w).join(names, "department_sk"), "department_name")
     return (by_name.select("department_name", F.col("_n").alias("review_count"),
                            _mean2().alias("avg_score"))
             .orderBy(F.desc("avg_score"), "department_name"))
@@ -175,7 +206,10 @@ def department_performance(w: Warehouse) -> DataFrame:
 
 def risk_scores(w: Warehouse, as_of=None) -> DataFrame:
     """Rule-based score per current version; reviews of earlier versions do not count."""
-    means = w.fact.groupBy("employee_sk").agg(F.avg("review_score").alias("avg_score"))
+    if w.sums is not None:
+        means = _again(w.sums.by_employee, "employee_sk").select("employee_sk", _mean().alias("avg_score"))
+    else:
+        means = w.fact.groupBy("employee_sk").agg(F.avg("review_score").alias("avg_score"))
     people = w.dim_employee.where("is_current").select(
         "employee_sk", "employee_id", _name(), "salary",
         completed_years(F.col("hire_date"), as_of_date(as_of)).alias("years_at_company"))
@@ -204,7 +238,8 @@ def _listed(scores: DataFrame, tile: str) -> DataFrame:
 
 def attrition_risk(w: Warehouse, as_of=None) -> DataFrame:
     """Risk level by rank among all current employees: 20 % high, 55 % medium, 25 % low."""
-    tiled = with_tile(risk_scores(w, as_of), "risk_group", RISK_TILES, [F.desc("risk_score"), "employee_id"])
+    # Scores from 0 to 100 with two decimals: ten thousand levels at most, whatever the number of employees.
+    tiled = with_tile_of_levels(materialise(risk_scores(w, as_of), "risk"), "risk_group", RISK_TILES, "risk_score", "employee_id")
     return _listed(tiled, "risk_group").orderBy(F.desc("risk_score"), "employee_name", "employee_id")
 
 

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,12 +76,20 @@ def bad_csv_rows(spark: SparkSession, path: str, schema: T.StructType, multi_lin
     return rows.where(F.col(_BAD).isNotNull()).select(*schema.names, F.col(_BAD).alias("reason"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; text keeps its outer spaces, quotes and line breaks."""
-    (df.write.mode("overwrite")
-     .options(header=True, dateFormat="yyyy-MM-dd", quote='"', escape='"',
-              ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-     .csv(path))
+def write_csv(df: DataFrame, path: str) -> int:
+    """CSV with a header; text keeps its outer spaces, quotes and line breaks.
+
+    Returns the number of rows with a line break in a value: without any, the file may be read with ``multi_line=False``.
+    """
+    texts = [F.col(f.name).rlike(r"[\r\n]") for f in df.schema if isinstance(f.dataType, T.StringType)]
+    broken = F.lit(False)
+    for text in texts:
+        broken = broken | F.coalesce(text, F.lit(False))
+    return written_counts(df, lambda rows: (
+        rows.write.mode("overwrite")
+        .options(header=True, dateFormat="yyyy-MM-dd", quote='"', escape='"',
+                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .csv(path)), broken=F.count_if(broken))["broken"]
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -156,6 +164,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def written_counts(df: DataFrame, write: Callable[[DataFrame], object], **counts: Column) -> dict[str, int]:
+    """Write ``df`` by ``write`` and return what was counted on the rows as they went by.
+
+    ``df`` should not be the input of a range partitioning in the same job, whose sampling would see rows twice.
+    """
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    return {name: int(n or 0) for name, n in seen.get.items()}
+
+
 def clear_work(spark: SparkSession) -> None:
     """Remove all work tables of this application; frames that read them are of no use afterwards."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
@@ -168,7 +186,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, so a lost executor cannot bring back a different row order or
     partition number, and later passes read only the columns they need.
     """
+    return materialise_counted(df, label)[0]
+
+
+def materialise_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As ``materialise``, with counts taken while the rows were written."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if counts:
+        found = written_counts(df, lambda rows: rows.write.parquet(path), **counts)
+    else:
+        df.write.parquet(path)
+        found = {}
+    return spark.read.schema(df.schema).parquet(path), found

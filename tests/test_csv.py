@@ -2,9 +2,11 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staffmart.schemas import REVIEWS
+from staffmart.plans.landing import read_files, write_files
+from staffmart.schemas import FILES, REVIEWS
 from staffmart.sources.tables import bad_csv_rows, read_csv, write_csv
 
 TEXT = "id int, words string"
@@ -60,3 +62,23 @@ def test_rows_can_be_counted(spark, tmp_path):
     path = written(tmp_path, "id,words\n1,good\nx,bad\n")
     assert read_csv(spark, path, text).count() == 2 and bad_csv_rows(spark, path, text).count() == 0
     assert read_csv(spark, path, SCHEMA, bad="skip").count() == 1 and bad_csv_rows(spark, path, SCHEMA).count() == 1
+
+
+def test_files_without_line_breaks_are_split(spark, make, tmp_path):
+    """The writer notes which files have line breaks; the others are read by many tasks."""
+    many = spark.range(40_000).select(F.format_string("A%d", "id").alias("assignment_id"), F.lit("E1").alias("employee_id"),
+                                      F.lit("P1").alias("project_id"), F.lit("x").alias("assignment_role"),
+                                      F.lit("2024-01-01").cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"))
+    tables = {name: spark.createDataFrame([], schema) for name, schema in FILES.items()}
+    tables |= {"assignments": many.coalesce(1), "reviews": make.reviews(dict(comments="two\nlines"), dict(comments="one"))}
+    write_files(tables, str(tmp_path / "files"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        files = read_files(spark, str(tmp_path / "files"))
+        assert files["assignments"].rdd.getNumPartitions() > 4
+        assert files["assignments"].count() == 40_000
+        assert sorted(r.comments for r in files["reviews"].collect()) == ["one", "two\nlines"]
+        assert read_files(spark, str(tmp_path / "files"), multi_line=True)["assignments"].rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -6,7 +6,7 @@ import pytest
 from conftest import day
 from pyspark.sql import functions as F
 
-from staffmart.operators.point_in_time import validity_segments, version_counts, versions_on
+from staffmart.operators.point_in_time import _in_cells, validity_segments, version_counts, versions_on
 from staffmart.plans.dimensions import build_dim_date, build_dim_department, build_dim_project
 from staffmart.plans.facts import (
     FACT_COLUMNS, DuplicateKeys, build_fact, load_reviews, matched, merge_fact, resolve_reviews, unmatched)
@@ -75,6 +75,51 @@ def test_segments_equal_brute_force_on_overlapping_versions(spark, make, seed):
     assert both.count() == 0
 
 
+def brute_force(spans):
+    """(employee, day number) to the valid version, for rows of (employee_id, start, end, key) with days as numbers."""
+    want = {}
+    for employee, start, end, key in spans:
+        for d in range(start, min(end, 20_300) + 1):
+            want[employee, d] = max(want.get((employee, d), (0, 0)), (start, key))
+    return {k: v[1] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("seed,cell_days", [(0, 1), (1, 3), (2, 7), (3, 16), (4, 500)])
+def test_versions_dealt_to_cells_equal_brute_force(spark, seed, cell_days):
+    rnd, spans = random.Random(seed), set()
+    for key in range(1, 150):
+        start = 20_000 + int(rnd.random() ** 2 * 200)
+        end = rnd.choice([start, start + rnd.randint(0, 5), start + rnd.randint(0, 250), 2_932_896])  # the last one: open end
+        spans.add((rnd.choice(["E1", "E1", "E2"]), start, end, key))
+    df = spark.createDataFrame(sorted(spans), "employee_id string, s int, e int, employee_sk long").select(
+        "employee_id", F.date_from_unix_date("s").alias("start_date"), F.date_from_unix_date("e").alias("end_date"), "employee_sk",
+        (F.col("employee_sk") % 7).alias("department_sk"))
+    segments = validity_segments(df, most_versions=10, cell_days=cell_days)
+    got, last = {}, {}
+    for r in segments.select("employee_id", F.unix_date("first_day").alias("a"), F.unix_date("last_day").alias("b"), "employee_sk",
+                             "department_sk").collect():
+        assert r.department_sk == r.employee_sk % 7
+        last[r.employee_id] = max(last.get(r.employee_id, 0), r.b)
+        for d in range(r.a, min(r.b, 20_300) + 1):
+            assert got.setdefault((r.employee_id, d), r.employee_sk) == r.employee_sk
+    assert got == brute_force(spans)
+    assert set(last.values()) == {2_932_896}
+
+
+def test_one_employees_cells_are_in_many_tasks(spark):
+    df = spark.range(3000).select(
+        F.lit("E1").alias("employee_id"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("start_date"),
+        F.date_add(F.lit("2003-01-01").cast("date"), (F.col("id") % 77).cast("int")).alias("end_date"), F.col("id").alias("employee_sk"),
+        F.lit(1).cast("long").alias("department_sk"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = _in_cells(df, 30).repartition("employee_id", "cell").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = sum(r["count"] for r in rows)
+    assert len(rows) > 4 and max(r["count"] for r in rows) < total / 2 and total < 3000 * 3
+
+
 def test_hot_employee(spark, make):
     """One employee has most reviews and a version per day; nothing is lost."""
     versions = make.versions(*[

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from staffmart.operators.ordering import (
-    closed_up, number_chunks, sorted_chunks, with_next, with_position, with_previous, with_tile)
+    closed_up, number_chunks, sorted_chunks, with_next, with_position, with_previous, with_tile, with_tile_of_levels)
 
 
 def skewed(spark, n=4000):
@@ -81,3 +82,23 @@ def test_tiles_equal_ntile(spark, n):
     df.createOrReplaceTempView("tiles")
     theirs = spark.sql("SELECT score, id, ntile(20) OVER (ORDER BY score DESC, id) AS t FROM tiles").collect()
     assert sorted(map(tuple, ours)) == sorted(map(tuple, theirs))
+
+
+@pytest.mark.parametrize("levels", [1, 3, 60, 5000])
+@pytest.mark.parametrize("tiles", [1, 7, 20])
+def test_tiles_of_levels_equal_ntile(spark, levels, tiles):
+    rnd = random.Random(levels)
+    df = spark.createDataFrame([(i, rnd.randrange(levels) / 4) for i in rnd.sample(range(10**6), 700)], "id long, score double")
+    order = [F.desc("score"), "id"]
+    got = {r.id: r.tile for r in with_tile_of_levels(df, "tile", tiles, "score", "id").collect()}
+    assert got == {r.id: r.tile for r in df.select("id", F.ntile(tiles).over(Window.orderBy(*order)).alias("tile")).collect()}
+    assert with_tile_of_levels(df.limit(0), "tile", tiles, "score", "id").count() == 0
+
+
+def test_rows_off_the_borders_are_not_sorted(spark):
+    """With as many rows in each level as in a tile no border runs through a level, and nothing is range-partitioned."""
+    df = spark.range(200).select("id", (F.col("id") % 10).alias("score"))
+    tiled = with_tile_of_levels(df, "tile", 10, "score", "id")
+    assert {(r.score, r.tile) for r in tiled.collect()} == {(s, 10 - s) for s in range(10)}
+    plan = tiled._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "RepartitionByExpression" not in plan

@@ -1,5 +1,6 @@
 """Reports on small warehouses with known answers."""
 
+import dataclasses
 from decimal import Decimal
 
 import pytest
@@ -7,10 +8,12 @@ from conftest import day
 from pyspark.sql import functions as F
 
 from staffmart.functions.dates import completed_years
-from staffmart.plans import reports
+from staffmart.plans import reports, sums
 from staffmart.plans.dimensions import build_dim_date, build_dim_department, build_dim_project
 from staffmart.plans.facts import build_fact
-from staffmart.plans.warehouse import Warehouse
+from staffmart.plans.warehouse import Warehouse, open_warehouse, publish_refresh, rebuild, refresh
+from staffmart.schemas import EMPLOYEE_HISTORY
+from staffmart.sources.versions import current_load
 
 
 def project_rows(spark):
@@ -140,3 +143,38 @@ def test_operational_reports(spark, make):
     assert reports.employee_lookup(spark, employees, "x' OR '1'='1").count() == 0
     ids = spark.createDataFrame([("E1",), ("E1",), ("Q",)], "employee_id string")
     assert {tuple(r) for r in reports.employee_exists(ids, employees).collect()} == {("E1", True), ("Q", False)}
+
+
+def test_reports_from_kept_sums(spark, make, tmp_path):
+    """After refreshes that touch some years, the kept sums answer as the facts do, without reading them."""
+    base = {"departments": make.departments("A", "B"), "projects": project_rows(spark),
+            "employees": make.employees(*[dict(employee_id=f"E{k}", department_id=1 + k % 2, hire_date="2020-01-01") for k in range(9)]),
+            "employee_history": spark.createDataFrame([], EMPLOYEE_HISTORY)}
+    rows = [dict(employee_id=f"E{k % 9}", project_id=f"P{1 + k % 2}", review_date=f"{2021 + k % 4}-0{1 + k % 9}-01",
+                 review_score=str(50 + k % 47)) for k in range(60)]
+    root = str(tmp_path / "dw")
+    rebuild(spark, {**base, "reviews": make.reviews(*rows[:40])}, root, "2020-01-01", keep_sums=True)
+    before = current_load(spark, root)
+    moved = [dict(r, review_date="2021-02-02") if i == 3 else r for i, r in enumerate(rows[:41])]
+    for given in (moved, moved + rows[41:]):
+        publish_refresh(refresh({**base, "reviews": make.reviews(*given)}, open_warehouse(spark, root)), root)
+        now = open_warehouse(spark, root)
+        plain = dataclasses.replace(now, sums=None)
+        for report in (reports.kpis, reports.yearly_trend, reports.top_employees, reports.top_employees_by_sk, reports.project_bottlenecks,
+                       reports.project_bottlenecks_by_id, reports.department_performance,
+                       lambda w: reports.attrition_risk(w, "2025-01-01")):
+            assert [tuple(r) for r in report(now).collect()] == [tuple(r) for r in report(plain).collect()]
+            assert "review_id" not in report(now)._jdf.queryExecution().optimizedPlan().toString()
+            assert not any("/fact/" in f for f in report(now).inputFiles())
+        if given is moved:
+            # Review 41 is of 2021, and the moved one went from 2024 to 2021: 2022 and 2023 are shared.
+            shared = {p.part for p in current_load(spark, root).of("people_by_project") if p in before.pieces}
+            assert shared == {"2022", "2023"}
+
+
+def test_bitmaps_of_many_buckets(spark):
+    keys = [1, 2, 32_768, 32_769, 10**9, 10**9 + 1, 2]
+    fact = spark.createDataFrame([(2020 + i % 3, 1, k) for i, k in enumerate(keys * 3)], "year_num int, project_sk long, employee_sk long")
+    people = sums._people(fact)
+    assert people.count() > 3
+    assert [tuple(r) for r in sums.people_per_project(people, "project_sk").collect()] == [(1, 6)]
