@@ -9,14 +9,18 @@ window of 13 words with up to two substitutions, so nothing of that kind is miss
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, each sent once and
 met by all documents; a larger benchmark means more blocks, not larger ones.
 
-Words are lower-cased (A-Z) runs without white space and ASCII punctuation. Items with fewer
-words than a window and null or empty texts match nothing. Repeated documents or items give
+Words are lower-cased (A-Z) runs without white space and ASCII punctuation. An item with fewer words than a window
+counts where all of it lies in a text word for word; it is found by the same masks, which any eight equal words hit. One
+of four to seven words, too short for a mask, counts where it makes up a whole sentence, line or text, and one of up to three where
+it makes up a whole text: such words lie inside sentences of clean texts too often. They are looked up by all their words. Null and
+empty texts match nothing. Repeated documents or items give
 one row per document id and item id; a null id is a value like any other. Other columns of the
 inputs are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from itertools import repeat
@@ -33,6 +37,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))  # the looked-at places
 SPAN = 8
 BLOCK_WORDS = 2_000_000
 PART_WORDS = 4096  # longer items are cut into overlapping parts
+SENTENCE_WORDS = 4  # shorter items count as whole texts only
+_SENTENCE = re.compile(rb"[.!?\r\n]+")
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _RESULT = "item_id long, overlap_words long, item_words long, start_word long, end_word long"
 
@@ -47,7 +53,7 @@ def _item_parts(window: int):
             out = {"item_id": [], "item_words": [], "part": [], "words": []}
             for item, text in zip(values(batch, "item_id").to_pylist(), raw_texts(batch)):
                 own = words(text)
-                if len(own) < window:
+                if not own:
                     continue
                 for start in range(0, max(1, len(own) - window + 1), PART_WORDS):
                     out["item_id"].append(item)
@@ -80,6 +86,11 @@ class Index:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.item = [r["item_id"] for r in rows]
         self.item_words = [r["item_words"] for r in rows]
+        # Items too short for a mask, by their words.
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
+        for k, own in enumerate(split):
+            if self.item_words[k] < SPAN:
+                self.short.setdefault(tuple(own), []).append(k)
         size = np.array([len(s) for s in split], np.int64)
         self.end = np.cumsum(size)
         self.start = self.end - size
@@ -128,6 +139,20 @@ def _candidates(ids: np.ndarray, index: Index) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0)
 
 
+def short_matches(text: bytes, size: int, short: dict[tuple[bytes, ...], list[int]]) -> Iterator[tuple[int, int, int]]:
+    """(part, first word, words) of the short items that a text of ``size`` words consists of or holds as a sentence or line."""
+    if size < SPAN:
+        for part in short.get(tuple(words(text)), ()):
+            yield part, 0, size
+    at = 0
+    for sentence in _SENTENCE.split(text):
+        own = words(sentence)
+        if SENTENCE_WORDS <= len(own) < min(SPAN, size):
+            for part in short.get(tuple(own), ()):
+                yield part, at, len(own)
+        at += len(own)
+
+
 def _matches(send, window: int, substitutions: int, key: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(send.value)
@@ -151,19 +176,23 @@ def _matches(send, window: int, substitutions: int, key: str, kind: pa.DataType)
                 for d in range(first, min(last, len(split) - 1) + 1):
                     a = max(low + shift, int(begin[d]))
                     z = min(high + shift, int(end[d]) - SPAN)
-                    if z - a < window:
+                    span = min(window, index.item_words[part])
+                    if z - a < span:
                         continue
                     equal = ids[a:z] == index.ids[a - shift:z - shift]
                     sums = np.concatenate([[0], np.cumsum(equal)])
-                    good = np.flatnonzero(sums[window:] - sums[:-window] >= window - substitutions)
+                    good = np.flatnonzero(sums[span:] - sums[:-span] >= span - (substitutions if span == window else 0))
                     if not len(good):
                         continue
                     runs = np.split(good, np.flatnonzero(np.diff(good) > window) + 1)
                     run_ = max(runs, key=lambda g: g[-1] - g[0])
-                    length = int(run_[-1] - run_[0]) + window
+                    length = int(run_[-1] - run_[0]) + span
                     begun = a + int(run_[0]) - int(begin[d])
                     if length > best.get((d, part), (0, 0, 0))[0]:
                         best[d, part] = (length, begun, begun + length)
+            for d, text in enumerate(raw_texts(batch) if index.short else ()):
+                for part, first, length in short_matches(text, len(split[d]), index.short):
+                    best.setdefault((d, part), (length, first, first + length))
             out = {key: [], "item_id": [], "overlap_words": [], "item_words": [], "start_word": [], "end_word": []}
             for (d, part), (length, begun, done) in best.items():
                 for name, value in zip(out, (keys[d], index.item[part], length, index.item_words[part], begun, done)):
@@ -186,7 +215,7 @@ def _found(texts: DataFrame, benchmark: DataFrame, kind: pa.DataType, window: in
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS,
              block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and benchmark item that share a stretch of ``window`` words or more.
+    """One row per document and benchmark item that share a stretch of ``window`` words or more, or all of a shorter item.
 
     ``overlap_words`` is the length of the longest stretch, which lies at words
     ``start_word`` to ``end_word`` (exclusive) of the document.

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,41 @@ def test_long_items_are_cut_without_loss(spark, monkeypatch):
     assert found.count() == len(docs)
 
 
+def short_by_hand(docs, items):
+    """Every item of fewer words than a window against every text."""
+    found = set()
+    for (d, text), (i, item) in itertools.product(docs, items):
+        a, b = D.words((text or "").encode()), D.words((item or "").encode())
+        if D.SPAN <= len(b) < D.WINDOW:
+            hit = any(a[s:s + len(b)] == b for s in range(len(a) - len(b) + 1))
+        else:
+            parts = [D.words(p.encode()) for p in re.split("[.!?\r\n]", text or "")]
+            hit = 0 < len(b) < D.SPAN and (a == b or (len(b) >= D.SENTENCE_WORDS and b in parts))
+        if hit:
+            found.add((d, i))
+    return found
+
+
+@pytest.mark.parametrize("block_words", [10**6, 40])
+def test_items_shorter_than_a_window(spark, block_words):
+    rng = random.Random(3)
+    items = [(k, prose(500 + k, 1 + k % 12)) for k in range(48)] + [(90, "What, is THIS then?"), (91, ""), (92, "two words")]
+    docs = []
+    for k in range(150):
+        own, item = prose(1000 + k, rng.randint(0, 12)), items[k % 48][1]
+        docs.append((k + 1, rng.choice([item, f"{own} {item} {own}", f"{own}. {item}! {own}", f"{own}\n{item}\n{own}", f"{own}. {item} {own}.",
+                                        f"{own} {item[:-1]}", f"{item}.\n", own])))
+    docs += [(900, "So. what is this, then? Yes"), (901, "what is this then and there"), (902, "Two words."), (903, "Two words. More"), (904, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = D.overlaps(frame, spark.createDataFrame(items, BENCH), block_words=block_words).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == short_by_hand(docs, items)
+    assert len({r.item_words for r in rows}) == 12
+    texts = dict(docs)
+    for r in rows:
+        assert D.words(texts[r.doc_id].encode())[r.start_word:r.end_word] == D.words(dict(items)[r.item_id].encode())
+        assert r.overlap_words == r.item_words == r.end_word - r.start_word
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     long = docs.where("doc_id = 4").first().text.split()
