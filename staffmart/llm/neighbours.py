@@ -12,8 +12,8 @@ leaves in order of projected distance until the test holds. Queries first search
 cell, then every other cell whose box the test does not rule out.
 
 Distances are Euclidean, in double precision, on the original vectors; ties go to the smaller
-id. Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do those of
-another length than the commonest. Rows with an id of their own count once, at their smallest
+id. Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part. Those of
+different length are not compared: each length is searched on its own. Rows with an id of their own count once, at their smallest
 distance; rows without an id take no part. Other columns are not looked at.
 """
 
@@ -122,12 +122,12 @@ class Part:
         away = np.maximum(np.maximum(self.low - projected, projected - self.high), 0)
         away = (away * away).sum(1)
         best: dict[int, float] = {}
-        far = bound
+        far, slack = bound, rounding(projected)
         for leaf in np.argsort(away, kind="stable"):
-            if away[leaf] > limit * far * far:
+            if away[leaf] > limit * far * far + slack:
                 break
             own = self.leaves[leaf]
-            near = ((self.projected[own] - projected)**2).sum(1) <= limit * far * far
+            near = ((self.projected[own] - projected)**2).sum(1) <= limit * far * far + slack
             own = own[near & (self.ids[own] != query)]
             difference = self.vectors[own] - vector
             for d, i in zip(np.sqrt((difference * difference).sum(1)).tolist(), self.ids[own].tolist()):
@@ -140,6 +140,11 @@ class Part:
         return sorted((d, i) for i, d in best.items())[:k]
 
 
+def rounding(projected: np.ndarray) -> float:
+    """What equal vectors' squared projected distance may differ by, as products of batches round differently."""
+    return 1e-9 * (1 + float(projected @ projected))
+
+
 def usable(vector: str) -> Column:
     c = F.col(vector)
     whole = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
@@ -170,7 +175,7 @@ def _visits(send, limit: float):
                 y = np.array(values(row, "y")[0].as_py())
                 bound, home = values(row, "bound")[0].as_py(), values(row, "cell")[0].as_py()
                 away = np.maximum(np.maximum(low - y, y - high), 0)
-                go = np.flatnonzero(((away * away).sum(1) <= limit * bound * bound) & (cell != home))
+                go = np.flatnonzero(((away * away).sum(1) <= limit * bound * bound + rounding(y)) & (cell != home))
                 count = parts[go]
                 total = int(count.sum())
                 if not total:
@@ -215,15 +220,26 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, sure: float = SURE,
             sample_rows: int = SAMPLE_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` nearest rows for each row with ``asked``."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     given = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")
         if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>").alias("embedding"))
-    sizes = given.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    if sizes is None:
-        return empty
-    length, count = sizes["size"], sizes["n"]
-    given = given.where(F.size("embedding") == length)
+    sizes = given.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    out = None
+    for row in sizes:  # as many as there are different lengths
+        own = given.where(F.size("embedding") == row["size"])
+        found = _nearest(own, row["size"], row["n"], asked, k, sure, cell_rows, sample_rows, most_cells)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if len(sizes) > 1:  # an id may have vectors of several lengths
+        out = _first(out.select("query_id", "vec_id", "score"), k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest(given: DataFrame, length: int, count: int, asked: Column, k: int, sure: float, cell_rows: int, sample_rows: int,
+             most_cells: int) -> DataFrame:
+    """The nearest among vectors of one length."""
+    spark = given.sparkSession
     kind = dict(given.dtypes)["embedding"]
     schema = f"vec_id long, embedding {kind}, y array<double>, cell long"
     chosen = given.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).mapInArrow(_project(length, None), schema)
@@ -256,5 +272,4 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, sure: float = SURE,
     rest = queries.join(bounds, "vec_id", "left").select(
         "cell", "vec_id", "embedding", "y", F.coalesce("bound", F.lit(math.inf)).alias("bound"))
     visits = rest.mapInArrow(_visits(shape, limit), f"cell long, part long, vec_id long, embedding {kind}, y array<double>, bound double")
-    found = _first(search(visits).unionAll(first.select("query_id", "vec_id", "score")), k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _first(search(visits).unionAll(first.select("query_id", "vec_id", "score")), k)

@@ -59,15 +59,43 @@ def test_one_point_many_times_and_ties(spark):
 
 
 def test_rows_that_take_no_part(spark):
-    bad = [(100, None), (200, []), (300, [0.0, 0.0]), (400, [1.0, None]), (500, [math.nan, 1.0]), (600, [math.inf, 1.0]), (700, [1.0, 2.0, 3.0])]
+    bad = [(100, None), (200, []), (300, [0.0, 0.0]), (400, [1.0, None]), (500, [math.nan, 1.0]), (600, [math.inf, 1.0])]
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (None, [1.0, 0.5])]
     frame = spark.createDataFrame([(i, v, 0, "x", 2.0) for i, v in bad + rows], KIND + ", score string, cell double")
     found = sorted(N.nearest(frame, ASKED()).collect())
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(0, 1, 1, 1.0), (0, 2, 2, 2.0)]
-    assert N.nearest(frame.where("vec_id > 50 AND vec_id < 700"), ASKED()).count() == 0
+    assert N.nearest(frame.where("vec_id > 50"), ASKED()).count() == 0
     assert N.nearest(spark.createDataFrame([], KIND), ASKED()).count() == 0
 
 
+def test_every_length_is_searched_among_its_own(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(0, 130, 10)] + [(k + 1, [float(k), 1.0, 2.0]) for k in range(99, 400, 50)] + [(700, [5.0])]
+    found = N.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], KIND), ASKED(), k=3).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: r.rank):
+        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert by[0] == [(10, 10.0), (20, 20.0), (30, 30.0)]
+    # 100 has a vector of each length; the smallest distances of both count.
+    assert [s for _, s in by[100]] == [10.0, 10.0, 20.0] and by[200] == [(150, 50.0), (250, 50.0), (100, 100.0)]
+    assert set(by) == {0, 100, 200, 300, 400}
+
+
+def test_copies_in_other_batches_tie(spark):
+    """Equal vectors whose projections were worked out in batches of other sizes are found as ties."""
+    rng = np.random.default_rng(3)
+    point = rng.normal(size=64).tolist()
+    rows = [(k, point if k % 3 else rng.normal(size=64).tolist()) for k in range(1500)] + [(3000, point)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = N.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], KIND).repartition(5), ASKED(), cell_rows=100).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    copies = [k for k in range(1500) if k % 3]
+    for q in (3000, 100, 200):
+        assert sorted(r.vec_id for r in found if r.query_id == q) == [k for k in copies if k != q][:10]
+
+
 def test_chi_square_quantile():
     draws = (np.random.default_rng(1).normal(size=(200_000, N.DIMENSIONS))**2).sum(1)
     for share in (0.5, 0.9, 0.99):
