@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from staffmart.sources.tables import materialise
+
 BATCH_BYTES = 8 << 20  # text handled at once inside a task
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,6 +31,36 @@ def held_out(key: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def first_by_hash(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """The rows of each group with the ``most`` smallest hashes of ``key``; rows should have different keys.
+
+    Rows are counted by the first ten bits of the hash, then, in the one stretch of hashes where a group reaches ``most``, by
+    the next ten; only what shares all twenty is ranked. So no group meets in one task, however large it is.
+    """
+    def borders(counted: DataFrame, digit: str) -> DataFrame:
+        """Per group and digit: how many rows come before, and how many there are."""
+        so_far = Window.partitionBy(group).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counted.groupBy(group, digit, "__base").agg(F.count(F.lit(1)).alias("__n"))
+        return materialise(counts.withColumn("__before", F.col("__base") + F.coalesce(F.sum("__n").over(so_far), F.lit(0))), "borders")
+
+    def split(dealt: DataFrame, counts: DataFrame, digit: str) -> tuple[DataFrame, DataFrame]:
+        """Rows that stay, and rows at the border."""
+        whole = counts.where(F.col("__before") + F.col("__n") <= most).select(group, digit)
+        cut = counts.where((F.col("__before") < most) & (F.col("__before") + F.col("__n") > most)).select(
+            group, digit, F.col("__before").alias("__base"))
+        return dealt.join(F.broadcast(whole), [group, digit]), dealt.drop("__base").join(F.broadcast(cut), [group, digit])
+
+    bits = F.xxhash64(key)
+    dealt = rows.select("*", F.shiftrightunsigned(bits, 54).alias("__high"), F.shiftrightunsigned(bits, 44).bitwiseAND(F.lit(1023)).alias("__low"),
+                        F.lit(0).cast("long").alias("__base"))
+    dealt = materialise(dealt, "dealt")
+    first, rest = split(dealt, borders(dealt, "__high"), "__high")
+    second, tied = split(rest, borders(rest, "__low"), "__low")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(bits, key))
+    tied = tied.withColumn("__rank", F.col("__base") + rank).where(F.col("__rank") <= most)
+    return first.select(*rows.columns).unionByName(second.select(*rows.columns)).unionByName(tied.select(*rows.columns))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text",
            most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text; a longer text comes alone."""

@@ -4,7 +4,7 @@ The bytes of a text are cut into windows of ``WINDOW``. A gated recurrent layer
 window forwards, another backwards; both states together give every byte a distribution over
 the languages. A document's distribution is the mean over all its bytes. The network is
 trained in numpy by backpropagation through time, on the loss of every position, with a
-bounded sample: ``fit_docs`` documents of each language (chosen by a hash of the id) and
+bounded sample: ``fit_docs`` documents of each language (different ids, chosen by a hash) and
 ``fit_windows`` windows spread evenly over each. Every language of the learning rows is
 learned; if there are so many that the sample would exceed ``fit_total`` documents, they share
 those evenly, with one document each at least.
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staffmart.llm.common import pieces, raw_texts, values
+from staffmart.llm.common import first_by_hash, pieces, raw_texts, values
 
 WINDOW = 64
 HIDDEN = 8
@@ -209,12 +209,10 @@ def _has_letter(text: Column) -> Column:
 
 
 def _sample(usable: DataFrame, docs: int) -> DataFrame:
-    """The rows of at most ``docs`` ids a language."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (usable.select("doc_id", "lang")
-              .withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= docs)
-              .select(F.col("doc_id").alias("__id")).distinct())
-    return usable.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
+    """doc_id, lang and text of at most ``docs`` ids a language; an id counts once, with its smallest language and text there."""
+    ids = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = first_by_hash(ids, "lang", "doc_id", docs)
+    return usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(documents: DataFrame, learn: Column, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS,

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.llm.common import mix, odd_numbers, pieces, raw_texts, values
+from staffmart.llm.common import first_by_hash, mix, odd_numbers, pieces, raw_texts, values
+from staffmart.sources.tables import materialise
 
 BITS = 18
 FIT_ROWS, VECTOR_ROWS = 20_000, 3_000
@@ -145,16 +146,17 @@ def logistic(margin: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 def sample(documents: DataFrame, labels: DataFrame, column: str, learn: Column, rows: int) -> tuple[DataFrame, dict]:
-    """Sampled documents with ``label`` and ``place`` (1 first), at most ``rows``, and the rows of each class.
+    """Sampled documents with ``label``, at most ``rows`` of them, and the number of labelled ids of each class.
 
-    Only ids and labels are ranked; the chosen ids, at most ``rows``, go to the documents.
+    Only ids and labels are chosen from; the chosen ids, at most ``rows``, go to the documents. An id that several
+    documents share counts once, with the smallest of its texts.
     """
     known = labels.where(learn & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(column).cast("int").alias("label"))
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows // 2)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), count
+    chosen = first_by_hash(known, "label", "doc_id", rows // 2)
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return materialise(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample"), count
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, column: str = "quality", fit_rows: int = FIT_ROWS,
@@ -171,8 +173,9 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, column: str =
         totals[:, r["feature"]] += r["bad"], r["good"]
     totals /= totals.sum(1, keepdims=True)
     scale = np.log(totals[1] / totals[0])
-    vectors = rows.where(F.col("place") <= vector_rows).select("label", "place", "text").mapInArrow(
-        _vectors, "label int, place int, features array<int>").collect()
+    fewer = first_by_hash(rows.select("label", "doc_id"), "label", "doc_id", vector_rows).select("doc_id")
+    vectors = rows.join(F.broadcast(fewer), "doc_id").select("label", F.xxhash64("doc_id").alias("place"), "text").mapInArrow(
+        _vectors, "label int, place long, features array<int>").collect()
     vectors = sorted((r["place"], r["label"], r["features"]) for r in vectors)
     if not vectors:
         return flat

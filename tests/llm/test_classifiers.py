@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from staffmart.llm import quality as Q
 from staffmart.llm import toxicity as X
-from staffmart.llm.common import held_out
+from staffmart.llm.common import first_by_hash, held_out
 from tests.llm.helpers import awkward, documents, nothing, prose
 
 def HOLD():
@@ -94,6 +94,30 @@ def test_ordinal_thresholds_stay_in_order_and_fit_the_shares():
     assert np.allclose(p.sum(1), 1) and np.allclose(p.mean(0), np.bincount(grade) / n, atol=0.02)
 
 
+def test_one_id_very_often_changes_nothing(spark, given):
+    """The sample has each id once, so copies of one take no places from others."""
+    docs, labels = given
+    many = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(3000)).drop("id"))
+    sampled, count = Q.sample(many, labels.unionByName(labels), "quality", ~HOLD(), 40)
+    plain, _ = Q.sample(docs, labels, "quality", ~HOLD(), 40)
+    assert sorted(sampled.collect()) == sorted(plain.collect()) and plain.count() == 40
+    for run in (Q.classify, X.grade):
+        assert sorted(run(many, labels, HOLD()).distinct().collect()) == sorted(run(docs, labels, HOLD()).collect())
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 300, 10_000])
+def test_first_by_hash(spark, most):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("kind"), F.lit("x").alias("more"))
+    want = {}
+    for r in rows.select("kind", "doc_id", F.xxhash64("doc_id").alias("h")).collect():
+        want.setdefault(r.kind, []).append((r.h % 2**64, r.doc_id))  # the first bits count without a sign
+    got = {}
+    for r in first_by_hash(rows, "kind", "doc_id", most).collect():
+        got.setdefault(r.kind, []).append(r.doc_id)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(i for _, i in sorted(v)[:most]) for k, v in want.items() if most}
+    assert first_by_hash(rows, "kind", "doc_id", most).columns == rows.columns
+
+
 @pytest.mark.parametrize("run", [Q.classify, X.grade])
 def test_awkward_rows(spark, run):
     docs = awkward(spark)

@@ -106,3 +106,12 @@ def test_known_share_counts_letter_groups():
     known = np.zeros(1 << 24, bool)
     known[L.byte_groups(b"abc d")] = True
     assert [L.known_share(t, known) for t in (b"", b"ab", b"12345", b"ABC\nD", b"abcx", b"xyz")] == [1, 1, 1, 1, 0.5, 0]
+
+
+def test_one_id_very_often_is_one_document(spark):
+    rows = [(k, f"word{k} and more", ["en", "de"][k % 2]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(2000)).drop("id"))
+    few = sorted(L._sample(docs, 20).collect())
+    assert sorted(L._sample(many, 20).collect()) == few and len(few) == 40
+    assert len({r.doc_id for r in few}) == 40
