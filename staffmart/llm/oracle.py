@@ -138,4 +138,52 @@ ranked as (
 select lang, rank, phrase, a, cut.l as l, cut.r as r, n, cut.score::bigint as score from ranked join totals using (lang) where rank <= 2000
 """
 
-SQL = {"op11_urls": _URLS, "op12_phrases": _PHRASES, "op13_repair": _REPAIR}
+_TEXT_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_FOLDED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+# CRC-32 of an ASCII text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({}, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"""
+
+_CHAT = """
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256
+from turns group by conv_id
+"""
+
+_TOKENS = f"""
+with documents_in as (select row_number() over () as r, doc_id, {_CRC.format("doc_id::varchar")} % 7 = 2 as held_out,
+                             list_append({_TEXT_WORDS.format(_FOLDED)}, chr(10)) as w from documents),
+tokens as (select r, held_out, unnest(w) as token from documents_in),
+known as (select token, count(*) as c from tokens where not held_out group by token),
+model as (select coalesce(sum(c), 0)::bigint as n, count(*) as v from known)
+select any_value(d.doc_id) as doc_id, any_value(d.held_out) as held_out, count(*) as n_tokens, count(k.token) as n_known,
+       any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + 1.0 * (v + 1)))), 4) as base_score
+from tokens t join documents_in d using (r) left join known k on k.token = t.token, model group by r
+"""
+
+# All pairs of different shingle sets, and everything that can be reached over links.
+_NEAR = f"""
+with recursive
+worded as (select doc_id, {_TEXT_WORDS.format(_FOLDED)} as w from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+           else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) as s
+         from worded where len(w) > 0),
+keyed as (select doc_id, md5(array_to_string(s, chr(10))) as fp, s from sets),
+different as (select fp, any_value(s) as s, min(doc_id) as rep, count(*) as n_copies from keyed group by fp),
+places as (select fp, len(s) as size, unnest(s) as shingle from different),
+linked as (select a.fp as a, b.fp as b from places a join places b on a.shingle = b.shingle and a.fp <> b.fp
+           group by a.fp, b.fp, a.size, b.size having 10 * count(*) >= 8 * (a.size + b.size - count(*))),
+reached(a, b) as (select fp, fp from different union select r.a, l.b from reached r join linked l on l.a = r.b),
+classes as (select r.a as fp, min(d.rep) as class_id from reached r join different d on d.fp = r.b group by r.a),
+links as (select a as fp, count(*) as n_links from linked group by a)
+select w.doc_id, coalesce(c.class_id, w.doc_id) as class_id, coalesce(l.n_links, 0) as n_links, coalesce(d.n_copies, 1) as n_copies
+from documents w left join keyed k on k.doc_id = w.doc_id left join different d on d.fp = k.fp
+left join classes c on c.fp = k.fp left join links l on l.fp = k.fp
+"""
+
+SQL = {"chat_digests": _CHAT, "token_scores": _TOKENS, "op10_near": _NEAR, "op11_urls": _URLS, "op12_phrases": _PHRASES, "op13_repair": _REPAIR}

@@ -72,9 +72,19 @@ def op13_repair(spark, sf):
     return repair.report(repair.damage(turns), ids=turns)
 
 
+def chat_digests(spark, sf):
+    """What of op5 does not depend on the template."""
+    return op5_chat(spark, sf).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def token_scores(spark, sf):
+    """What of op6 does not depend on the byte model."""
+    return op6_ppm(spark, sf).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def llm_queries():
     return {q.__name__: q for q in (op1_quality, op2_pieces, op3_language, op4_pii, op5_chat, op6_ppm, op7_toxicity,
-                                    op8_decontaminate, op9_neighbours, op10_near, op11_urls, op12_phrases, op13_repair)}
+                                    op8_decontaminate, op9_neighbours, op10_near, op11_urls, op12_phrases, op13_repair, chat_digests, token_scores)}
 
 
 def llm_sql():
