@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 
-from staffmart.functions.numbers import between_sql, draw_sql, normal_sql
-from staffmart.operators.validate import EMAIL, NAME
-from staffmart.plans.synth_values import (
-    DEPARTMENTS, FIRST_NAMES, GENDERS, LAST_NAMES, LEAVER_STATUS, PROJECT_STATUS, PROJECTS,
-    REVIEW_YEARS, ROLES)
+from checks.constants import (
+    DEPARTMENTS, EMAIL, FIRST_NAMES, GENDERS, LAST_NAMES, LEAVER_STATUS, NAME, PROJECT_STATUS, PROJECTS, REVIEW_YEARS, ROLES,
+    between_sql, draw_sql, normal_sql)
 
 AS_OF = "DATE '2002-01-01'"
 
@@ -442,7 +440,7 @@ CTES.update({
                    hire_date + CAST(greatest(30, least(500, {between_sql('past start', 30, 899)})) AS INT),
                    DATE '2024-06-01') END AS past_start,
                greatest(450000, least(950000, {choose('department_id', TYPICAL, 720000)} + role_effect
-                                              + {normal_sql('base', 50000, '//')})) AS base
+                                              + {normal_sql('base', 50000)})) AS base
         FROM dated""",
 })
 
@@ -458,7 +456,7 @@ def year_reviews(year: int) -> str:
                                     THEN second_project ELSE project END) AS project_id,
                {day_between(low, f"DATE '{year}-12-15'", f'review day {year}')} AS review_date,
                greatest(35000000, least(99000000, 55 * base + 35 * {choose(department, TYPICAL, 720000)}
-                   + 10 * role_effect + 100 * ({REVIEW_YEARS[year] * 10000} + {normal_sql(f'noise {year}', 70000, '//')})))
+                   + 10 * role_effect + 100 * ({REVIEW_YEARS[year] * 10000} + {normal_sql(f'noise {year}', 70000)})))
                  AS score,
                '{year} performance review' AS comments
         FROM people WHERE {'has_past' if year == 2024 else f'year(hire_date) <= {year}'}"""
