@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staffmart.operators.lookup import join_found
 from staffmart.sources.tables import materialise
 
 
@@ -26,7 +27,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Every round ties each node to the smallest node it sees, first among its larger
     neighbours, then among its smaller ones; each round is written, so a lost executor costs
-    one round at most. It ends when all nodes hang on their root, after about log2 of the
+    one round at most. The neighbours of one node may be in many tasks. It ends when all nodes hang on their root, after about log2 of the
     longest path rounds.
     """
     ordered = pairs.where(F.col("a") != F.col("b")).select(
@@ -35,10 +36,10 @@ def components(pairs: DataFrame) -> DataFrame:
     while _unsettled(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = (both.join(_smallest(both), "u").where("v > u")
+        large = (join_found(both, _smallest(both), "u").where("v > u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
         large = materialise(large, "large-stars")
-        small = large.join(_smallest(large), "u")
+        small = join_found(large, _smallest(large), "u")
         small = small.select("u", F.col("m").alias("v")).unionAll(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
         edges = materialise(small.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), "edges")
