@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.llm.common import SEED, pieces, raw_texts, values
@@ -257,16 +257,14 @@ def score(documents: DataFrame, hold: Column, order: int = ORDER, block_bytes: i
     words, codes = exploded("words", "word_n"), exploded("codes", "code_n")
     totals = materialise(codes.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n")), "byte-groups")
     costs = materialise(code_costs(totals, order), "code-lengths")
-    # A word has at most one row per block. Each gets the total; one of them is marked to count the word.
-    of_word = Window.partitionBy("key")
-    words = words.select("block", "key", F.sum("n").over(of_word).alias("n"),
-                         (F.col("block") == F.min("block").over(of_word)).alias("first"))
-    words = materialise(words, "word-totals")
+    # A word has at most one row per block; they are summed up before the shuffle, and each gets the total back.
+    word_totals = materialise(words.groupBy("key").agg(F.sum("n").alias("n")), "word-totals")
     learned = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    different = words.where("first AND n > 0").count()
+    different = word_totals.where("n > 0").count()
     ends = packed.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     different += ends > 0
-    facts = words.select("block", F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionAll(
+    known = words.select("block", "key").join(word_totals, "key")
+    facts = known.select("block", F.lit(_WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionAll(
         codes.join(costs, F.col("key") == F.col("code")).select("block", F.lit(_GROUP).alias("kind"), "key", F.col("cost").alias("value")))
     facts = facts.toDF(*facts.columns)  # columns of its own, as both sides come from one table
     scored = packed.select("block", "ids", "held", "texts").groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(
