@@ -16,7 +16,7 @@ EMP = "printf('E%06d', c_custkey + 1)"
 
 
 def project_of(index: str) -> str:
-    return f"printf('P%04d', ({index}) % 10 + 1)"
+    return f"printf('P%04d', (({index}) + ({index}) // 7) % 10 + 1)"
 
 
 # --- mapped tables --------------------------------------------------------------------
