@@ -13,7 +13,7 @@ CURRENT_START = "1998-01-01"
 _built: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, what: str, build):
+def once(spark: SparkSession, sf_dir: str, what: str, build):
     key = (spark.sparkContext.applicationId, sf_dir, what)
     if key not in _built:
         _built[key] = build()
@@ -26,16 +26,16 @@ def files(spark: SparkSession, sf_dir: str) -> str:
         folder = work_path(spark, "files")
         landing.write_files(mapping.tables(spark, sf_dir), folder)
         return folder
-    return _once(spark, sf_dir, "files", build)
+    return once(spark, sf_dir, "files", build)
 
 
 def staging(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return _once(spark, sf_dir, "staging", lambda: landing.load_staging(
+    return once(spark, sf_dir, "staging", lambda: landing.load_staging(
         spark, files(spark, sf_dir), work_path(spark, "staging")))
 
 
 def operational(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return _once(spark, sf_dir, "operational", lambda: landing.load_operational(
+    return once(spark, sf_dir, "operational", lambda: landing.load_operational(
         spark, staging(spark, sf_dir), work_path(spark, "operational")))
 
 
@@ -45,13 +45,13 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return _once(spark, sf_dir, "warehouse", lambda: rebuild(
+    return once(spark, sf_dir, "warehouse", lambda: rebuild(
         spark, inputs(spark, sf_dir), work_path(spark, "warehouse"), CURRENT_START))
 
 
 def base_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """Warehouse of the earlier state, for upserts and refreshes."""
-    return _once(spark, sf_dir, "base", lambda: rebuild(
+    return once(spark, sf_dir, "base", lambda: rebuild(
         spark, mapping.base_tables(spark, sf_dir), work_path(spark, "base"), CURRENT_START))
 
 
@@ -62,4 +62,4 @@ def kept_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         base = rebuild(spark, mapping.base_tables(spark, sf_dir), root, CURRENT_START, keep_sums=True)
         publish_refresh(refresh(mapping.tables(spark, sf_dir), base), root)
         return open_warehouse(spark, root)
-    return _once(spark, sf_dir, "kept", build)
+    return once(spark, sf_dir, "kept", build)
