@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from staffmart.llm.common import SEED, pieces as text_pieces, raw_texts, values
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+ENCODED = 3 << 20  # bytes of text encoded at once
 INDEXED = 1 << 18  # characters indexed at once; a longer segment comes alone
 META = "▁"
 _NEVER = 1 << 30
@@ -333,7 +334,7 @@ def _encode(send, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(send.value)
         decoded = send.value["decoded"]
-        for batch in text_pieces(batches):
+        for batch in text_pieces(batches, most=ENCODED):
             texts = [t.decode() for t in raw_texts(batch)]
             ids, offsets = encoder.batch(texts)
             names = [n for n in batch.schema.names if n != "text"]
