@@ -10,9 +10,9 @@ learned; if there are so many that the sample would exceed ``fit_total`` documen
 those evenly, with one document each at least.
 
 Documents are accepted if two values reach their floors: the score, and the share of three-byte
-groups of letters that the learned windows have too. The floors are calibrated on the held-out rows,
-at most ``check_docs`` of each language, so that a share ``keep`` of those with the right language
-passes both. With too few of them to tell (under 1,999 at 0.999) there are no floors.
+groups of letters that the learned windows have too. The floors are exact order statistics over all held-out
+ids, so that a share ``keep`` of those with the right language passes both. With too few of them to tell (under 1,999
+at 0.999) there are no floors.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if there is
 nothing to learn from. Rows that repeat give repeated results. Other columns are not looked at.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staffmart.llm.common import first_by_hash, pieces, raw_texts, values
+from staffmart.operators.ordering import with_position
+from staffmart.sources.tables import materialise
 
 WINDOW = 64
 HIDDEN = 8
@@ -37,7 +39,6 @@ CELLS = 1 << 18  # windows or texts, times languages, handled at once
 EPOCHS, STEP, GROUP = 8, 0.02, 256
 UNKNOWN = "und"
 KEEP = 0.999  # of the held-out rows with the right language
-CHECK_DOCS, CHECK_TOTAL = 1000, 20_000
 SLACK = 1e-6  # rounding between batches
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 _LETTERS = np.array([k >= 128 or chr(k).isalpha() or k == 32 for k in range(256)])
@@ -276,25 +277,39 @@ def identify(documents: DataFrame, hold: Column, **fit) -> DataFrame:
         "doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def floors(documents: DataFrame, hold: Column, model: tuple[list[str], Network], keep: float = KEEP,
-           check_docs: int = CHECK_DOCS) -> tuple[float, float]:
-    """The score and the known share which a share ``keep`` of the right rows with ``hold`` reaches."""
-    usable = documents.select("doc_id", "text", "lang").where(hold & F.col("lang").isNotNull() & _has_letter(F.col("text")))
-    sample = _sample(usable, max(1, min(check_docs, CHECK_TOTAL // len(model[0]))))
-    right = _labelled(sample, ["doc_id", "lang"], model, groups=True).where("__lang = lang").groupBy("doc_id").agg(
-        F.min("__score").alias("score"), F.min("__known").alias("known")).collect()
-    below = int((1 - keep) / 2 * (len(right) + 1) + SLACK)  # half of the loss for each value
+def _judged(documents: DataFrame, hold: Column, model: tuple[list[str], Network]) -> DataFrame:
+    """All rows with __hold, __lang, __score and __known; written, so that the network goes through each text once."""
+    given = documents.withColumn("__hold", hold)
+    return materialise(_labelled(given, given.columns, model, groups=True), "judged")
+
+
+def _floors(judged: DataFrame, keep: float) -> tuple[float, float]:
+    """An id counts once, with its smallest language and one text there."""
+    usable = judged.where(F.col("__hold") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & _has_letter(F.col("text")))
+    row = F.min(F.struct("lang", F.md5(F.col("text").cast("binary")).alias("text"), "__lang", "__score", "__known")).alias("row")
+    right = materialise(usable.groupBy("doc_id").agg(row).where("row.__lang = row.lang").select(
+        "doc_id", F.col("row.__score").alias("score"), F.col("row.__known").alias("known")), "right")
+    below = int((1 - keep) / 2 * (right.count() + 1) + SLACK)  # half of the loss for each value
     if not below:
         return 0.0, 0.0
-    return tuple(sorted(r[c] for r in right)[below - 1] - SLACK for c in ("score", "known"))
+
+    def floor(value: str) -> float:
+        placed = with_position(right.select(value, "doc_id"), "place", [value, "doc_id"])
+        return placed.where(F.col("place") == below).first()[value] - SLACK
+    return floor("score"), floor("known")
+
+
+def floors(documents: DataFrame, hold: Column, model: tuple[list[str], Network], keep: float = KEEP) -> tuple[float, float]:
+    """The score and the known share which a share ``keep`` of all right rows with ``hold`` reaches."""
+    return _floors(_judged(documents, hold, model), keep)
 
 
-def accepted(documents: DataFrame, hold: Column, keep: float = KEEP, check_docs: int = CHECK_DOCS, **fit) -> DataFrame:
+def accepted(documents: DataFrame, hold: Column, keep: float = KEEP, **fit) -> DataFrame:
     """The documents whose language is known and that reach both floors, with all their columns."""
     model = train(documents, ~hold, **fit)
     if model is None:
         return documents.where(F.lit(False))
-    score, known = floors(documents, hold, model, keep, check_docs)
-    found = _labelled(documents, documents.columns, model, groups=True)
+    found = _judged(documents, hold, model)
+    score, known = _floors(found, keep)
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= score) & (F.col("__known") >= known)
                        ).select(documents.columns)

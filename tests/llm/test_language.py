@@ -115,3 +115,14 @@ def test_one_id_very_often_is_one_document(spark):
     few = sorted(L._sample(docs, 20).collect())
     assert sorted(L._sample(many, 20).collect()) == few and len(few) == 40
     assert len({r.doc_id for r in few}) == 40
+
+
+def test_floors_come_from_every_held_out_id(spark, monkeypatch):
+    """No sample of the held-out rows: with more of them than were ever sampled, each still counts, and counts once."""
+    rows = [(k, "word", "en", float(k)) for k in range(3000)] + [(0, "word", "en", 0.0)] * 50
+    judged = spark.createDataFrame(rows, "doc_id long, text string, lang string, place double").select(
+        "doc_id", "text", "lang", F.lit(True).alias("__hold"), F.lit("en").alias("__lang"),
+        ((F.col("place") + 1) / 4000).alias("__score"), (1 - F.col("place") / 4000).alias("__known"))
+    monkeypatch.setattr(L, "_labelled", lambda documents, *how, **more: judged)
+    score, known = L.floors(judged.select("doc_id", "text", "lang"), F.lit(True), (["en"], None), keep=0.99)
+    assert np.isclose(score, 15 / 4000, atol=2e-6) and np.isclose(known, 1 - 2985 / 4000, atol=2e-6)
