@@ -43,7 +43,9 @@ LEAST, MOST, SHARE, ORDER = 30, 2000, 80, 4
 FACTOR = 2_000_000
 CHUNK_BYTES = 5 << 19
 FILTER_BITS = 27
-PART_BITS = 8  # the fewest partitions of the hash space, as a power of two
+# The fewest partitions of the hash space, as a power of two. A chunk has a row for each, and Spark hands rows to a task by the
+# ten thousand: with 256 of them, all a task of the first pass had to merge, up to 67 MB, came at once.
+PART_BITS = 12
 MOST_PART_BITS = 20
 PART_MASS = 1 << 26  # runs a partition should count
 _PRINT_BITS = 40

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from staffmart.llm import phrases as M
@@ -100,3 +101,12 @@ def test_awkward_rows(spark):
     assert result(M.collocations(df, 2, 30)) == expected
     assert M.collocations(nothing(spark)).count() == 0
     assert M.collocations(documents(spark, [None, "", "one two"])).count() == 0
+
+
+def test_rows_that_reach_a_task_at_once_are_bounded():
+    """Spark hands over ten thousand rows at once; every other row of a chunk has counts."""
+    rng = random.Random(5)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(380_000))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text[:M.CHUNK_BYTES]]})
+    for out in M._deal(M.PART_BITS, M.CHUNK_BYTES)(iter([batch])):
+        assert sum(len(b) for b in out.column("runs").to_pylist() if b) / out.num_rows * 10_000 < 16 << 20
